@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +40,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage ends there."""
+    """``df`` written to the shared folder and read again: its lineage ends there.
+
+    The shuffle files behind the written table are dropped, as nothing reads
+    them again.
+    """
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,15 +73,16 @@ def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[i
 
 def per_text(
     df: DataFrame,
-    id_col: str,
+    id_col: str | list[Column],
     text_col: str,
     schema: str,
     make: Callable[[], Callable[[list, list[str]], list | pa.RecordBatch]],
 ) -> DataFrame:
-    """Apply a function to (ids, texts) slices; only the two columns are read.
+    """Apply a function to (ids, texts) slices; only the columns named are read.
 
     ``make`` runs once a task and gives the function, so that models and
-    vocabularies are loaded once. Null texts arrive as empty ones.
+    vocabularies are loaded once. Null texts arrive as empty ones. Of several
+    id columns the function gets a tuple a row.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -80,7 +92,8 @@ def per_text(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            columns = [c.to_pylist() for c in batch.columns]
+            ids, texts = columns[0] if len(columns) == 2 else list(zip(*columns[:-1], strict=True)), columns[-1]
             for a, b in slices(texts):
                 got = work(ids[a:b], [t or "" for t in texts[a:b]])
                 if isinstance(got, pa.RecordBatch):
@@ -90,8 +103,8 @@ def per_text(
                         [pa.array(c, t.type) for c, t in zip(zip(*got, strict=True), arrow, strict=True)], schema=arrow
                     )
 
-    chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, schema)
+    ids = [F.col(id_col).cast("long").alias("id")] if isinstance(id_col, str) else id_col
+    return df.select(*ids, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def per_row(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]], tuple[list[bool], list | None]]]) -> DataFrame:
@@ -117,13 +130,51 @@ def per_row(df: DataFrame, text_col: str, make: Callable[[], Callable[[list[str]
     return df.mapInArrow(run, df.schema)
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words, the same in every process."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    held = np.empty(len(words), dtype=object)
-    held[:] = words
-    return pd.util.hash_array(held, categorize=False)
+class WordHashes(dict):
+    """word -> 64-bit hash, the same in every process; a bounded number is remembered."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.most = most
+
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(self) < self.most:
+            self[word] = value
+        return value
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def text_key(text_col: str = "text") -> Column:
+    """Beside an id, tells rows apart that share it."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each group starts, of batches sorted by integer ``keys``."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            x = table.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        at = starts(table)
+        if len(at) > 1:
+            yield table.slice(0, int(at[-1])), at[:-1]
+            held = table.slice(int(at[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, starts(table)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

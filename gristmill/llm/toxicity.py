@@ -81,7 +81,7 @@ class FactorizationMachine:
         return raw, sums, flat, owner
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 6, batch: int = 64, rate: float = 0.1, l1: float = 3e-4, seed: int = 5) -> FactorizationMachine:
+    def fit(cls, rows: list[np.ndarray], y: np.ndarray, rank: int = 4, epochs: int = 15, batch: int = 64, rate: float = 0.1, l1: float = 3e-3, seed: int = 5) -> FactorizationMachine:
         r = np.random.default_rng(seed)
         if not len(y) or y.min() == y.max():
             share = float(y.mean()) if len(y) else 0.0

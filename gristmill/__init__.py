@@ -1,0 +1 @@
+"""PySpark-native analytics for documents, change logs and event data."""

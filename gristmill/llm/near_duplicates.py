@@ -13,9 +13,12 @@ class, and the work goes on with one set a class:
    may reach the threshold are confirmed on their full sets. A large group of
    copies falls together here by a number of pairs in proportion to its size.
    Lists that still hold several components go another round.
-3. Lists that then still hold several components are compared in blocks of
-   ``BLOCK`` sets; a block is a bounded piece of work, gives out only pairs that
-   pass the estimate, and every pair of the list meets in one.
+3. Lists that then still hold several components are searched in blocks of
+   ``BLOCK`` sets; every pair of a list meets in one. The pairs that pass the
+   estimate only serve to form groups of candidates, each set being told by one
+   other. Groups are compared in tiles of texts, where shared shingles are
+   counted exactly. Sets that nearly reach the threshold with thousands of
+   others thus cost work in a task, but no rows.
 
 So no list is dropped or capped, and none is gathered in one task.
 
@@ -41,8 +44,11 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import WordHashes, components, mixed, per_text, stored, text_key, whole_groups
 
 SKETCH, SHARED = 32, 13
-BLOCK = 128
-STAR_ROUNDS = 3
+#: Sets of a list that are compared at a time, and texts of half a tile.
+BLOCK, TILE = 1024, 256
+#: Lists of at most so many sets are compared pair by pair, longer ones by counting shared values.
+FEW = 32
+STAR_ROUNDS = 1
 PAIRS_AT_ONCE = 100_000
 LAST = np.iinfo(np.int64).max
 
@@ -206,8 +212,34 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
     )
 
 
-def _block_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of different components within a list that pass the estimate, found block by block."""
+def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest row that each of ``n`` rows reaches over pairs of rows."""
+    out = np.arange(n)
+    while True:
+        before = out.copy()
+        np.minimum.at(out, left, out[right])
+        np.minimum.at(out, right, out[left])
+        if (out == before).all():
+            return out
+
+
+def shared_counts(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, how many values each row shares with it), by lists of the rows that hold a value."""
+    sizes = np.array([len(x) for x in sets])
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(value, kind="stable")
+    holders, begins = owner[order], np.concatenate([[0], np.cumsum(np.bincount(value))])
+    ends = np.cumsum(sizes)
+    for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
+        v = value[a:b]
+        n = begins[v + 1] - begins[v]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[v], n)
+        yield i, np.bincount(holders[at], minlength=len(sets))
+
+
+def _candidates(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): sets that may be linked, each told by the smallest row it reaches in a block of a list."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["value", "lo", "hi"]):
@@ -216,36 +248,94 @@ def _block_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
             _, component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)
             block, across = table.column("block").to_numpy(), table.column("lo").to_numpy() != table.column("hi").to_numpy()
             ends = np.append(starts[1:], table.num_rows)
-            first, last = np.repeat(starts, ends - starts), np.repeat(ends, ends - starts)
-            row = 0
-            while row < table.num_rows:
-                reach = np.cumsum(last[row:] - first[row:])
-                n = max(1, int(np.searchsorted(reach, 4 * PAIRS_AT_ONCE)))
-                at = np.arange(row, min(row + n, table.num_rows))
-                row = at[-1] + 1
-                counts = last[at] - first[at]
-                left = np.repeat(at, counts)
-                right = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first[at], counts)
-                ok = (left < right) & (component[left] != component[right]) & (~across[left] | (block[left] != block[right]))
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            few = ends - starts <= FEW
+            for left, right in _pairs_in_groups(starts[few], ends[few]):
+                ok = (component[left] != component[right]) & (~across[left] | (block[left] != block[right])) & _sizes_fit(sizes[left], sizes[right])
                 left, right = left[ok], right[ok]
-                n, m = sizes[left], sizes[right]
-                ok = np.minimum(n, m) * 5 >= np.maximum(n, m) * 4
-                left, right = left[ok], right[ok]
-                for k in range(0, len(left), PAIRS_AT_ONCE):
-                    x, y = left[k : k + PAIRS_AT_ONCE], right[k : k + PAIRS_AT_ONCE]
-                    ok = maybe_similar(sketches[x], sketches[y])
-                    if ok.any():
-                        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x[ok])), nodes.take(pa.array(y[ok]))], ["a", "b"])
+                ok = maybe_similar(sketches[left], sketches[right])
+                found.append((left[ok], right[ok]))
+            for first, last in zip(starts[~few].tolist(), ends[~few].tolist(), strict=True):
+                held = [x[x != LAST] for x in sketches[first:last]]
+                kept = np.array([len(x) for x in held])
+                for i, n in shared_counts(held):
+                    row = first + i
+                    least = np.minimum(SHARED, np.ceil(0.8 * np.maximum(kept, kept[i])))
+                    ok = (n >= least) & (component[first:last] != component[row]) & (~across[row] | (block[first:last] != block[row])) & _sizes_fit(sizes[first:last], sizes[row])
+                    near = first + np.flatnonzero(ok)
+                    found.append((np.full(len(near), row), near))
+            left, right = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            label = _labels(table.num_rows, left, right)
+            told = np.flatnonzero(label != np.arange(table.num_rows))
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(told)), nodes.take(pa.array(label[told]))], ["a", "b"])
 
     n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = (
         lists.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+        .join(classes.select("node", "sketch"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        .select("value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component")
-        .join(classes.select("node", "size", "sketch"), "node")
+        .select("value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "size", "sketch")
+    )
+    return rows.repartition("value", "lo", "hi").sortWithinPartitions("value", "lo", "hi").mapInArrow(run, "a binary, b binary")
+
+
+def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.minimum(n, m) * 5 >= np.maximum(n, m) * 4
+
+
+def _pairs_in_groups(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows left < right of each group [start, end), about PAIRS_AT_ONCE at a time."""
+    if not len(starts):
+        return
+    n = ends - starts
+    cut = np.searchsorted(np.cumsum(n * n), np.arange(PAIRS_AT_ONCE, int((n * n).sum()) + PAIRS_AT_ONCE, PAIRS_AT_ONCE)) + 1
+    for a, b in zip(np.concatenate([[0], cut[:-1]]), cut, strict=True):
+        first, m = starts[a:b], n[a:b]
+        at = np.repeat(first, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        count = np.repeat(m, m)
+        left = np.repeat(at, count)
+        right = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.repeat(first, m), count)
+        ok = left < right
+        yield left[ok], right[ok]
+
+
+def _tile_links(candidates: DataFrame, lists: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """Links within groups of candidates, confirmed on full sets.
+
+    A group is cut into tiles of two of its blocks. The texts of a tile travel
+    to it once, its pairs never leave it, and each set is told by the smallest
+    one that it reaches over links within the tile.
+    """
+    groups = stored(components(candidates, "near-candidates"), "near-groups")
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n_blocks"))
+    own = lists.groupBy("node").agg(F.first("component").alias("linked"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("at_id"), text_key(text_col).alias("at_text"), F.col(text_col).cast("string").alias("text"))
+    rows = (
+        groups.join(sizes, "component").join(own, "node").join(classes.select("node", "at_id", "at_text"), "node")
+        .join(texts, ["at_id", "at_text"])
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        .select(F.xxhash64("component").alias("tile"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "linked", "text")
     )
-    found = rows.repartition("value", "lo", "hi").sortWithinPartitions("value", "lo", "hi").mapInArrow(run, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for table, starts in whole_groups(batches, ["tile", "lo", "hi"]):
+            for first, last in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                part = table.slice(first, last - first)
+                nodes, linked = part.column("node").combine_chunks(), np.array(part.column("linked").to_pylist(), object)
+                _, linked = np.unique(linked, return_inverse=True)
+                sets = shingle_sets(part.column("text").to_pylist(), hashes, width)
+                n = np.array([len(x) for x in sets])
+                found = []
+                for i, common in shared_counts(sets):
+                    near = np.flatnonzero((100 * common >= percent * (n + n[i] - common)) & (linked != linked[i]))
+                    found.append((np.full(len(near), i), near))
+                label = _labels(len(sets), *(np.concatenate([f[k] for f in found]) for k in (0, 1)))
+                told = np.flatnonzero(label != np.arange(len(sets)))
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(told)), nodes.take(pa.array(label[told]))], ["a", "b"])
+
+    return rows.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +371,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         # homogeneous lists are done
         lists = now
     now = stored(_mixed_lists(_with_component(lists.select("value", "node", "size", "prio"), links)), "near-lists")
-    new = links_of(_block_pairs(now, classes))
+    candidates = stored(_candidates(now, classes), "near-candidates")
+    new = stored(_tile_links(candidates, now, classes, docs, id_col, text_col, width, percent), "near-links")
     links = new if links is None else links.union(new)
     named = components(links, "near-components").join(classes.select("node", "id"), "node")
     ids = named.groupBy("component").agg(F.min("id").alias("component_id"))

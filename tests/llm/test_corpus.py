@@ -351,6 +351,8 @@ def test_blocks_compare_every_pair(spark, odd, monkeypatch):
     """Without rounds of stars, and with tiny blocks, the same links are found."""
     monkeypatch.setattr(near_duplicates, "STAR_ROUNDS", 0)
     monkeypatch.setattr(near_duplicates, "BLOCK", 3)
+    monkeypatch.setattr(near_duplicates, "TILE", 2)
+    monkeypatch.setattr(near_duplicates, "FEW", 4)
     want = Counter((d, n, c, d == c) for d, n, c in brute_components([(x.doc_id, x.text) for x in odd.collect()], 2, 80))
     assert bag(near_duplicates.near_duplicates(odd, 2).collect()) == want
 

@@ -105,6 +105,38 @@ def clipped(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(head, r"\s+\S*\z", ""), F.lit("...")))
 
 
+def typographic(text: Column) -> Column:
+    """The text with plain quotes, dashes and spaces: equal for versions that were typeset differently."""
+    plain = F.translate(text, "„“”‘’‐‑‒–—­", "\"\"\"''-----")
+    return normalised(plain)
+
+
+def planned_quarter(text: Column, word: str = "quarter") -> Column:
+    """``2026-Q3`` of "II/III quarter 2026": the last numeral counts; null without one."""
+    pattern = rf"(?i)\b(?:(?:IV|I{{1,3}})\s*/\s*)?(IV|I{{1,3}})\s+{word}\s+(\d{{4}})"
+    return F.when(text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 2), F.lit("-Q"), roman_value(F.regexp_extract(text, pattern, 1)).cast("string")))
+
+
+def worded_date(text: Column, months: Sequence[str]) -> Column:
+    """The first date like "3 May 2026" whose month is one of twelve names; null if there is none or no such day."""
+    pattern = rf"(?iu)\b(\d{{1,2}})\s+({'|'.join(months)})\s+(\d{{4}})\b"
+    month = F.array_position(F.array(*[F.lit(m.lower()) for m in months]), F.lower(F.regexp_extract(text, pattern, 2))).cast("string")
+    parts = [F.regexp_extract(text, pattern, 3), F.lpad(month, 2, "0"), F.lpad(F.regexp_extract(text, pattern, 1), 2, "0")]
+    return F.when(text.rlike(pattern), F.try_to_date(F.concat_ws("-", *parts), "yyyy-MM-dd"))
+
+
+def page_body(page: Column) -> Column:
+    """The page without leading blank lines and page numbers, decorated or not."""
+    return F.regexp_replace(page, r"\A(?:[ \t]*(?:[-–]?[ \t]*\d{1,4}[ \t]*[-–]?)?[ \t]*\r?\n)+", "")
+
+
+def within_budget(text: Column, limit: int, head_share: float = 0.75, gap: str = " [...] ") -> Column:
+    """The text, or its head and its end around a mark, at most ``limit`` characters in all."""
+    head = int((limit - len(gap)) * head_share)
+    tail = limit - len(gap) - head
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, head), F.lit(gap), F.right(text, F.lit(tail))))
+
+
 def first_kind(text: Column, rules: Sequence[tuple[str, str]], other: str) -> Column:
     """The first rule (kind, pattern) that the text matches."""
     out = None

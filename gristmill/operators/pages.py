@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,6 +93,48 @@ def message_parts(docs: DataFrame, key: str, text: str, limit: int = 4096) -> Da
     return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(run, f"{key} long, part int, body string")
 
 
+def facts(docs: DataFrame, keys: Sequence[str], text: str, patterns: Mapping[str, str]) -> DataFrame:
+    """keys, kind, value: what each pattern finds; a kind with several values in one bundle may contradict itself."""
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("values")) for k, p in patterns.items()])
+    return docs.select(*keys, F.explode(found).alias("f")).select(*keys, "f.kind", F.explode("f.values").alias("value"))
+
+
+def _markup_parts(html: str, limit: int) -> Iterator[str]:
+    """Parts of at most ``limit`` UTF-16 units; tags open at a cut are closed there and opened again."""
+    units = lambda s: len(s.encode("utf-16-le", "surrogatepass")) // 2
+    opened: list[tuple[str, str]] = []
+    part, fresh = "", True
+    close = lambda: "".join(f"</{n}>" for n, _ in reversed(opened))
+    for piece in re.findall(r"<[^>]*>|&#?\w+;|\s+|[^\s<&]+|[<&]", html):
+        tag = re.match(r"<(/?)([A-Za-z][\w-]*)", piece)
+        # one long word may have to be cut; tags and entities never are
+        for bit in [piece] if tag or piece[0] == "&" else [piece[i : i + limit // 4] for i in range(0, len(piece), limit // 4)]:
+            room = units(f"</{tag[2]}>") if tag and not tag[1] else 0
+            if not fresh and not (tag and tag[1]) and units(part) + units(bit) + units(close()) + room > limit:
+                yield part + close()
+                part, fresh = "".join(t for _, t in opened), True
+            part += bit
+            fresh = fresh and bool(tag)
+        if tag and tag[1]:
+            if opened and opened[-1][0] == tag[2].lower():
+                opened.pop()
+        elif tag and not piece.endswith("/>"):
+            opened.append((tag[2].lower(), piece))
+    if not fresh or not part == "".join(t for _, t in opened):
+        yield part + close()
+
+
+def markup_parts(docs: DataFrame, key: str, html: str, limit: int = 4096) -> DataFrame:
+    """Simple message markup (paired tags) cut into parts that each stand alone; empty texts have no part."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, n, p) for k, t in zip(frame[key], frame[html], strict=True) for n, p in enumerate(_markup_parts(t or "", limit))]
+            yield pd.DataFrame(rows, columns=[key, "part", "body"])
+
+    return docs.select(F.col(key).cast("long").alias(key), html).mapInPandas(run, f"{key} long, part int, body string")
+
+
 @F.pandas_udf(T.StructType([T.StructField("changed", T.IntegerType()), T.StructField("total", T.IntegerType())]))
 def _changed_words(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Words in changed places of a two-level difference: sentences first, words within changed ones."""

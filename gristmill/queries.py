@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import dates, text
-from gristmill.operators import figures, folds, graphs, joins, keyed, pages, ranking, trees
+from gristmill.operators import decisions, figures, folds, graphs, incremental, joins, keyed, pages, ranking, trees
 from gristmill.plans import prefilter
 from gristmill.sources.tables import decoded_address, table
 
@@ -532,9 +532,160 @@ def identity_chains(spark, sf_dir):
     return graphs.chain_roots(edges, "a", "b")
 
 
+# -- ladders of rules, state between runs ----------------------------------------------------
+
+#: Events of a user, dealt to ten lanes, stand for the stages of a process.
+_LANES = "SELECT user_id, event_id % 10 AS lane, event_id, event_type AS t, value AS v FROM events"
+
+
+def _lanes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("user_id", (F.col("event_id") % 10).alias("lane"), "event_id", F.col("event_type").alias("t"), F.col("value").alias("v"))
+
+
+@query(
+    f"WITH s AS ({_LANES}), p AS (SELECT user_id, lane"
+    ", arg_max(CASE WHEN t = 'error' THEN CASE WHEN v > 90 THEN 'vetoed' WHEN v > 80 THEN 'overridden' END END, event_id) FILTER (t = 'error' AND v > 80) AS a, max(CASE WHEN t = 'error' AND v < 10 THEN 'refused' END) AS b"
+    ", arg_max(CASE WHEN t = 'purchase' THEN 'passed' ELSE 'withdrawn' END, event_id) FILTER (t = 'purchase' AND v > 50 OR t = 'click' AND v < 5) AS c"
+    ", bool_or(CASE WHEN t = 'signup' THEN v > 40 END) AS passed, coalesce(bool_or(t = 'signup' AND v > 20), false) AS closed FROM s GROUP BY ALL)"
+    " SELECT user_id, lane, CASE WHEN a IS NOT NULL THEN a WHEN b IS NOT NULL THEN b WHEN c = 'passed' AND closed AND passed = false THEN 'unknown' WHEN c IS NOT NULL THEN c WHEN passed THEN 'passed' WHEN closed AND passed = false THEN 'refused' WHEN closed THEN 'unknown' ELSE 'absent' END AS decision FROM p"
+)
+def process_decisions(spark, sf_dir):
+    t, v = F.col("t"), F.col("v")
+    s = _lanes(spark, sf_dir).withColumns({"passed": F.when(t == "signup", v > 40), "closed": (t == "signup") & (v > 20)})
+    veto = F.when(t == "error", F.when(v > 90, "vetoed").when(v > 80, "overridden"))
+    ended = F.when((t == "purchase") & (v > 50), "passed").when((t == "click") & (v < 5), "withdrawn")
+    return decisions.decided(s, ["user_id", "lane"], "event_id", veto, F.when((t == "error") & (v < 10), "refused"), ended, "passed", "closed")
+
+
+@query(f"SELECT user_id, lane, coalesce(max(event_id) FILTER (v > 50 AND t <> 'view') < max(event_id) FILTER (v <= 50), false) AS late FROM ({_LANES}) GROUP BY ALL")
+def told_late(spark, sf_dir):
+    return decisions.told_late(_lanes(spark, sf_dir), ["user_id", "lane"], "event_id", F.col("v") <= 50, F.col("t") != "view")
+
+
+_ATTENTION = (
+    f"SELECT o_orderkey, o_orderstatus AS s, CASE WHEN o_orderpriority = '1-URGENT' THEN 'important' WHEN o_orderstatus = 'F' THEN 'important' WHEN o_orderpriority = '5-LOW' THEN 'routine' ELSE 'uncertain' END AS importance"
+    f", CASE WHEN date_diff('day', DATE '{_TODAY}', o_orderdate::DATE) BETWEEN 0 AND 3 THEN 'urgent' ELSE 'normal' END AS urgency"
+    f", concat_ws(',', CASE WHEN o_orderpriority = '1-URGENT' THEN 'priority' WHEN o_orderstatus = 'F' THEN 'decision' WHEN o_orderpriority = '5-LOW' THEN 'process' ELSE 'unclassified' END, CASE WHEN o_totalprice > 300000 THEN 'costly' END, CASE WHEN date_diff('day', DATE '{_TODAY}', o_orderdate::DATE) BETWEEN 0 AND 3 THEN 'near_deadline' END) AS reasons FROM orders"
+)
+
+
+def _attention(spark, sf_dir):
+    p, s = F.col("o_orderpriority"), F.col("o_orderstatus")
+    rules = [(p == "1-URGENT", "important", "priority"), (s == "F", "important", "decision"), (p == "5-LOW", "routine", "process")]
+    return decisions.assessed(table(spark, sf_dir, "orders"), rules, F.to_date("o_orderdate"), F.to_date(F.lit(_TODAY)), 3, [(F.col("o_totalprice") > 300000, "costly")])
+
+
+@query(f"SELECT o_orderkey, importance, urgency, reasons FROM ({_ATTENTION})")
+def attention(spark, sf_dir):
+    return _attention(spark, sf_dir).select("o_orderkey", "importance", "urgency", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"SELECT CASE WHEN urgency <> 'normal' OR contains(reasons, 'costly') THEN '' WHEN importance = 'routine' THEN 'routine_step' WHEN s = 'P' THEN 'no_consequence' ELSE '' END AS waits, count(*) AS n FROM ({_ATTENTION}) GROUP BY 1")
+def digest_routing(spark, sf_dir):
+    rules = [(F.col("importance") == "routine", "routine_step"), (F.col("o_orderstatus") == "P", "no_consequence")]
+    waits = decisions.waits_because(F.col("urgency"), F.col("reasons"), ["costly"], rules)
+    return _attention(spark, sf_dir).groupBy(waits.alias("waits")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '{_TODAY}') > CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 7 END AS overdue FROM orders")
+def overdue_terms(spark, sf_dir):
+    late = decisions.overdue(F.to_date("o_orderdate"), F.to_date(F.lit(_TODAY)), F.col("o_orderstatus") == "F")
+    return table(spark, sf_dir, "orders").select("o_orderkey", late.alias("overdue"))
+
+
+@query("SELECT strftime(max(ts) FILTER (event_type = 'signup' AND value > 50) - INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') AS since FROM events")
+def low_watermark(spark, sf_dir):
+    ok, now = (F.col("event_type") == "signup") & (F.col("value") > 50), F.lit("2000-06-15").cast("timestamp_ntz")
+    return incremental.low_watermark(table(spark, sf_dir, "events"), "ts", ok, 2, now, 30).select(F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-06-15' OR o_orderkey = (SELECT arg_max(o_orderkey, (o_orderdate, o_orderkey)) FROM orders WHERE o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1999-01-01')")
+def retained_runs(spark, sf_dir):
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    anchor = (F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < at("1999-01-01"))
+    return incremental.retained(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderdate", anchor, at("2000-06-15")).select("o_orderkey")
+
+
+@query("SELECT status, error, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'U' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'P' THEN 'left pending' END AS error FROM orders) GROUP BY ALL")
+def outbox_sweep(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("error"))
+    return incremental.swept(o, "status", "error", "left pending", "P", "U").groupBy("status", "error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 < 3")
+def due_deliveries(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("attempts", F.col("o_orderkey") % 5)
+    return incremental.due_again(o, "o_orderstatus", "attempts", 3, "F").select("o_orderkey")
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d FROM orders WHERE o_orderkey % 5 <> 0), n AS (SELECT o_orderkey AS k, o_orderdate::DATE + CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS d FROM orders WHERE o_orderkey % 7 <> 0)"
+    " SELECT k AS o_orderkey, strftime(o.d, '%Y-%m-%d') AS was, strftime(n.d, '%Y-%m-%d') AS day, CASE WHEN o.d IS NULL THEN 'new' WHEN n.d IS NULL THEN 'cancelled' ELSE 'moved' END AS state FROM o FULL JOIN n USING (k) WHERE o.d IS DISTINCT FROM n.d"
+)
+def schedule_changes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    new = o.where("o_orderkey % 7 <> 0").withColumn("day", F.date_add("day", F.when(F.col("o_orderkey") % 3 == 0, 2).otherwise(0)))
+    got = incremental.schedule_changes(o.where("o_orderkey % 5 <> 0"), new, ["o_orderkey"], "day")
+    return got.select("o_orderkey", F.date_format("was", "yyyy-MM-dd").alias("was"), F.date_format("day", "yyyy-MM-dd").alias("day"), "state")
+
+
+@query(
+    "WITH r AS (SELECT l_orderkey, l_linenumber * 10 AS s, l_linenumber * 10 + floor(l_quantity / 3)::BIGINT AS e FROM lineitem), g AS (SELECT *, s > max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut FROM r)"
+    ", i AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM g), m AS (SELECT l_orderkey, island, min(s) AS s, max(e) AS e FROM i GROUP BY ALL)"
+    " SELECT l_orderkey, bool_or(s <= 12 AND 25 <= e) AS covered FROM m GROUP BY 1"
+)
+def covered_ranges(spark, sf_dir):
+    start = (F.col("l_linenumber") * 10).cast("long")
+    one = F.struct(start.alias("start"), (start + F.floor(F.col("l_quantity") / 3)).alias("end"))
+    r = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(one).alias("r"))
+    need = F.array(F.struct(F.lit(12).cast("long").alias("start"), F.lit(25).cast("long").alias("end")))
+    return r.select("l_orderkey", incremental.ranges_cover(F.col("r"), need).alias("covered"))
+
+
+@query(
+    "SELECT source, 'number' AS kind, count(DISTINCT x) AS n_values FROM (SELECT source, unnest(regexp_extract_all(text, '[0-9]{6,}')) AS x FROM documents) GROUP BY 1"
+    " UNION ALL SELECT source, 'name', count(DISTINCT x) FROM (SELECT source, unnest(regexp_extract_all(text, '[A-Z][a-z]{7,}')) AS x FROM documents) GROUP BY 1"
+)
+def bundle_facts(spark, sf_dir):
+    return pages.facts(table(spark, sf_dir, "documents"), ["source"], "text", {"number": "[0-9]{6,}", "name": "[A-Z][a-z]{7,}"}).groupBy("source", "kind").agg(F.count_distinct("value").alias("n_values"))
+
+
+@query("SELECT * FROM (VALUES ('III quarter 2026', '2026-Q3'), ('II/III quarter 2026 - done', '2026-Q3'), ('iv QUARTER 2025', '2025-Q4'), ('soon', NULL)) t(plan, quarter)")
+def planned_quarters(spark, sf_dir):
+    plans = [("III quarter 2026",), ("II/III quarter 2026 - done",), ("iv QUARTER 2025",), ("soon",)]
+    return spark.createDataFrame(plans, "plan string").withColumn("quarter", text.planned_quarter(F.col("plan")))
+
+
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def worded_dates(spark, sf_dir):
+    told = F.concat(F.lit("of "), F.date_format("o_orderdate", "d MMMM yyyy"), F.lit(", item 3"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(text.worded_date(told, MONTHS), "yyyy-MM-dd").alias("day"))
+
+
+@query(f"SELECT doc_id, sha256({_NORM.replace('text', chr(39).join(['translate(text, ', '„“”‘’‐‑‒–—' + chr(0xAD), ', ', chr(34) * 3 + chr(39) * 4 + '-----', ')']))}) AS digest FROM documents")
+def typographic_digest(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.typographic(F.col("text")), 256).alias("digest"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 207 THEN text ELSE substr(text, 1, 150) || ' [...] ' || right(text, 50) END AS told FROM documents")
+def budget_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.within_budget(F.col("text"), 207).alias("told"))
+
+
 # -- texts that SQL can't follow: compared with plain Python in the tests ------------------
 
 
+@query()
+def markup_parts(spark, sf_dir):
+    # paragraphs of a text as message markup
+    html = F.concat(F.lit("<b>"), F.regexp_replace(F.regexp_replace("text", "[<>&]", " "), "\n", "</b>\n<b>"), F.lit("</b>"))
+    return pages.markup_parts(table(spark, sf_dir, "documents").select("doc_id", html.alias("html")), "doc_id", "html")
+
+
 @query(
     "SELECT doc_id, count(*) AS parts, max(length(m)) AS longest FROM (SELECT doc_id, text AS m FROM documents WHERE length(text) <= 4096 AND length(text) = strlen(text)) GROUP BY 1"
 )

@@ -338,8 +338,8 @@ def _tile_links(candidates: DataFrame, lists: DataFrame, classes: DataFrame, doc
     return rows.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``; at least ``percent`` (80 or more) links."""
+def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows, their classes (with the ``least`` row of each), and (node, component) of the classes that are linked."""
     if percent < 80:
         raise ValueError("the sketches are sized for similarities of 80 percent and more")
     rows = stored(_sketched(docs, id_col, text_col, width), "near-sketches")
@@ -349,10 +349,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .agg(
             F.min("id").alias("id"),
             F.min(F.struct(F.coalesce("id", F.lit(0)).alias("at_id"), F.col("text_key").alias("at_text"))).alias("at"),
+            F.min(F.struct(F.isnull("id").alias("no_id"), F.col("id"), F.col("text_key"))).alias("least"),
             F.first("size").alias("size"),
             F.first("sketch").alias("sketch"),
         )
-        .select("node", "id", "at.at_id", "at.at_text", "size", "sketch"),
+        .select("node", "id", "at.at_id", "at.at_text", "least", "size", "sketch"),
         "near-classes",
     )
     lists = stored(_lists(classes), "near-lists")
@@ -374,7 +375,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     candidates = stored(_candidates(now, classes), "near-candidates")
     new = stored(_tile_links(candidates, now, classes, docs, id_col, text_col, width, percent), "near-links")
     links = new if links is None else links.union(new)
-    named = components(links, "near-components").join(classes.select("node", "id"), "node")
+    return rows, classes, components(links, "near-components")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of ``docs``; at least ``percent`` (80 or more) links."""
+    rows, classes, linked = _grouped(docs, width, percent, id_col, text_col)
+    named = linked.join(classes.select("node", "id"), "node")
     ids = named.groupBy("component").agg(F.min("id").alias("component_id"))
     grouped = named.join(ids, "component").select("node", "component_id")
     alone = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.coalesce("component_id", "own"))
@@ -387,11 +394,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that another one of their component stands for; all columns stay.
+    """One row of each component, the one of the smallest id (null ids last) and text key; all columns stay.
 
-    Rows that share their id with a document that goes go too, unless they have
-    another text and are kept themselves.
+    Rows are told apart by id and text, so another text of the same id, or
+    another row without id, is judged by its own component. Of rows that share
+    both, one stays. Rows without shingles are linked with nothing and all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), width, percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    rows, classes, linked = _grouped(docs.select("doc_id", "text"), width, percent, "doc_id", "text")
+    least = classes.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
+    again = rows.where("node is not null").groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_i"), F.col("text_key").alias("_t"))
+    kept = least.select(F.col("least.id").alias("_id"), F.col("least.text_key").alias("_text"))
+    kept = stored(kept.join(again, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")), "left").select("_id", "_text", F.isnotnull("_t").alias("_several")), "near-kept")
+    # a table of its own, so that its size is known and a small one is sent around
+    several = stored(kept.where("_several").select("_id", "_text"), "near-several")
+    blank = rows.where("node is null").select(F.col("id").alias("_id"), F.col("text_key").alias("_text")).distinct()
+    single = kept.where("not _several").select("_id", "_text").union(blank)
+    keyed = docs.withColumn("_key", text_key("text"))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))
+    alone = keyed.join(single, here, "left_semi")
+    first = keyed.join(several, here, "left_semi").dropDuplicates(["doc_id", "_key"])
+    return alone.union(first).select(*docs.columns)

@@ -357,6 +357,20 @@ def test_blocks_compare_every_pair(spark, odd, monkeypatch):
     assert bag(near_duplicates.near_duplicates(odd, 2).collect()) == want
 
 
+def test_one_row_of_each_component_stays(spark, odd, empty):
+    """Null, repeated and identical ids: rows are judged one by one."""
+    assert near_duplicates.one_of_each(empty).count() == 0
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a, "x"), (None, a, "x"), (None, b, "x"), (5, a, "x"), (5, c, "x"), (7, d, "x"), (7, d, "x"), (7, d, "y"), (None, b, "x"), (None, b + " end", "x"), (3, " ", "x"), (3, " ", "x"), (None, None, "x")]
+    got = near_duplicates.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    kept = Counter((r.doc_id, r.text) for r in got)
+    assert kept.pop((None, b), 0) + kept.pop((None, b + " end"), 0) == 1
+    assert kept == {(1, a): 1, (5, c): 1, (7, d): 1, (3, " "): 2, (None, None): 1}
+    out = near_duplicates.one_of_each(odd)
+    texts = [(x.doc_id, x.text) for x in out.collect()]
+    assert out.columns == odd.columns and len(texts) == len(set(texts)) + sum(1 for x in odd.collect() if not (x.text or "").split()) - len({t for t in texts if not (t[1] or "").split()})
+
+
 # -- the pipeline ------------------------------------------------------------------
 
 

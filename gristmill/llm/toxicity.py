@@ -8,8 +8,10 @@ of weights can say. Weights are fitted by AdaGrad with soft thresholds, which
 keep terms that tell nothing at zero.
 
 The fit reads a bounded sample of labelled rows, at most ``MOST_TRAIN`` of each
-label, chosen by a hash of doc_id among rows that are not held out; scoring
-reads every row. Labels serve the fit alone.
+label, chosen by a hash of doc_id among rows that are not held out, one text an
+id; scoring reads every row. Where that cap thins the labels unequally, the bias
+is shifted by the log of the rates, so that scores hold for the mix of all
+labelled rows at any size. Labels serve the fit alone.
 
 Null texts are empty and get the score of no terms. Rows with null or repeated
 doc_ids are scored like any other; of repeated labels a document has the larger.
@@ -121,6 +123,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     )
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for value in (0, 1):
         part = known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -130,10 +133,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most:
 
     def make():
         table = _Terms()
-        return lambda ids, texts: [(y, terms(t, table).astype("<i4").tobytes()) for y, t in zip(ids, texts, strict=True)]
-
-    rows = sorted((r[0], bytes(r[1])) for r in per_text(held, "y", "text", "y long, terms binary", make).collect())
-    return FactorizationMachine.fit([np.frombuffer(t, "<i4").astype(np.int64) for _, t in rows], np.array([y for y, _ in rows], float))
+        return lambda ids, texts: [(d, y, terms(t, table).astype("<i4").tobytes()) for (d, y), t in zip(ids, texts, strict=True)]
+
+    found = per_text(held, [F.col("doc_id"), F.col("y").cast("long")], "text", "doc_id long, y long, terms binary", make)
+    # an id may be repeated without bound in the documents: one text of it, the least by its terms, is sent
+    one = found.groupBy("doc_id", "y").agg(F.min("terms").alias("terms")).select("y", "terms")
+    rows = sorted((r[0], bytes(r[1])) for r in one.collect())
+    model = FactorizationMachine.fit([np.frombuffer(t, "<i4").astype(np.int64) for _, t in rows], np.array([y for y, _ in rows], float))
+    if counts.get(0) and counts.get(1):
+        rate = {y: min(counts[y], most) / counts[y] for y in (0, 1)}
+        model.bias -= float(np.log(rate[1] / rate[0]))
+    return model
 
 
 def _scorer(model: FactorizationMachine):

@@ -283,6 +283,23 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert toxicity.toxicity_scores(empty, none).count() == 0 and toxicity.not_toxic(odd, none).count() == odd.count()
 
 
+def test_the_cap_does_not_change_the_mix(spark):
+    """Fitted on as many clean as toxic rows, scores still hold for the mix of all; repeated ids are fitted once."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    n = labels.where((F.col("toxic") == 1) & ~toxicity.held_out(F.col("doc_id"))).count()
+    m = toxicity.fit_toxicity(docs, labels, most=n)
+    table = toxicity._Terms()
+    rows = docs.join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("text", "toxic").collect()
+    score = m.scores([toxicity.terms(r.text or "", table) for r in rows])
+    y = np.array([r.toxic for r in rows])
+    print("false positives", (score[y == 0] >= 0.5).mean(), "recall", (score[y == 1] >= 0.5).mean())
+    assert (score[y == 0] >= 0.5).mean() < 0.005 and (score[y == 1] >= 0.5).mean() > 0.6
+    few, tags = docs.limit(300), labels.limit(300)
+    one, two = (toxicity.fit_toxicity(d, tags) for d in (few, few.union(few)))
+    assert one.bias == two.bias and (one.weights == two.weights).all()
+
+
 # -- 7 -----------------------------------------------------------------------------
 
 

@@ -6,10 +6,11 @@ in numpy from labelled spans, adds forms the rules don't describe (a phone
 number without its plus sign, a card with dots, a spelt-out address).
 
 The model reads overlapping windows. A span of any kind holds a digit or an at
-sign, so a window with neither decodes to nothing and is not run. Each window
-decodes its best tag sequence; spans cut off by a window's edge are left to the
-next window, and over the whole text the best-scoring set of spans that don't
-overlap is kept. Spans of the rules always stay, and model spans that touch one
+sign, so a window with neither is only run where a span of its neighbour goes on
+in it. Each window decodes its best tag sequence. Spans of up to ``WHOLE``
+characters lie whole in some window at any offset; longer ones are stitched from
+the pieces of neighbouring windows. Over the whole text the best-scoring set of
+spans that don't overlap is kept. Spans of the rules always stay, and model spans that touch one
 are dropped. Offsets are code points, ends exclusive.
 
 Null texts are empty and hold nothing; null or repeated doc_ids are rows like
@@ -37,7 +38,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-WINDOW, STRIDE = 96, 64
+WINDOW, STRIDE = 192, 64
+#: The longest span that some window holds with a character to spare on both sides.
+WHOLE = WINDOW - STRIDE - 1
+#: Characters of a labelled case to learn from.
+CASE = 96
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 
@@ -237,14 +242,14 @@ class CharTagger:
 
 
 def _window(text: str) -> np.ndarray:
-    out = np.full(WINDOW, 1, np.int64)
-    s = symbols(text[:WINDOW])
+    out = np.full(CASE, 1, np.int64)
+    s = symbols(text[:CASE])
     out[: len(s)] = s
     return out
 
 
 def _tags(spans: list[tuple[str, int, int]]) -> np.ndarray:
-    y = np.zeros(WINDOW, np.int64)
+    y = np.zeros(CASE, np.int64)
     for kind, a, b in spans:
         k = 1 + 2 * KINDS.index(kind)
         y[a], y[a + 1 : b] = k, k + 1
@@ -282,13 +287,13 @@ def labelled_spans(n: int = 1200, seed: int = 11) -> list[tuple[str, list[tuple[
         for kind in r.choices(list(makers), [2, 1.5, 2, 2.5, 3], k=r.randint(1, 3)):
             made = makers[kind]()
             text += pick([" ", " ", "\n", ", ", ": ", ". "])
-            if kind and len(text) + len(made) < WINDOW:
+            if kind and len(text) + len(made) < CASE:
                 spans.append((kind, len(text), len(text) + len(made)))
             elif kind:
                 break
             text += made
             text += pick([" ", ", ", ".", ".\n"]) + " ".join(word() for _ in range(r.randint(0, 4)))
-        out.append((text[:WINDOW], spans))
+        out.append((text[:CASE], spans))
     return out
 
 
@@ -335,42 +340,65 @@ def reconciled(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int,
 MIN_DIGITS = {"email": 0, "ip": 4, "card": 13, "phone": 9}
 MARK = re.compile(r"[0-9@]")
 #: Windows that are decoded at once.
-BATCH_WINDOWS = 1024
+BATCH_WINDOWS = 512
+
+
+def stitched(pieces: list[tuple[int, int, int, float, bool, bool]]) -> list[tuple[int, int, int, float]]:
+    """Spans longer than ``WHOLE``, of (kind, start, end, score, cut left, cut right) pieces of neighbouring windows."""
+    out, runs = [], {}
+    for kind, a, b, score, left, right in sorted(pieces, key=lambda p: (p[1], p[2])):
+        run = runs.get(kind)
+        if left and run and run[5] and a <= run[1]:
+            # a piece's end holds unless its window cut it off
+            runs[kind] = (run[0], max(b, run[1]), run[2] + score, run[3] + b - a, run[4], right if b >= run[1] else run[5])
+        elif not run or not left:
+            runs[kind] = run = (a, b, score, b - a, not left, right)
+        else:
+            runs.pop(kind)
+            continue
+        a, b, score, seen, begun, open_end = runs[kind]
+        if begun and not open_end and b - a > WHOLE:
+            out.append((kind, a, b, score * (b - a) / seen))
+    return out
 
 
 def model_spans(tagger: CharTagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """Spans that the model finds in each text, reconciled over its windows."""
-    where, rows, found = [], [], [[] for _ in texts]
-
-    def flush():
-        if not rows:
-            return
-        tags, margin = tagger.decode(np.stack(rows))
-        for w in np.flatnonzero(tags.any(0)).tolist():
-            i, at = where[w]
-            for kind, a, b, score in _window_spans(tags[:, w].tolist(), margin[:, w].tolist()):
-                cut = (a == 0 and at > 0) or (b == WINDOW and at + WINDOW < len(texts[i]))
-                if not cut and at + b <= len(texts[i]):
-                    found[i].append((kind, at + a, at + b, score))
-        where.clear(), rows.clear()
-
+    found, pieces, coded = [[] for _ in texts], [[] for _ in texts], {}
+    todo = []
     for i, text in enumerate(texts):
-        last, s = -1, None
+        last = -1
         for m in MARK.finditer(text):
             # the windows that hold this character: from (p - WINDOW, p], at multiples of STRIDE
             p = m.start()
-            for k in range(max(last + 1, (p - WINDOW) // STRIDE + 1, 0), p // STRIDE + 1):
-                if s is None:
-                    s = symbols(text)
-                x = np.full(WINDOW, 1, np.int64)
-                part = s[k * STRIDE : k * STRIDE + WINDOW]
-                x[: len(part)] = part
-                where.append((i, k * STRIDE))
-                rows.append(x)
-                last = k
-                if len(rows) >= BATCH_WINDOWS:
-                    flush()
-    flush()
+            first = max(last + 1, (p - WINDOW) // STRIDE + 1, 0)
+            todo += [(i, k) for k in range(first, p // STRIDE + 1)]
+            last = max(last, p // STRIDE)
+    done = set(todo)
+    while todo:
+        part, todo = todo[:BATCH_WINDOWS], todo[BATCH_WINDOWS:]
+        x = np.full((len(part), WINDOW), 1, np.int64)
+        for row, (i, k) in zip(x, part, strict=True):
+            if i not in coded:
+                coded[i] = symbols(texts[i])
+            s = coded[i][k * STRIDE : k * STRIDE + WINDOW]
+            row[: len(s)] = s
+        tags, margin = tagger.decode(x)
+        for w in np.flatnonzero(tags.any(0)).tolist():
+            i, k = part[w]
+            at, n = k * STRIDE, len(texts[i])
+            for kind, a, b, score in _window_spans(tags[:, w].tolist(), margin[:, w].tolist()):
+                left, right = a == 0 and at > 0, b == WINDOW and at + WINDOW < n
+                if left or right:
+                    pieces[i].append((kind, at + a, at + b, score, left, right))
+                    for near in [(i, k - 1)] * left + [(i, k + 1)] * right:
+                        if near not in done:
+                            done.add(near)
+                            todo.append(near)
+                elif at + b <= n:
+                    found[i].append((kind, at + a, at + b, score))
+    for spans, cut in zip(found, pieces, strict=True):
+        spans += stitched(cut)
     out = []
     for text, spans in zip(texts, found, strict=True):
         kept = []

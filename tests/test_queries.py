@@ -48,3 +48,12 @@ def test_text_queries_follow_plain_python(spark):
         assert r.excerpt == texts[r.doc_id][r.start : r.end] and "hand" in r.excerpt.lower()
     for r in queries.QUERIES["text_changes"](spark, SF).collect():
         assert (r.changed_words == 0) == (texts[r.doc_id].split() == texts[r.old_id].split())
+
+
+def test_message_part_counts_hold_all_documents(spark):
+    got = {r.doc_id: (r.parts, r.longest) for r in queries.QUERIES["message_part_counts"](spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert set(got) == {d for d, t in texts.items() if t}
+    for d, (parts, longest) in got.items():
+        assert parts >= len(texts[d].encode("utf-16-le")) / 2 / 4096 and longest <= min(4096, len(texts[d])) and (parts == 1) == (longest == len(texts[d]))
+    assert max(parts for parts, _ in got.values()) > 1

@@ -1,55 +1,78 @@
 """Ordered folds, where each step depends on what the steps before decided.
 
-Items of a group are gathered in order, so groups have to be bounded (a run, a
-day, an owner), as the budgets and messages they stand for are. The fold itself
-is a JVM expression.
+``admitted`` and ``packed`` stream: a group's rows come sorted in one partition
+and only a small state is carried on, so a group may be of any size, though one
+task folds it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
-def _ordered(rows: DataFrame, group: Sequence[str], order: str, amount: str) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(amount).cast("double").alias("x"))))
-    return rows.groupBy(*group).agg(items.alias("_items"))
+def _streamed(rows: DataFrame, group: Sequence[str], order: str, amount: str) -> DataFrame:
+    """group, _o, _x: each group in order, within one partition."""
+    x = F.col(amount).cast("double")
+    dealt = rows.select(*group, F.col(order).alias("_order"), x.alias("_x")).repartition(*group).sortWithinPartitions(*group, "_order", "_x")
+    return dealt.select(*group, F.col("_order").cast("long").alias("_o"), "_x")
+
+
+def _folded(rows: DataFrame, n_keys: int, start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, Any]], name: str, kind: str) -> DataFrame:
+    """Rows in their order with what ``step`` tells of each (None drops it); the state of a group goes on from batch to batch."""
+    fields = rows.schema.fields
+    schema = StructType([*fields, StructField(name, _parse_datatype_string(kind))])
+    told = to_arrow_type(schema[name].dataType)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:n_keys]), strict=True)) if n_keys else [()] * batch.num_rows
+            out = []
+            for key, x in zip(keys, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if state is None or key != last:
+                    last, state = key, start()
+                state, value = step(state, x)
+                out.append(value)
+            new = pa.array(out, told)
+            made = pa.RecordBatch.from_arrays([*batch.columns, new], [*batch.schema.names, name])
+            yield made.filter(new.is_valid())
+
+    return rows.mapInArrow(run, schema)
 
 
 def admitted(rows: DataFrame, group: Sequence[str], order: str, amount: str, budget: float) -> DataFrame:
     """Items that a budget admits in order: one that doesn't fit is skipped, later ones may still fit."""
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<struct<o:bigint,x:double>>").alias("taken"))
 
-    def step(a: Column, i: Column) -> Column:
-        fits = a["spent"] + i["x"] <= budget
-        return F.struct(
-            F.when(fits, a["spent"] + i["x"]).otherwise(a["spent"]).alias("spent"),
-            F.when(fits, F.concat(a["taken"], F.array(F.struct(i["o"].cast("long").alias("o"), i["x"].alias("x"))))).otherwise(a["taken"]).alias("taken"),
-        )
+    def step(spent: float, x: float | None):
+        return (spent + x, spent + x) if x is not None and spent + x <= budget else (spent, None)
 
-    folded = _ordered(rows, group, order, amount).select(*group, F.aggregate("_items", start, step).alias("f"))
-    return folded.select(*group, F.col("f.spent").alias("spent"), F.explode("f.taken").alias("t")).select(*group, "spent", F.col("t.o").alias(order), F.col("t.x").alias(amount))
+    taken = _folded(_streamed(rows, group, order, amount), len(group), lambda: 0.0, step, "_spent", "double").withColumn("_at", F.monotonically_increasing_id())
+    # backwards, a group's first row tells what was spent in all; rows are where they were, so nothing is dealt again
+    back = taken.sortWithinPartitions(F.desc("_at")).select(*group, "_o", "_x", "_spent")
+    whole = _folded(back, len(group), lambda: (), lambda s, x: (s or (x,), (s or (x,))[0]), "spent", "double")
+    return whole.select(*group, "spent", F.col("_o").alias(order), F.col("_x").alias(amount))
 
 
 def packed(rows: DataFrame, group: Sequence[str], order: str, amount: str, most: float, most_items: int) -> DataFrame:
     """Consecutive batches in order, none over ``most`` or ``most_items`` (a larger item is alone)."""
-    kind = "array<struct<o:bigint,x:double,batch:int>>"
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, i: Column) -> Column:
-        full = (a["n"] > 0) & ((a["sum"] + i["x"] > most) | (a["n"] >= most_items))
-        batch = a["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(
-            batch.alias("batch"),
-            F.when(full, i["x"]).otherwise(a["sum"] + i["x"]).alias("sum"),
-            F.when(full, 1).otherwise(a["n"] + 1).alias("n"),
-            F.concat(a["out"], F.array(F.struct(i["o"].cast("long").alias("o"), i["x"].alias("x"), batch.alias("batch")))).alias("out"),
-        )
-
-    folded = _ordered(rows, group, order, amount).select(*group, F.explode(F.aggregate("_items", start, step)["out"]).alias("t"))
-    return folded.select(*group, F.col("t.o").alias(order), F.col("t.x").alias(amount), F.col("t.batch").alias("batch"))
+
+    def step(state: tuple[int, float | None, int], x: float | None):
+        batch, total, n = state
+        now = None if x is None or total is None else total + x
+        # nan counts as more than any number, a null sum as not over
+        if n and (n >= most_items or (now is not None and not now <= most)):
+            return (batch + 1, x, 1), batch + 1
+        return (batch, now, n + 1), batch
+
+    out = _folded(_streamed(rows, group, order, amount), len(group), lambda: (0, 0.0, 0), step, "batch", "int")
+    return out.select(*group, F.col("_o").alias(order), F.col("_x").alias(amount), "batch")
 
 
 def barrier_groups(rows: DataFrame, group: Sequence[str], order: str, barrier: Column, most: int) -> DataFrame:

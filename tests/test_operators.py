@@ -53,6 +53,19 @@ def test_budget_skips_and_goes_on(spark):
     assert values(folds.packed(d, ["g"], "o", "x", 8.0, 2), "o", "batch") == [(1, 0), (2, 1), (3, 1), (4, 2)]
 
 
+def test_folds_stream_a_large_group(spark):
+    """No group is gathered in a row; the state is carried over batches, nulls are skipped."""
+    d = spark.range(25_000).select(F.when(F.col("id") % 5 > 0, 1).alias("g"), F.col("id").alias("o"), F.when(F.col("id") % 7 > 0, F.lit(1.0)).alias("x"))
+    for df in (folds.admitted(d, ["g"], "o", "x", 12_000.0), folds.packed(d, ["g"], "o", "x", 1e9, 3)):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = {g: [i for i in range(25_000) if (i % 5 > 0) == (g == 1) and i % 7][:12_000] for g in (1, None)}
+    got = folds.admitted(d, ["g"], "o", "x", 12_000.0).collect()
+    assert {g: sorted(r.o for r in got if r.g == g) for g in want} == want
+    assert {(r.g, r.spent) for r in got} == {(g, float(len(w))) for g, w in want.items()}
+    batches = {(r.g, r.o): r.batch for r in folds.packed(d, ["g"], "o", "x", 1e9, 3).collect()}
+    assert batches == {(g, o): k // 3 for g in want for k, o in enumerate(i for i in range(25_000) if (i % 5 > 0) == (g == 1))}
+
+
 def test_trees(spark):
     d = spark.createDataFrame([([(0, "a"), (1, "b"), (0, "a")], None)], "new array<struct<depth:int,name:string>>, old array<struct<depth:int,name:string>>")
     r = d.select(trees.new_stages(F.col("old"), F.col("new"), ["name"]).alias("n"), trees.frames_without_child(F.col("new")).alias("f")).first()

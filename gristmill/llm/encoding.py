@@ -2,7 +2,8 @@
 
 A library call on a whole text costs most of its time on words that were met
 before. Texts are therefore cut at places where the tokenizer itself always
-cuts, and each distinct piece is encoded once a task. Two layouts are known:
+cuts, and each distinct piece is encoded once a worker process, which keeps its
+encoder from task to task. Two layouts are known:
 
 * lower-cased words (NFC, white space dropped, lower case, then pieces);
 * byte-level pieces that carry their leading space.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -31,8 +33,8 @@ BYTE_PIECES = re.compile(rf"{CONTRACTIONS}| ?[{LETTERS}]+| ?[0-9]+| ?[^\s{LETTER
 SAFE = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
 #: Long texts are encoded in parts of about this many characters.
 PART_CHARS = 50_000
-#: Most pieces a task remembers; those met later are encoded each time.
-MOST_PIECES = 1_000_000
+#: Most pieces a worker process remembers; those met later are encoded each time.
+MOST_PIECES = 400_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -72,7 +74,7 @@ class _Ids(dict):
 
 
 class Encoder:
-    """Ids or counts of whole texts by a tokenizer file; one for each task."""
+    """Ids or counts of whole texts by a tokenizer file."""
 
     def __init__(self, path: str, most_pieces: int = MOST_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -92,6 +94,12 @@ class Encoder:
         self.length_of: dict[str, int] = {}
         self.most = most_pieces
 
+    @staticmethod
+    @lru_cache(maxsize=2)
+    def of(path: str) -> Encoder:
+        """The encoder that this process keeps for ``path``."""
+        return Encoder(path)
+
     def plain(self, text: str) -> list[str] | None:
         """The pieces of a plain text, or None if the library has to see the text."""
         if self.pieces is None or ODD.search(text) or (self.special and self.special.search(text)):

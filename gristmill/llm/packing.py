@@ -135,7 +135,7 @@ def pack_documents(
     names = [c.split()[0] for c in SCHEMA.split(",")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 33
         packer, held, waiting, next_row, sequence, step = Packer(windows, step_ids), {}, 0, 0, first, first
 

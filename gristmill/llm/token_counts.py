@@ -40,7 +40,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     """doc_id, n_bytes, n_tokens, over_limit for each row of ``docs``."""
 
     def make():
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
 
         def work(ids, texts):
             sizes = [len(t.encode()) for t in texts]

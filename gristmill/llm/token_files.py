@@ -3,13 +3,18 @@
 The files use what ORC itself offers: integer columns are run-length encoded,
 every stripe has row indexes, and document ids have Bloom filters besides their
 minima and maxima, so that a lookup reads few stripes and a scan reads stripes
-in parallel. A global sort deals documents over files by ranges of doc_id;
-``start_in_file`` counts ids within a file, and the offset of a file is the sum
-of the files before it, which needs one number a file.
+in parallel.
+
+Texts are encoded where they are read, so only ids are shuffled. Each file takes
+a range of doc_ids; the bounds are quantiles of the ids alone. An id that holds
+several files' share of the rows (null counts as one) is spread over as many by
+a hash of the text. ``start_in_file`` counts ids within a file; what the files
+before it hold is one number a file, in a small table beside the files.
 
 Null texts are empty: such a document holds the end id alone. Rows with a null
-doc_id come first, repeated doc_ids are documents of their own next to each
-other, other columns are left out, and an empty table gives no rows.
+doc_id come first. Rows that share a doc_id are documents of their own next to
+each other, in the order of their texts' hashes, then of their ids. Other columns
+are left out, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,70 +24,84 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import shared_path, slices
+from gristmill.llm.common import shared_path, slices, text_key
 from gristmill.llm.encoding import Encoder
 
 END_ID = 2
 SCHEMA = "shard int, doc_id long, start_in_file long, n_tokens long, ids array<int>"
+ENCODED = "shard int, doc_id long, key long, ids array<int>"
+#: Null ids sort first; quantiles see them as the smallest number.
+NO_ID = np.iinfo(np.int64).min
+STRIPE_BYTES = 4 << 20
+
+
+def _bounds(docs: DataFrame, id_col: str, files: int) -> np.ndarray:
+    """Ascending ids that part the rows into ``files`` about equal ranges; a frequent id occurs as often as it fills files."""
+    at = [(k + 1) / files for k in range(files - 1)]
+    if not at:
+        return np.zeros(0, np.int64)
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"))
+    found = ids.agg(F.percentile_approx("id", at, max(10_000, 20 * files)).alias("q")).first().q
+    return np.array(found or [], np.int64)
+
 
+def shards(bounds: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The file of each row: never smaller for a larger (id, key)."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    spread = (keys.astype(np.float64) / 2.0**64 + 0.5) * (high - low + 1)
+    return np.minimum(low + spread.astype(np.int64), high).astype(np.int32)
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode ``docs`` and write the ids to ORC files under ``path``."""
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
+    """Encode ``docs`` and write the ids to ``files`` ORC files (as many as shuffle partitions, if None) under ``path``."""
+    files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _bounds(docs, id_col, files)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, start = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
+        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, keys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            shard = shards(bounds, ids.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False))
             for a, b in slices(texts, 500_000):
                 coded = [encoder.ids(t or "") + end for t in texts[a:b]]
-                sizes = np.array([len(c) // 4 for c in coded])
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                values = np.frombuffer(b"".join(coded), "<i4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(coded), shard, np.int32)),
-                        ids.slice(a, b - a),
-                        pa.array(start + bounds[:-1]),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values)),
-                    ],
-                    ["shard", "doc_id", "start_in_file", "n_tokens", "ids"],
-                )
-                start += int(bounds[-1])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+                starts = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+                values = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), ids.slice(a, b - a), keys.slice(a, b - a), values], ["shard", "doc_id", "key", "ids"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    before = Window.partitionBy("shard").orderBy("doc_id", "key", "ids").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.size("ids").cast("long")
     (
-        rows.repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id")
-        .mapInArrow(run, SCHEMA)
+        # the window is served by the same shuffle and sort that order the files
+        rows.mapInArrow(run, ENCODED).repartitionById(files, "shard")
+        .select("shard", "doc_id", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("start_in_file"), size.alias("n_tokens"), "ids")
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
         .option("orc.row.index.stride", "1000")
-        .option("orc.stripe.size", str(16 << 20))
+        .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("compression", "zstd")
-        .orc(path)
+        .orc(f"{path}/ids")
     )
+    spark = docs.sparkSession
+    # one number a file reaches the driver
+    totals = sorted((r.shard, r.n) for r in spark.read.schema(SCHEMA).orc(f"{path}/ids").groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect())
+    begins = np.concatenate([[0], np.cumsum([n for _, n in totals])])[:-1].tolist()
+    spark.createDataFrame([(k, int(at)) for (k, _), at in zip(totals, begins, strict=True)], "shard int, before long").coalesce(1).write.parquet(f"{path}/offsets")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the files with ``start``: the ids of all documents before, over all files.
 
-    A filter on doc_id reaches the ORC reader, which skips stripes by their
-    ranges and Bloom filters.
+    A filter on doc_id reaches the ORC reader, which skips stripes and row
+    groups by their ranges and Bloom filters.
     """
-    rows = spark.read.schema(SCHEMA).orc(path)
-    totals = sorted((r[0], r[1]) for r in rows.groupBy("shard").agg(F.sum("n_tokens")).collect())
-    before, at = [], 0
-    for shard, n in totals:
-        before.append((shard, at))
-        at += n
-    offsets = spark.createDataFrame(before, "shard int, before long")
+    offsets = spark.read.schema("shard int, before long").parquet(f"{path}/offsets")
+    rows = spark.read.schema(SCHEMA).orc(f"{path}/ids")
+    # a row a file, so this side is small however large the files are
     return rows.join(F.broadcast(offsets), "shard").withColumn("start", F.col("before") + F.col("start_in_file"))
 
 

@@ -236,11 +236,50 @@ def test_token_files_round_trip(spark, odd, empty, tmp_path):
         at += r.n_tokens
     crc = lambda t: zlib.crc32(np.array(library_ids(BYTE_BPE, t, 2), "<u4").tobytes())
     assert Counter((r.doc_id, r.ids_crc32) for r in got) == Counter((r.doc_id, crc(r.text)) for r in odd.collect())
+    # ties: documents of one id stand in the same order, however the rows are dealt
+    again = sorted(token_files.token_file_round_trip(odd.repartition(7, "n_chars"), BYTE_BPE).collect(), key=lambda r: r.start)
+    assert [tuple(r) for r in again] == [tuple(r) for r in got]
     token_files.write_token_files(odd, str(tmp_path / "f"), BYTE_BPE)
     one = token_files.read_token_files(spark, str(tmp_path / "f")).where("doc_id = 5")
     assert [list(r.ids) for r in one.collect()] == [library_ids(BYTE_BPE, "one two", 2)]
 
 
+def test_a_frequent_id_fills_several_token_files_and_the_order_holds():
+    bounds = np.array([token_files.NO_ID, token_files.NO_ID, 5, 9, 9, 9], np.int64)
+    r = np.random.default_rng(0)
+    ids, keys = r.choice(np.array([token_files.NO_ID, 1, 5, 7, 9, 12]), 5000), r.integers(-(2**63), 2**63 - 1, 5000)
+    shard = token_files.shards(bounds, ids, keys)
+    order = np.lexsort([keys, ids])
+    assert (np.diff(shard[order]) >= 0).all() and len(set(shard[ids == 9])) == 4 and len(set(shard[ids == token_files.NO_ID])) == 3
+    assert shard.min() == 0 and shard.max() == 6
+
+
+def scanned_rows(df):
+    """Rows that the file scans of ``df`` gave out in a run."""
+    plan = df._jdf.queryExecution()
+    df._jdf.collectToPython()
+    found, todo = 0, [plan.executedPlan()]
+    while todo:
+        node = todo.pop()
+        if "Adaptive" in node.nodeName() or "QueryStage" in node.nodeName():
+            todo.append(node.executedPlan() if "Adaptive" in node.nodeName() else node.plan())
+        elif node.nodeName().startswith("Scan"):
+            found += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_a_lookup_reads_few_row_groups(spark, tmp_path):
+    docs = spark.range(20_000).selectExpr("id * 3 AS doc_id", "concat('word ', id) AS text")
+    token_files.write_token_files(docs, str(tmp_path / "g"), BYTE_BPE, files=2)
+    rows = spark.read.schema(token_files.SCHEMA).orc(str(tmp_path / "g/ids"))
+    assert scanned_rows(rows.where("doc_id = 30000").select("ids")) <= 1000
+    # between two ids, within every range: only the Bloom filter can tell
+    assert scanned_rows(rows.where("doc_id = 30001").select("ids")) == 0
+    assert scanned_rows(rows.select("ids")) == 20_000
+
+
 def test_packing_covers_every_id_once(odd, empty):
     assert packing.pack_documents(empty, WORD_BPE).count() == 0
     docs = odd.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")

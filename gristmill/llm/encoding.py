@@ -92,6 +92,8 @@ class Encoder:
         self.special = re.compile("|".join(special)) if special else None
         self.ids_of = _Ids(self.tokenizer.model, most_pieces)
         self.length_of: dict[str, int] = {}
+        #: The narrowest integers that hold every id.
+        self.id_type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.most = most_pieces
 
     @staticmethod

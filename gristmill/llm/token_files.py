@@ -5,7 +5,8 @@ every stripe has row indexes, and document ids have Bloom filters besides their
 minima and maxima, so that a lookup reads few stripes and a scan reads stripes
 in parallel.
 
-Texts are encoded where they are read, so only ids are shuffled. Each file takes
+Texts are encoded where they are read, so only ids are shuffled, in two bytes
+each where the vocabulary allows. Each file takes
 a range of doc_ids; the bounds are quantiles of the ids alone. An id that holds
 several files' share of the rows (null counts as one) is spread over as many by
 a hash of the text. ``start_in_file`` counts ids within a file; what the files
@@ -24,7 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import shared_path, slices, text_key
@@ -32,10 +33,12 @@ from gristmill.llm.encoding import Encoder
 
 END_ID = 2
 SCHEMA = "shard int, doc_id long, start_in_file long, n_tokens long, ids array<int>"
-ENCODED = "shard int, doc_id long, key long, ids array<int>"
+ENCODED = "shard int, doc_id long, key long, packed binary"
 #: Null ids sort first; quantiles see them as the smallest number.
 NO_ID = np.iinfo(np.int64).min
 STRIPE_BYTES = 4 << 20
+#: Rows that are unpacked at a time.
+ROWS = 256
 
 
 def _bounds(docs: DataFrame, id_col: str, files: int) -> np.ndarray:
@@ -60,24 +63,33 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = _bounds(docs, id_col, files)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], "<u4").tobytes()
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder.of(tokenizer)
         for batch in batches:
             ids, keys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             shard = shards(bounds, ids.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False))
             for a, b in slices(texts, 500_000):
-                coded = [encoder.ids(t or "") + end for t in texts[a:b]]
-                starts = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-                values = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(coded), "<i4")))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), ids.slice(a, b - a), keys.slice(a, b - a), values], ["shard", "doc_id", "key", "ids"])
+                packed = [np.append(np.frombuffer(encoder.ids(t or ""), "<u4"), end_id).astype(encoder.id_type).tobytes() for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), ids.slice(a, b - a), keys.slice(a, b - a), pa.array(packed, pa.binary())], ["shard", "doc_id", "key", "packed"])
+
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, start = Encoder.of(tokenizer).id_type, 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                shard, doc_id, packed = batch.slice(at, ROWS).columns
+                values = [np.frombuffer(x, kind) for x in packed.to_pylist()]
+                bounds = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(np.concatenate(values).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([shard, doc_id, pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)), ids], ["shard", "doc_id", "start_in_file", "n_tokens", "ids"])
+                start += int(bounds[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
-    before = Window.partitionBy("shard").orderBy("doc_id", "key", "ids").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.size("ids").cast("long")
     (
-        # the window is served by the same shuffle and sort that order the files
-        rows.mapInArrow(run, ENCODED).repartitionById(files, "shard")
-        .select("shard", "doc_id", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("start_in_file"), size.alias("n_tokens"), "ids")
+        rows.mapInArrow(encode, ENCODED)
+        .repartitionById(files, "shard")
+        .sortWithinPartitions("doc_id", "key", "packed")
+        .select("shard", "doc_id", "packed")
+        .mapInArrow(unpack, SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")

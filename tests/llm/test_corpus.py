@@ -367,17 +367,27 @@ def test_the_cap_does_not_change_the_mix(spark):
 # -- 7 -----------------------------------------------------------------------------
 
 
-def test_near_vectors_equal_brute_force(spark):
+def link_matrix(vectors):
+    x = np.array(vectors, np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.9
+    np.fill_diagonal(links, False)
+    return links
+
+
+def vector_rows():
     r = np.random.default_rng(2)
     base = r.normal(size=(150, 24))
     near = np.repeat(base[:40], 3, 0) + r.normal(size=(120, 24)) * r.uniform(0.05, 0.5, (120, 1))
-    rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.concatenate([base, near, np.repeat(base[:1], 60, 0), base[5:6] * 3]))]
+    return [(i, [float(v) for v in x]) for i, x in enumerate(np.concatenate([base, near, np.repeat(base[:1], 60, 0), base[5:6] * 3]))]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_vectors_equal_brute_force(spark, kind):
+    rows = vector_rows()
     bad = [(9000, None), (9001, [0.0] * 24), (9002, [float("nan")] + [1.0] * 23), (9003, [None] + [1.0] * 23), (9004, [float("inf")] * 24), (9005, [1.0]), (9006, [])]
-    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in near_vectors.near_vectors(spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")).collect()}
-    x = np.array([v for _, v in rows], np.float32).astype(float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links = x @ x.T >= 0.9
-    np.fill_diagonal(links, False)
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in near_vectors.near_vectors(spark.createDataFrame(rows + bad, f"vec_id long, embedding array<{kind}>")).collect()}
+    links = link_matrix([v for _, v in rows])
     found = sum(got[i][0] for i, _ in rows)
     assert found >= 0.98 * links.sum() and all(got[i][0] <= links[i].sum() for i, _ in rows)
     assert all(got[k] == (0, k, True) for k, _ in bad)
@@ -385,6 +395,29 @@ def test_near_vectors_equal_brute_force(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("per_list, first, block", [(8, 1024, 1024), (8, 6, 1024), (400, 1024, 16)])
+def test_near_vectors_over_many_lists_levels_and_blocks(spark, monkeypatch, per_list, first, block):
+    for name, value in (("LIST", per_list), ("BLOCK", block), ("PORTION", 2 * block)):
+        monkeypatch.setattr(near_vectors, name, value)
+    fit = near_vectors.Quantiser.fit.__func__
+    monkeypatch.setattr(near_vectors.Quantiser, "fit", classmethod(lambda cls, x, lists: fit(cls, x, lists, first=first)))
+    rows = vector_rows()
+    links = link_matrix([v for _, v in rows])
+    got = {x.vec_id: x for x in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    found = sum(got[i].n_links for i, _ in rows)
+    assert 0.98 * links.sum() <= found <= links.sum() and all(got[i].n_links <= links[i].sum() for i, _ in rows)
+
+
+def test_near_vectors_of_other_lengths_null_and_repeated_ids_and_odd_columns(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], None), (3, [1.0, 0.01], "b"), (None, [0.0, 1.0, 0.0], "c"), (None, [0.01, 1.0, 0.0], "d"), (7, [0.0, 1.0, 0.0], "e"), (7, [1.0, 0.0, 0.0], "f")] + [(100 + i, [float(i == j) for j in range(9)], "g") for i in range(9)]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, list string").withColumn("node", F.lit(1)).withColumn("vector", F.lit("x"))).collect()
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == Counter(
+        [(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 2, 7, False), (None, 2, 7, False), (7, 2, 7, True), (7, 0, 7, True)] + [(100 + i, 0, 100 + i, True) for i in range(9)]
+    )
+    # a length that the sample doesn't hold is compared as one list
+    assert [len(np.unique(near_vectors.Quantiser.single(3).encode(np.eye(3))[0])), len(near_vectors.Quantiser.single(3).probes(np.eye(3), 0.9)[0])] == [1, 3]
+
+
 # -- 9 -----------------------------------------------------------------------------
 
 

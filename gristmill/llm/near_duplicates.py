@@ -3,16 +3,19 @@
 A document is the set of its word shingles. Documents with equal sets form one
 class, and the work goes on with one set a class:
 
-1. The ``SKETCH`` smallest hashes of a set are its sketch. Inverted lists hold,
-   for a retained value, the sets that retain it. Sets of similarity 0.8 share
-   at least ``SHARED`` values (all but 2 in 10 million pairs at the very
-   threshold do, and more above it), so each set only enters the lists of its
-   rarest values, as many as leave ``SHARED`` - 1 out.
-2. In each list the set with the most widely shared values is compared with the
-   others: the bottom-k of the union estimates the similarity, and pairs that
-   may reach the threshold are confirmed on their full sets. A large group of
-   copies falls together here by a number of pairs in proportion to its size.
-   Lists that still hold several components go another round.
+1. The ``SKETCH`` smallest hashes of a set are its sketch. Inverted lists hold
+   the sets that retain a value and, next to it, the same following value: by
+   chance two sets share common words, but hardly two neighbours of a sketch, so
+   lists grow with real copies. Sets of similarity 0.8 share at least ``SHARED``
+   values (all but 2 in 10 million pairs at the very threshold do, and more above
+   it). Where sketches hold whole sets, at most a fifth of the union parts the
+   shared values into fewer runs than there are values, so two of them are
+   neighbours; in longer sets all but 1 in 10 billion pairs share neighbours.
+2. A list of two sets is a pair. In longer ones the two sets with the most widely
+   shared values are compared with the others. The bottom-k of the union estimates
+   the similarity, and pairs that may reach the threshold are confirmed on their
+   full sets. A large group of copies falls together here by a number of pairs in
+   proportion to its size.
 3. Lists that then still hold several components are searched in blocks of
    ``BLOCK`` sets; every pair of a list meets in one. The pairs that pass the
    estimate only serve to form groups of candidates, each set being told by one
@@ -48,6 +51,7 @@ SKETCH, SHARED = 32, 13
 BLOCK, TILE = 1024, 256
 #: Lists of at most so many sets are compared pair by pair, longer ones by counting shared values.
 FEW = 32
+#: Whether long lists are compared with their centres first (1); without (0), blocks do all of it.
 STAR_ROUNDS = 1
 PAIRS_AT_ONCE = 100_000
 LAST = np.iinfo(np.int64).max
@@ -108,41 +112,27 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
         return work
 
     ids = [F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("text_key")]
-    return per_text(docs, ids, text_col, "id long, text_key long, size long, node binary, sketch binary", make)
+    return per_text(docs, ids, text_col, "id long, text_key long, size long, digest binary, sketch binary", make)
+
+
+def neighbours(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value): a hash of each two neighbours of a sketch."""
+    v = sketches.view(np.uint64)
+    row, at = np.nonzero(sketches[:, 1:] != LAST)
+    return row, mixed(v[row, at] * np.uint64(0x9E3779B97F4A7C15) + v[row, at + 1]).view(np.int64)
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(value, node, size, prio): the inverted lists of each set's rarest retained values."""
+    """(value, node, sets): the inverted lists of at least two sets, and how many each has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sketches = _rows(batch.column(2))
-            real = sketches != LAST
-            n = real.sum(1)
-            owner = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sketches[real]), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.repeat(n, n).astype(np.int32))],
-                ["value", "node", "size", "kept"],
-            )
-
-    entries = classes.select("node", "size", "sketch").mapInArrow(run, "value long, node binary, size long, kept int")
-    shared = entries.groupBy("value").agg(F.count("*").alias("sets")).where("sets > 1")
-    # all of 0.8 s must be shared where no partner is cut, and SHARED values else
-    least = F.when(F.col("kept") * 5 < SKETCH * 4, F.ceil(F.col("kept") * 0.8)).otherwise(SHARED)
-    held = (
-        entries.join(shared, "value")
-        .groupBy("node")
-        .agg(
-            F.first("size").alias("size"),
-            F.first("kept").alias("kept"),
-            F.array_sort(F.collect_list(F.struct("sets", "value"))).alias("values"),
-            F.sum(F.round(F.log2("sets") * 1000).cast("long")).alias("prio"),
-        )
-        # values of one set alone are the rarest: they take places but lead nowhere
-        .withColumn("take", (F.size("values") - least + 1).cast("int"))
-        .where("take > 0")
-    )
-    return held.select(F.explode(F.slice("values", 1, F.col("take"))).alias("v"), "node", "size", "prio").select("v.value", "node", "size", "prio")
+            if batch.num_rows:
+                row, value = neighbours(_rows(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.array(value), batch.column(0).take(pa.array(row))], ["value", "node"])
+
+    entries = classes.select("node", "sketch").mapInArrow(run, "value long, node long")
+    return entries.join(entries.groupBy("value").agg(F.count("*").alias("sets")).where("sets > 1"), "value")
 
 
 def _passed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -156,7 +146,7 @@ def _passed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     a = classes.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("sketch").alias("s"))
     b = classes.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("sketch").alias("t"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n", "s", "m", "t").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "n", "s", "m", "t").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col: str, id_col: str, width: int, percent: int) -> DataFrame:
@@ -184,32 +174,28 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text_col:
                 keep.append(100 * common >= percent * (len(mine) + len(held) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
-
-
-def _with_component(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return lists.withColumn("component", F.col("node"))
-    known = components(links, "near-components")
-    return lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return both.mapInArrow(run, "a long, b long")
 
 
-def _mixed_lists(lists: DataFrame) -> DataFrame:
-    """The rows of lists that hold more than one component, with ``members``."""
+def _mixed_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of lists that hold more than one component of ``links``, with ``component`` and ``members``."""
+    known = stored(components(links, "near-components"), "near-components")
+    lists = stored(lists.select("value", "node").join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-lists")
     kinds = lists.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
     return lists.join(kinds.select("value", "members"), "value")
 
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
-    """In each list: its best set against those of other components; then the best set of the next component likewise."""
-    best = lists.groupBy("value", "component").agg(F.max(F.struct("prio", "node")).alias("best"))
-    top = best.groupBy("value").agg(F.max(F.struct("best", "component")).alias("top"))
-    second = best.join(top, "value").where("component <> top.component").groupBy("value").agg(F.max(F.struct("best", "component")).alias("top"))
-    centres = top.union(second).select("value", F.col("top.best.node").alias("c"), F.col("top.component").alias("c_component"))
-    return (
-        lists.join(centres, "value").where("component <> c_component")
-        .select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
-    )
+def _first_pairs(held: DataFrame) -> DataFrame:
+    """The pairs of lists of two; in longer ones, the two sets that share most widely with all others."""
+    two = held.where("sets = 2").groupBy("value").agg(F.min("node").alias("a"), F.max("node").alias("b")).select("a", "b")
+    if not STAR_ROUNDS:
+        return two.distinct()
+    shares = held.groupBy("node").agg(F.sum(F.round(F.log2("sets") * 1000).cast("long")).alias("shares"))
+    lists = stored(held.where("sets > 2").join(shares, "node").select("value", F.struct("shares", "node").alias("set")), "near-lists")
+    first = lists.groupBy("value").agg(F.max("set").alias("centre"))
+    second = lists.join(first, "value").where("set <> centre").groupBy("value").agg(F.max("set").alias("centre"))
+    stars = lists.join(first.union(second), "value").where("set <> centre").select(F.least("set.node", "centre.node").alias("a"), F.greatest("set.node", "centre.node").alias("b"))
+    return two.union(stars).distinct()
 
 
 def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -245,7 +231,7 @@ def _candidates(lists: DataFrame, classes: DataFrame) -> DataFrame:
         for table, starts in whole_groups(batches, ["value", "lo", "hi"]):
             sizes, sketches = table.column("size").to_numpy(), _rows(table.column("sketch"))
             nodes = table.column("node").combine_chunks()
-            _, component = np.unique(np.array(table.column("component").to_pylist(), object), return_inverse=True)
+            component = table.column("component").to_numpy()
             block, across = table.column("block").to_numpy(), table.column("lo").to_numpy() != table.column("hi").to_numpy()
             ends = np.append(starts[1:], table.num_rows)
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -272,11 +258,11 @@ def _candidates(lists: DataFrame, classes: DataFrame) -> DataFrame:
     n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     rows = (
         lists.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-        .join(classes.select("node", "sketch"), "node")
+        .join(classes.select("node", "size", "sketch"), "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         .select("value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "size", "sketch")
     )
-    return rows.repartition("value", "lo", "hi").sortWithinPartitions("value", "lo", "hi").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("value", "lo", "hi").sortWithinPartitions("value", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def _sizes_fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -323,8 +309,7 @@ def _tile_links(candidates: DataFrame, lists: DataFrame, classes: DataFrame, doc
         for table, starts in whole_groups(batches, ["tile", "lo", "hi"]):
             for first, last in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
                 part = table.slice(first, last - first)
-                nodes, linked = part.column("node").combine_chunks(), np.array(part.column("linked").to_pylist(), object)
-                _, linked = np.unique(linked, return_inverse=True)
+                nodes, linked = part.column("node").combine_chunks(), part.column("linked").to_numpy()
                 sets = shingle_sets(part.column("text").to_pylist(), hashes, width)
                 n = np.array([len(x) for x in sets])
                 found = []
@@ -335,7 +320,7 @@ def _tile_links(candidates: DataFrame, lists: DataFrame, classes: DataFrame, doc
                 told = np.flatnonzero(label != np.arange(len(sets)))
                 yield pa.RecordBatch.from_arrays([nodes.take(pa.array(told)), nodes.take(pa.array(label[told]))], ["a", "b"])
 
-    return rows.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -343,9 +328,10 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     if percent < 80:
         raise ValueError("the sketches are sized for similarities of 80 percent and more")
     rows = stored(_sketched(docs, id_col, text_col, width), "near-sketches")
+    # numbers of classes: they are written before they are used, so they stay
     classes = stored(
-        rows.where("node is not null")
-        .groupBy("node")
+        rows.where("digest is not null")
+        .groupBy("digest")
         .agg(
             F.min("id").alias("id"),
             F.min(F.struct(F.coalesce("id", F.lit(0)).alias("at_id"), F.col("text_key").alias("at_text"))).alias("at"),
@@ -353,29 +339,16 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
             F.first("size").alias("size"),
             F.first("sketch").alias("sketch"),
         )
-        .select("node", "id", "at.at_id", "at.at_text", "least", "size", "sketch"),
+        .select(F.monotonically_increasing_id().alias("node"), "digest", "id", "at.at_id", "at.at_text", "least", "size", "sketch"),
         "near-classes",
     )
     lists = stored(_lists(classes), "near-lists")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        passed = stored(_passed(pairs, classes), "near-pairs")
-        return stored(_confirmed(passed, classes, docs, text_col, id_col, width, percent), "near-links")
-
-    links = None
-    for _ in range(STAR_ROUNDS):
-        now = stored(_mixed_lists(_with_component(lists.select("value", "node", "size", "prio"), links)), "near-lists")
-        new = links_of(_star_pairs(now))
-        if new.isEmpty():
-            break
-        links = new if links is None else links.union(new)
-        # homogeneous lists are done
-        lists = now
-    now = stored(_mixed_lists(_with_component(lists.select("value", "node", "size", "prio"), links)), "near-lists")
-    candidates = stored(_candidates(now, classes), "near-candidates")
-    new = stored(_tile_links(candidates, now, classes, docs, id_col, text_col, width, percent), "near-links")
-    links = new if links is None else links.union(new)
-    return rows, classes, components(links, "near-components")
+    passed = stored(_passed(_first_pairs(lists), classes), "near-pairs")
+    links = stored(_confirmed(passed, classes, docs, text_col, id_col, width, percent), "near-links")
+    mixed_lists = stored(_mixed_lists(lists.where("sets > 2"), links), "near-lists")
+    candidates = stored(_candidates(mixed_lists, classes), "near-candidates")
+    more = stored(_tile_links(candidates, mixed_lists, classes, docs, id_col, text_col, width, percent), "near-links")
+    return rows, classes, components(links.union(more), "near-components")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,11 +357,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     named = linked.join(classes.select("node", "id"), "node")
     ids = named.groupBy("component").agg(F.min("id").alias("component_id"))
     grouped = named.join(ids, "component").select("node", "component_id")
-    alone = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.coalesce("component_id", "own"))
+    by_class = stored(classes.select("node", "digest", F.col("id").alias("own")).join(grouped, "node", "left").select("digest", F.coalesce("component_id", "own").alias("component_id")), "near-results")
+    alone = rows.where("digest is null").select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("id").alias("component_id"))
     return (
-        rows.select("id", F.col("size").alias("n_shingles"), "node")
-        .join(classes.select("node", F.col("id").alias("own")).join(grouped, "node", "left"), "node", "left")
-        .select(F.col("id").alias("doc_id"), "n_shingles", alone.alias("component_id"))
+        rows.where("digest is not null").join(by_class, "digest")
+        .select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), "component_id").union(alone)
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
@@ -402,12 +375,12 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     rows, classes, linked = _grouped(docs.select("doc_id", "text"), width, percent, "doc_id", "text")
     least = classes.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
-    again = rows.where("node is not null").groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_i"), F.col("text_key").alias("_t"))
+    again = rows.where("digest is not null").groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_i"), F.col("text_key").alias("_t"))
     kept = least.select(F.col("least.id").alias("_id"), F.col("least.text_key").alias("_text"))
     kept = stored(kept.join(again, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")), "left").select("_id", "_text", F.isnotnull("_t").alias("_several")), "near-kept")
     # a table of its own, so that its size is known and a small one is sent around
     several = stored(kept.where("_several").select("_id", "_text"), "near-several")
-    blank = rows.where("node is null").select(F.col("id").alias("_id"), F.col("text_key").alias("_text")).distinct()
+    blank = rows.where("digest is null").select(F.col("id").alias("_id"), F.col("text_key").alias("_text")).distinct()
     single = kept.where("not _several").select("_id", "_text").union(blank)
     keyed = docs.withColumn("_key", text_key("text"))
     here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))

@@ -10,7 +10,9 @@ class, and the work goes on with one set a class:
    values (all but 2 in 10 million pairs at the very threshold do, and more above
    it). Where sketches hold whole sets, at most a fifth of the union parts the
    shared values into fewer runs than there are values, so two of them are
-   neighbours; in longer sets all but 1 in 10 billion pairs share neighbours.
+   neighbours. Longer sets share 22 neighbours on average at the threshold, so of
+   those only ``LISTED`` eighths by hash make lists: all but 3 in 10 million pairs
+   at the very threshold still share one.
 2. A list of two sets is a pair. In longer ones the two sets with the most widely
    shared values are compared with the others. The bottom-k of the union estimates
    the similarity, and pairs that may reach the threshold are confirmed on their
@@ -47,6 +49,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import WordHashes, components, mixed, per_text, stored, text_key, whole_groups
 
 SKETCH, SHARED = 32, 13
+#: Eighths of the neighbours in a full sketch that make lists.
+LISTED = 5
 #: Sets of a list that are compared at a time, and texts of half a tile.
 BLOCK, TILE = 1024, 256
 #: Lists of at most so many sets are compared pair by pair, longer ones by counting shared values.
@@ -116,10 +120,12 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
 
 
 def neighbours(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, value): a hash of each two neighbours of a sketch."""
+    """(row, value): a hash of each two neighbours of a sketch; of a full sketch, of those that are listed."""
     v = sketches.view(np.uint64)
     row, at = np.nonzero(sketches[:, 1:] != LAST)
-    return row, mixed(v[row, at] * np.uint64(0x9E3779B97F4A7C15) + v[row, at + 1]).view(np.int64)
+    value = mixed(v[row, at] * np.uint64(0x9E3779B97F4A7C15) + v[row, at + 1])
+    keep = (sketches[row, -1] == LAST) | ((value & np.uint64(7)) < LISTED)
+    return row[keep], value[keep].view(np.int64)
 
 
 def _lists(classes: DataFrame) -> DataFrame:

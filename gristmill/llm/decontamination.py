@@ -4,9 +4,10 @@ Words (letters and digits, lower case) of benchmark items and documents are
 compared. A document is a candidate for an item if they share a seed of
 ``MIN_MATCH`` words; the seeds of a bounded block of items are held as sorted
 hashes, so the documents are read once a block and never shuffled. For each
-candidate pair greedy string tiling repeats: the longest matches that don't
-overlap a tile are found by Karp-Rabin fingerprints and marked as tiles, until
-no match of ``MIN_MATCH`` words is left. Tiles may lie in any order, so passages
+candidate pair all maximal matches are found by Karp-Rabin fingerprints; the
+longest is marked as a tile, again and again, and of a match that tiles partly
+cover, what is left of ``MIN_MATCH`` words or more waits for its turn. So the next
+tile is always the longest free match. Tiles may lie in any order, so passages
 that were moved around are found too. The share of an item's words under tiles
 is its coverage; from ``coverage`` on the document is contaminated.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import repeat
 
 import numpy as np
@@ -52,11 +54,11 @@ def greedy_tiles(item: list[int], doc: list[int], least: int = MIN_MATCH) -> lis
     base, mod = 1_000_003, (1 << 61) - 1
     top = pow(base, least - 1, mod)
 
-    def prints(seq: list[int], free: list[bool]) -> Iterator[tuple[int, int]]:
-        """(fingerprint, start) of each run of free, known words, rolled on word by word."""
+    def prints(seq: list[int]) -> Iterator[tuple[int, int]]:
+        """(fingerprint, start) of each run of known words, rolled on word by word."""
         value = run = 0
         for i, x in enumerate(seq):
-            if not free[i] or not x:
+            if not x:
                 value = run = 0
                 continue
             if run >= least:
@@ -66,28 +68,40 @@ def greedy_tiles(item: list[int], doc: list[int], least: int = MIN_MATCH) -> lis
             if run >= least:
                 yield value, i - least + 1
 
-    while True:
-        at = defaultdict(list)
-        for value, i in prints(item, free_item):
-            at[value].append(i)
-        matches = []
-        for value, j in prints(doc, free_doc):
-            for i in at.get(value, ()):
-                if i and j and item[i - 1] == doc[j - 1] and free_item[i - 1] and free_doc[j - 1]:
-                    continue  # part of a match that starts before
-                n = 0
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and free_item[i + n] and free_doc[j + n]:
-                    n += 1
-                if n >= least:
-                    matches.append((n, i, j))
-        if not matches:
-            return tiles
-        for n, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_item[i] and free_item[i + n - 1] and free_doc[j] and free_doc[j + n - 1] and all(free_item[i : i + n]) and all(free_doc[j : j + n]):
-                tiles.append((i, j, n))
-                free_item[i : i + n] = free_doc[j : j + n] = [False] * n
-        if all(not x for x in free_item):
-            return tiles
+    at = defaultdict(list)
+    for value, i in prints(item):
+        at[value].append(i)
+    # a heap of all maximal matches, the longest first
+    matches = []
+    for value, j in prints(doc):
+        for i in at.get(value, ()):
+            if i and j and item[i - 1] == doc[j - 1]:
+                continue  # part of a match that starts before
+            n = 0
+            while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n]:
+                n += 1
+            if n >= least:
+                matches.append((-n, i, j))
+    heapify(matches)
+    while matches:
+        n, i, j = heappop(matches)
+        runs, start = [], None
+        for k in range(-n + 1):
+            free = k < -n and free_item[i + k] and free_doc[j + k]
+            if free and start is None:
+                start = k
+            elif not free and start is not None:
+                runs.append((start, k))
+                start = None
+        if runs == [(0, -n)]:
+            tiles.append((i, j, -n))
+            free_item[i : i - n] = free_doc[j : j - n] = [False] * -n
+            continue
+        # tiles cover some of it: what they leave waits for its turn
+        for first, last in runs:
+            if last - first >= least:
+                heappush(matches, (first - last, i + first, j + first))
+    return tiles
 
 
 class Block:

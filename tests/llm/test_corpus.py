@@ -93,6 +93,31 @@ def test_tiling_finds_reordered_passages(spark):
     assert {x.doc_id for x in decontamination.decontaminated(d, b).collect()} == {k for k, _ in docs} - {k for k, _ in want}
 
 
+def test_tiles_are_the_greedy_ones():
+    r = random.Random(5)
+    cases = [([*range(1, 25)], [*range(1, 13), 0, *range(9, 21), 0, *range(18, 25)])]
+    for _ in range(600):
+        letters = range(1, r.choice((3, 4, 8)))
+        cases.append(([r.choice(letters) for _ in range(r.randint(1, 30))], [r.choice((0, *letters)) for _ in range(r.randint(0, 40))]))
+    for item, doc in cases:
+        for least in (2, 5):
+            tiles = decontamination.greedy_tiles(item, doc, least)
+            assert sum(n for _, _, n in tiles) == naive_coverage(item, [x or -1 for x in doc], least)
+            assert all(item[i : i + n] == doc[j : j + n] for i, j, n in tiles)
+
+
+def test_decontamination_of_odd_rows(spark, odd, empty):
+    shared = odd_rows()[8][1]
+    b = spark.createDataFrame([(1, shared, 0), (1, shared, 1), (None, "copy of", 2), (3, None, 3), (4, "", 4), (5, "nowhere to be found at all", 5)], "item_id long, text string, doc_id int")
+    found = {(p.doc_id, p.item_id) for p in decontamination.contaminated_pairs(odd, b).collect()}
+    has = [i for i, t, *_ in odd_rows() if t and shared in t]
+    assert found == {(i, 1) for i in has} | {(500 + i, None) for i in range(40)}
+    kept = decontamination.decontaminated(odd, b)
+    assert kept.columns == odd.columns and kept.count() == odd.count() - len(has)
+    assert decontamination.contaminated_pairs(empty, b).count() == 0 and decontamination.contaminated_pairs(odd, b.limit(0)).count() == 0
+    assert bag(decontamination.decontaminated(odd, b.limit(0)).collect()) == bag(odd.collect())
+
+
 def test_benchmark_in_blocks_finds_the_same(spark, monkeypatch):
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = bag(decontamination.contaminated_pairs(d, b).collect())

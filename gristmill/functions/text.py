@@ -40,9 +40,17 @@ def strong_hit(hits: Column, weak: Sequence[str]) -> Column:
 
 
 def enough_hits(counts: Column, weak: Sequence[str], least_distinct: int = 2, least_total: int = 3) -> Column:
-    """A long text passes with enough different or enough total hits, but never on weak ones alone."""
-    total = F.aggregate(F.map_values(counts), F.lit(0).cast("long"), lambda a, x: a + x)
-    return strong_hit(F.map_keys(counts), weak) & ((F.size(counts) >= least_distinct) | (total >= least_total))
+    """A long text passes with enough different or enough total hits, but never on weak ones alone.
+
+    One fold over the counts, so that the patterns run once a text.
+    """
+    zero = F.struct(F.lit(0).alias("names"), F.lit(0).cast("long").alias("total"), F.lit(False).alias("strong"))
+    return F.aggregate(
+        F.map_entries(counts),
+        zero,
+        lambda a, x: F.struct((a["names"] + 1).alias("names"), (a["total"] + x["value"]).alias("total"), (a["strong"] | ~x["key"].isin(*weak)).alias("strong")),
+        lambda a: a["strong"] & ((a["names"] >= least_distinct) | (a["total"] >= least_total)),
+    )
 
 
 def contains_folded(text: Column, needle: str) -> Column:
@@ -71,17 +79,22 @@ def reference_numbers(text: Column, pattern: str = r"(\d{2,})(?:-[A-Z])?") -> Co
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
 
 
+#: Numerals of 0 to 9 for units, tens and hundreds; thousands go up to three.
+_DIGITS = [["", *d.split()] for d in ("I II III IV V VI VII VIII IX", "X XX XXX XL L LX LXX LXXX XC", "C CC CCC CD D DC DCC DCCC CM", "M MM MMM")]
+_NUMERAL = r"^(M{0,3})(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
+
+
 def roman_value(numeral: Column) -> Column:
-    """Value of a numeral of I, V and X; null for anything else."""
-    one = lambda c: F.when(c == "X", 10).when(c == "V", 5).when(c == "I", 1)
-    digits = F.transform(F.filter(F.split(F.reverse(F.upper(numeral)), ""), lambda c: c != ""), one)
-    fold = F.aggregate(
-        digits,
-        F.struct(F.lit(0).alias("total"), F.lit(0).alias("top")),
-        lambda a, x: F.struct((a["total"] + F.when(x < a["top"], -x).otherwise(x)).alias("total"), F.greatest(a["top"], x).alias("top")),
-        lambda a: a["total"],
-    )
-    return F.when(F.upper(numeral).rlike("^[IVX]+$"), fold)
+    """Value of a well-formed numeral up to 3999 in either case; null for anything else, the empty text too."""
+    upper = F.upper(numeral)
+    place = lambda k: (F.array_position(F.array(*[F.lit(d) for d in _DIGITS[k]]), F.regexp_extract(upper, _NUMERAL, 4 - k)) - 1) * 10**k
+    return F.when(upper.rlike(_NUMERAL) & (upper != ""), (place(3) + place(2) + place(1) + place(0)).cast("int"))
+
+
+def roman_numeral(value: Column) -> Column:
+    """The numeral of 1 to 3999; null outside."""
+    digit = lambda k: F.get(F.array(*[F.lit(d) for d in _DIGITS[k]]), (F.floor(value / 10**k) % 10).cast("int"))
+    return F.when(value.between(1, 3999), F.concat(*[digit(k) for k in (3, 2, 1, 0)]))
 
 
 def utf16_length(text: Column) -> Column:
@@ -112,9 +125,10 @@ def typographic(text: Column) -> Column:
 
 
 def planned_quarter(text: Column, word: str = "quarter") -> Column:
-    """``2026-Q3`` of "II/III quarter 2026": the last numeral counts; null without one."""
-    pattern = rf"(?i)\b(?:(?:IV|I{{1,3}})\s*/\s*)?(IV|I{{1,3}})\s+{word}\s+(\d{{4}})"
-    return F.when(text.rlike(pattern), F.concat(F.regexp_extract(text, pattern, 2), F.lit("-Q"), roman_value(F.regexp_extract(text, pattern, 1)).cast("string")))
+    """``2031-Q2`` of a plan like "I / II quarter 2031": of several numerals the last; null unless it is one to four."""
+    pattern = rf"(?i)\b([IVX]+(?:\s*/\s*[IVX]+)*)\s+{word}\s+([0-9]{{4}})"
+    number = roman_value(F.trim(F.element_at(F.split(F.regexp_extract(text, pattern, 1), "/"), -1)))
+    return F.when(number.between(1, 4), F.concat_ws("-Q", F.regexp_extract(text, pattern, 2), number.cast("string")))
 
 
 def worded_date(text: Column, months: Sequence[str]) -> Column:

@@ -21,10 +21,13 @@ def first_match(groups: DataFrame, members: str, rows: DataFrame, key: str, cond
 
 
 def newest_not_before(rows: DataFrame, candidates: DataFrame, key: str, moment: str, made: str, value: str) -> DataFrame:
-    """``rows`` with the newest candidate of the same key made at or after the row's moment."""
-    side = candidates.select(F.col(key).alias("_key"), F.col(made).alias("_made"), F.col(value).alias("_value"))
-    found = rows.join(side, (rows[key] == F.col("_key")) & (F.col("_made") >= rows[moment]), "left")
-    return found.groupBy(*rows.columns).agg(F.max(F.struct("_made", "_value")).alias("_best")).select(*rows.columns, F.col("_best._value").alias("newest"))
+    """``rows`` with the newest candidate of the same key made at or after the row's moment.
+
+    That is the key's newest candidate of all, or none: one row a key meets the rows.
+    """
+    last = candidates.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(F.col(made).alias("made"), F.col(value).alias("value"))).alias("_last"))
+    newest = F.when(F.col("_last.made") >= rows[moment], F.col("_last.value"))
+    return rows.join(last, rows[key] == F.col("_key"), "left").select(*[rows[c] for c in rows.columns], newest.alias("newest"))
 
 
 def by_fallback_keys(rows: DataFrame, dim: DataFrame, name: str, keys: Sequence[tuple[str, Column, Column]], value: str) -> DataFrame:
@@ -58,3 +61,38 @@ def sharing_any(left: DataFrame, right: DataFrame, left_key: str, left_set: str,
     a = left.select(left_key, F.explode(F.array_distinct(left_set)).alias("_x"))
     b = right.select(right_key, F.explode(F.array_distinct(right_set)).alias("_x"))
     return a.join(b, "_x").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+
+
+#: Words that a key of :func:`containing` has at most.
+KEY_WORDS = 4
+
+
+def containing(docs: DataFrame, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """(item, n_docs): how many rows of ``docs`` hold each item's text as a part, character by character.
+
+    The first and last words of an item may be parts of a document's words, but
+    those between are whole, so up to ``KEY_WORDS`` of them are its key. One pass
+    over a document gives its runs of so many words, hashed; only documents that
+    share a key are looked at again. Items of less than three words have no such
+    key; they are looked for in every document. Null texts hold nothing, null items
+    are held by nothing, and an empty item by every text.
+    """
+    docs = docs.select(F.col(text).alias("_text")).where("_text is not null").withColumn("_row", F.xxhash64("_text"))
+    texts = docs.groupBy("_row", "_text").agg(F.count("*").alias("_n"))
+    words = F.filter(F.split("_item", r"\s+"), lambda w: w != "")
+    held = items.select(F.col(item).alias("_id"), F.col(item_text).alias("_item")).withColumn("_words", words)
+    held = held.withColumn("_size", F.least(F.size("_words") - 2, F.lit(KEY_WORDS)))
+    sizes = sorted(r[0] for r in held.where("_item is not null").select("_size").distinct().collect())
+    key = F.xxhash64("_size", F.array_join(F.expr("slice(_words, 2, greatest(_size, 0))"), " "))
+    pairs = held.where("_size < 1").select("_id", "_item").join(texts.select("_row", "_text"), F.contains("_text", "_item"))
+    hits = pairs.select("_id", "_row")
+    for k in (n for n in sizes if n > 0):
+        some = held.where(F.col("_size") == k).select("_id", "_item", key.alias("_key"))
+        run = rf"(?<!\S)(?=(\S+(?:\s+\S+){{{k - 1}}}))"
+        grams = docs.select("_row", F.explode(F.regexp_extract_all("_text", F.lit(run), F.lit(1))).alias("_gram"))
+        grams = grams.select("_row", F.xxhash64(F.lit(k), F.regexp_replace("_gram", r"\s+", " ")).alias("_key"))
+        maybe = grams.join(some, "_key").select("_row", "_id", "_item").distinct()
+        hits = hits.union(maybe.join(texts, "_row").where(F.contains("_text", "_item")).select("_id", "_row"))
+    counts = hits.join(texts.select("_row", "_n"), "_row").groupBy("_id").agg(F.sum("_n").alias("n_docs"))
+    found = counts.select(F.col("_id").alias(item), "n_docs")
+    return items.select(item).join(found, item, "left").select(item, F.coalesce("n_docs", F.lit(0)).alias("n_docs"))

@@ -335,15 +335,7 @@ def set_overlap(spark, sf_dir):
 
 @query("SELECT item_id, (SELECT count(*) FROM documents d WHERE contains(d.text, b.text)) AS n_docs FROM benchmark b")
 def benchmark_overlap(spark, sf_dir):
-    # first words narrow the pairs by equality; the whole item is then looked for
-    d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    gram = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 4, F.lit(0))), lambda i: F.array_join(F.slice(c, i + 1, 4), " "))
-    words = F.split(F.trim(F.regexp_replace(F.col("text"), r"\s+", " ")), " ")
-    # edge words of an item may be parts of a document's words, so its second to fifth words are the key
-    items = b.withColumn("key", F.array_join(F.slice(F.split(F.trim(F.regexp_replace("item", r"\s+", " ")), " "), 2, 4), " "))
-    grams = d.select("doc_id", F.explode(F.array_distinct(gram(words))).alias("key")).join(F.broadcast(items.select("key").distinct()), "key", "left_semi")
-    hits = grams.join(items, "key").join(d, "doc_id").where(F.expr("contains(text, item)")).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"))
-    return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+    return joins.containing(table(spark, sf_dir, "documents"), "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
 # -- rollups -----------------------------------------------------------------------

@@ -106,3 +106,22 @@ def test_excerpts_merge_windows(spark):
 def test_text_changes(spark):
     d = spark.createDataFrame([("One two. Three four.", "One two. Three five."), ("", ""), (None, "x")], "a string, b string")
     assert [(r.changed_words, r.changed_share) for r in pages.text_changes(d, "a", "b").collect()] == [(1, 0.25), (0, 1.0), (1, 1.0)]
+
+
+def test_items_of_any_length_are_found_in_documents(spark):
+    texts = ["aa bb cc dd eeX and more", "aa  bb cc", "x aa bb cc dd ee", None, "", "aa bb cc dd ee ff gg", "xbb cc ddx", "xbb cc ddx"]
+    items = ["aa bb cc dd ee", "bb cc dd", "aa bb cc dd ee ff", "b", "", "aa bb", " cc", "zz yy", None, "a bb cc d", "aa  bb", "aa bb cc"]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    want = {k: 0 if x is None else sum(t is not None and x in t for t in texts) for k, x in enumerate(items)}
+    assert {r.item_id: r.n_docs for r in joins.containing(d, "text", i, "item_id", "text").collect()} == want
+
+
+def test_numerals_there_and_back(spark):
+    d = spark.range(0, 4001).select("id", text.roman_numeral(F.col("id")).alias("r"))
+    got = d.withColumn("v", text.roman_value(F.lower("r"))).collect()
+    assert all(r.v == (r.id if 1 <= r.id <= 3999 else None) for r in got)
+    bad = spark.createDataFrame([("IIII",), ("VX",), ("IC",), ("",), (None,), ("MMMM",), ("I V",)], "r string").select(text.roman_value(F.col("r")).alias("v"))
+    assert [r.v for r in bad.collect()] == [None] * 7
+    plans = spark.createDataFrame([("by the IV quarter 2031",), ("I / II Quarter 2031",), ("V quarter 2031",), ("the quarter 2031",), (None,)], "p string")
+    assert [r.q for r in plans.select(text.planned_quarter(F.col("p")).alias("q")).collect()] == ["2031-Q4", "2031-Q2", None, None, None]

@@ -75,6 +75,23 @@ def packed(rows: DataFrame, group: Sequence[str], order: str, amount: str, most:
     return out.select(*group, F.col("_o").alias(order), F.col("_x").alias(amount), "batch")
 
 
+def bundled(rows: DataFrame, group: Sequence[str], at: str, most: float) -> DataFrame:
+    """``rows`` with ``bundle``, from 0 in each group: a bundle is closed by the first row more than ``most`` after its first.
+
+    Rows without a moment are left out; ties go by the other columns.
+    """
+    others = [c for c in rows.columns if c not in group and c != at]
+    dealt = rows.where(F.col(at).isNotNull()).select(*group, *others, at).repartition(*group).sortWithinPartitions(*group, at, *others)
+
+    def step(state: tuple[float | None, int], x: float):
+        first, n = state
+        if first is None:
+            return (x, 0), 0
+        return ((x, n + 1), n + 1) if x - first > most else (state, n)
+
+    return _folded(dealt, len(group), lambda: (None, 0), step, "bundle", "int")
+
+
 def barrier_groups(rows: DataFrame, group: Sequence[str], order: str, barrier: Column, most: int) -> DataFrame:
     """Runs between barriers, cut after ``most`` rows; a barrier row is a group of its own."""
     w = Window.partitionBy(*group).orderBy(order)

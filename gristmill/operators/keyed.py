@@ -61,3 +61,11 @@ def linked_both_ways(rows: DataFrame, links: DataFrame, key: str, left: str, rig
     """``rows`` with ``linked``: the partner of a link, whichever side of it the row is on."""
     pairs = links.select(F.col(left).alias(key), F.col(right).alias("linked")).union(links.select(F.col(right), F.col(left)))
     return rows.join(pairs.groupBy(key).agg(F.min("linked").alias("linked")), key, "left")
+
+
+def compared(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, state: what became of each key from one version to the next: new, gone, changed or unchanged."""
+    o, n = (x.select(*keys, F.col(value).alias(name), F.lit(True).alias(f"{name}_has")) for x, name in ((old, "_was"), (new, "_is")))
+    both = o.join(n, list(keys), "full_outer")
+    kept = F.when(F.col("_was").eqNullSafe(F.col("_is")), "unchanged").otherwise("changed")
+    return both.select(*keys, F.when(F.col("_is_has").isNull(), "gone").when(F.col("_was_has").isNull(), "new").otherwise(kept).alias("state"))

@@ -12,6 +12,8 @@ def _ready(df: DataFrame) -> None:
     context = df.sparkSession.sparkContext
     where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if not where and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='gristmill-')}")
 
 

@@ -24,13 +24,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests on one machine, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    everything runs on one machine, a temporary folder takes its place; on a
+    cluster each executor would write to a disk of its own, so that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext
         if not context.getCheckpointDir():
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='gristmill-')}")
         where = context.getCheckpointDir()
     return where.rstrip("/")
@@ -59,6 +62,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Delete the folder of a table that :func:`stored` gave and nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if path.toString().startswith(shared_dir(spark)):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts add up to about ``most`` characters; one long text is a range."""
     start = size = 0
@@ -212,7 +225,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = (
             large.join(smallest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(smallest.select("a", F.col("m").alias("b")))
         ).distinct()
-        links = stored(small, name)
+        links, done = stored(small, name), links
+        discarded(done)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

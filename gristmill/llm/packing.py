@@ -8,7 +8,8 @@ longest piece of the same or a shorter tier that fits, and where none fits by a
 part cut from the shortest piece there is. So every window is full but the last
 of a task, which is padded to the largest size. Full windows have a power of
 two of ids and need no padding. Sequences are dealt, largest first, into step
-groups of equal size, so that each training step of a task gets as many ids.
+groups of ``step_ids`` ids; what doesn't fill a group waits for the task's next
+sequences. So all step groups have the same size but the last one of each task.
 
 Null texts are empty (the end id alone). Rows with null or repeated doc_ids are
 packed as documents of their own, other columns are left out, and an empty
@@ -78,7 +79,7 @@ class Packer:
         return None
 
     def flush(self, last: bool) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(window, step, pieces) of all full sequences; with ``last`` also the one that stays short."""
+        """(window, step, pieces) of the full sequences that fill step groups; with ``last`` of all that there are."""
         for tier in self.tiers:
             tier.sort()
         short: list[tuple[int, int, int]] = []
@@ -100,11 +101,15 @@ class Packer:
                 self.tiers[self._tier(length)].append((length, row, start))
         elif short:
             self.sequences += [(self.windows[-1], p) for p in _filled(short, self.windows[-1])]
-        used = 0
+        groups, used = sum(w for w, _ in self.sequences) // self.step_ids, 0
+        waiting = []
         for window, pieces in self.sequences:
-            yield window, used // self.step_ids, pieces
+            if last or used // self.step_ids < groups:
+                yield window, used // self.step_ids, pieces
+            else:
+                waiting.append((window, pieces))
             used += window
-        self.sequences = []
+        self.sequences = waiting
 
 
 def _filled(pieces: list[tuple[int, int, int]], window: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -150,7 +155,7 @@ def pack_documents(
                     offset += length
                 sequence += 1
             step = top + 1
-            left = {p[1] for tier in packer.tiers for p in tier}
+            left = {p[1] for tier in packer.tiers for p in tier} | {p[0] for _, pieces in packer.sequences for p in pieces}
             for row in [r for r in held if r not in left]:
                 del held[row]
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)

@@ -326,6 +326,24 @@ def test_packing_covers_every_id_once(odd, empty):
     assert packing.pack_documents(odd, WORD_BPE).agg(F.sum("length")).first()[0] == sum(len(library_ids(WORD_BPE, r.text, 1)) for r in odd.collect())
 
 
+@pytest.mark.parametrize("buffer", [20_000, 2_000_000])
+def test_step_groups_hold_as_many_ids(odd, monkeypatch, buffer):
+    monkeypatch.setattr(packing, "BUFFER_IDS", buffer)
+    rows = packing.pack_documents(odd, WORD_BPE, step_ids=4096).collect()
+    windows = {r.sequence_id: (r.step_group, r.window) for r in rows}
+    groups = Counter()
+    for group, window in windows.values():
+        groups[group] += window
+    last = {max(g for g in groups if g >> 33 == task) for task in {g >> 33 for g in groups}}
+    assert len(groups) > 10 and all(n == 4096 for g, n in groups.items() if g not in last)
+    # a sequence fills its window, but for the last one of a task
+    filled = Counter()
+    for r in rows:
+        filled[r.sequence_id] += r.length
+    assert sum(filled[s] != w for s, (_, w) in windows.items()) <= odd.rdd.getNumPartitions()
+    assert sum(filled.values()) == sum(len(library_ids(WORD_BPE, r.text, 1)) for r in odd.collect())
+
+
 # -- 4 -----------------------------------------------------------------------------
 
 
@@ -360,6 +378,30 @@ def test_the_machine_learns_what_no_sum_of_weights_can():
     assert ((m.scores(rows[600:]) >= 0.5) == np.array(y[600:])).mean() > 0.9
 
 
+def test_scores_equal_the_formula_over_explicit_pairs():
+    r = np.random.default_rng(1)
+    m = toxicity.FactorizationMachine(-0.3, np.zeros(toxicity.BUCKETS), np.zeros((toxicity.BUCKETS, 3)))
+    m.weights[:40], m.factors[:30] = r.normal(size=40), r.normal(size=(30, 3))
+    rows = [np.sort(r.choice(60, n, replace=False)) for n in (0, 1, 2, 7, 30)]
+    for row, score in zip(rows, m.scores(rows), strict=True):
+        raw = m.bias + sum(m.weights[i] for i in row) + sum(m.factors[i] @ m.factors[j] for k, i in enumerate(row) for j in row[k + 1 :])
+        assert math.isclose(score, 1 / (1 + math.exp(-raw)), rel_tol=1e-9)
+
+
+def test_toxicity_of_repeated_null_and_very_long_rows(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    odd_labels = labels.union(labels).union(spark.createDataFrame([(None, 1), (3, None), (10**9, 1)], "doc_id long, toxic int"))
+    once, twice = (toxicity.fit_toxicity(base, x) for x in (labels, odd_labels))
+    assert once.bias == twice.bias and (once.weights == twice.weights).all() and (once.factors == twice.factors).all()
+    texts = [(1, "x " * 200_000), (1, "x"), (None, None), (None, "")]
+    rows = toxicity.toxicity_scores(spark.createDataFrame(texts, "doc_id long, text string").withColumn("score", F.lit(7)).withColumn("y", F.lit(1)), labels).collect()
+    scores = {}
+    for r in rows:
+        scores.setdefault(r.doc_id, []).append(r.score)
+    assert len(rows) == 4 and scores[1][0] == scores[1][1] and scores[None][0] == scores[None][1]
+
+
 def test_toxicity_on_held_out_rows(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -536,6 +578,24 @@ def test_pipeline_stage_by_stage(spark):
         docs = out
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
+    import corpus_pipeline
+    from gristmill.llm.common import stored
+
+    for docs, rows in ((odd, odd.count()), (empty, 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stored(stage(spark, docs, SF), f"odd-{name}")
+            if name == "packing":
+                assert out.agg(F.sum("length")).first()[0] == (sum(len(library_ids(WORD_BPE, r.text, 1)) for r in docs.collect()) or None)
+                continue
+            assert out.columns == docs.columns and (rows > 0) == (out.count() > 0)
+            blank = lambda d: bag(d.where("trim(coalesce(text, '')) = ''").collect())
+            assert blank(out) == blank(docs)
+            if name == "near_dedup":
+                assert set(bag(out.collect()).values()) <= {1} or blank(out)
+            docs = out
+
+
 def naive_seeded(item, doc):
     """Whether tiles cover half of the item; documents without a shared seed can't, and are told at once."""
     seeds = {tuple(item[i : i + 5]) for i in range(len(item) - 4)}

@@ -35,6 +35,8 @@ from gristmill.llm.common import WordHashes, mixed, per_text, run_hashes, stored
 
 WINDOW, SEED = 35, 6
 HOT, SPLITS = 20_000, 4096
+#: Hot minimisers are broadcast up to this many (8 bytes each); beyond it, keys are salted.
+MOST_HOT, SALTS = 500_000, 16
 
 
 def split_words(text: str) -> list[bytes]:
@@ -174,14 +176,33 @@ def _found(packed: DataFrame, window: int) -> DataFrame:
     return counted.repartition("minimiser", "part").sortWithinPartitions("minimiser", "part").mapInArrow(run, FOUND)
 
 
+def _recurring(entries: DataFrame, again: DataFrame) -> DataFrame:
+    """The entries whose minimiser occurs again, and whether it is hot.
+
+    A hot minimiser may hold a third of all entries, so these are told where they
+    are, by a broadcast of the hot ones, and don't meet in one task. If there are
+    more than ``MOST_HOT`` of them, entries are dealt over ``SALTS`` parts of each key.
+    """
+    hot = again.where("hot").select("minimiser")
+    n = hot.count()
+    if not n:
+        return entries.join(again, "minimiser")
+    if n > MOST_HOT:
+        salted = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = entries.withColumn("salt", F.pmod(F.xxhash64("at_id", "at_text", "start"), F.lit(SALTS)).cast("int"))
+        return dealt.join(salted, ["minimiser", "salt"]).drop("salt")
+    listed = F.broadcast(hot)
+    others = entries.join(listed, "minimiser", "left_anti").join(again.where("not hot"), "minimiser")
+    return entries.join(listed, "minimiser").withColumn("hot", F.lit(True)).unionByName(others)
+
+
 def _marks(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, hot: int) -> DataFrame:
     """(at_id, at_text, starts): the repeated windows' first words of each text that has any."""
     entries = stored(_entries(docs, id_col, text_col, window, seed), "passage-minimisers")
-    again = entries.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1").select("minimiser", (F.col("n") > hot).alias("hot"))
-    flagged = stored(
-        entries.join(again, "minimiser").groupBy("at_id", "at_text").agg(F.collect_set(F.struct("start", "windows", "minimiser", "hot")).alias("kmers")),
-        "passage-candidates",
-    )
+    counts = entries.groupBy("minimiser").agg(F.count("*").alias("n")).where("n > 1")
+    again = stored(counts.select("minimiser", (F.col("n") > hot).alias("hot")), "passage-recurring")
+    kmers = F.collect_set(F.struct("start", "windows", "minimiser", "hot")).alias("kmers")
+    flagged = stored(_recurring(entries, again).groupBy("at_id", "at_text").agg(kmers), "passage-candidates")
     texts = docs.select(*_place(id_col, text_col), F.col(text_col).cast("string").alias("text"))
     packed = stored(_packed(texts.join(flagged, ["at_id", "at_text"]).select("at_id", "at_text", "text", "kmers"), window), "passage-super-kmers")
     found = stored(_found(packed, window), "passage-repeats")

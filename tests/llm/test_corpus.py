@@ -220,6 +220,15 @@ def test_no_span_is_lost_between_windows():
     assert max(hits) == 1 and np.mean(hits) > 0.95
 
 
+def test_windows_without_a_mark_hold_no_span(monkeypatch):
+    """A span needs a digit or an at sign, so decoding every window finds the same ones."""
+    cases = private.labelled_spans(300, seed=5)
+    texts = ["".join(t + " " + "plain words of a longer text, " * (i % 11) for t, _ in cases[i : i + 4]) for i in range(0, 300, 4)]
+    some = private.model_spans(private.default_tagger(), texts)
+    monkeypatch.setattr(private, "MARK", re.compile(".", re.S))
+    assert private.model_spans(private.default_tagger(), texts) == some and sum(map(len, some)) > 100
+
+
 def test_redaction_leaves_no_rule_span(odd, empty):
     assert private.redacted(empty).count() == 0
     out = private.redacted(odd)
@@ -347,8 +356,10 @@ def test_step_groups_hold_as_many_ids(odd, monkeypatch, buffer):
 # -- 4 -----------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeated_windows_equal_a_plain_count(odd, empty, hot):
+@pytest.mark.parametrize(("hot", "most"), [(20_000, 500_000), (1, 500_000), (1, 0), (3, 500_000)])
+def test_repeated_windows_equal_a_plain_count(odd, empty, monkeypatch, hot, most):
+    # nothing hot, a broadcast of the hot ones, salted keys, hot and other minimisers together
+    monkeypatch.setattr(repeated_passages, "MOST_HOT", most)
     assert repeated_passages.without_repeats(empty, digest=True).count() == 0
     rows = odd.collect()
     counts = Counter(tuple(w[i : i + 35]) for w in (split(r.text) for r in rows) for i in range(len(w) - 34))

@@ -6,6 +6,7 @@ import difflib
 import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,26 +69,31 @@ def excerpts(docs: DataFrame, key: str, text: str, pattern: str, width: int = 80
     return found.select(key, "n", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.substring(F.col(text), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("excerpt"))
 
 
+def _part_ends(text: str, limit: int) -> Iterator[int]:
+    """Where each part of ``text`` ends: after the last space that fits, else where the limit is."""
+    n = len(text)
+    # only characters beyond the first plane take two units
+    wide = max(text, default="") > "\uffff"
+    units = np.cumsum(1 + (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) > 0xFFFF)) if wide else None
+    at = 0
+    while True:
+        fits = at + limit if units is None else int(np.searchsorted(units, (units[at - 1] if at else 0) + limit, "right"))
+        if fits >= n:
+            yield n
+            return
+        at = text.rfind(" ", at, fits) + 1 or fits
+        yield at
+
+
 def message_parts(docs: DataFrame, key: str, text: str, limit: int = 4096) -> DataFrame:
-    """Texts cut at spaces into parts of at most ``limit`` UTF-16 units; joined, the parts give the text."""
+    """Texts cut at spaces into parts of at most ``limit`` (2 or more) UTF-16 units; joined, the parts give the text."""
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for k, t in zip(frame[key], frame[text], strict=True):
-                part, size, n, space = [], 0, 0, -1
-                for c in t or "":
-                    units = 2 if ord(c) > 0xFFFF else 1
-                    if size + units > limit:
-                        cut = space + 1 if space >= 0 else len(part)
-                        rows.append((k, n, "".join(part[:cut])))
-                        part, n = part[cut:], n + 1
-                        size, space = sum(2 if ord(x) > 0xFFFF else 1 for x in part), -1
-                    if c == " ":
-                        space = len(part)
-                    part.append(c)
-                    size += units
-                rows.append((k, n, "".join(part)))
+                ends = list(_part_ends(t or "", limit))
+                rows += [(k, n, (t or "")[a:b]) for n, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
             yield pd.DataFrame(rows, columns=[key, "part", "body"])
 
     return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(run, f"{key} long, part int, body string")

@@ -29,3 +29,18 @@ def hoisted(rows: DataFrame, group: Sequence[str], position: str, first: Column)
 def replaced_by_slot(rows: DataFrame, group: Sequence[str], slot: str, position: str, entry: str) -> DataFrame:
     """The last entry of a slot wins, at the place of the slot's first one."""
     return rows.groupBy(*group, slot).agg(F.min(position).alias("place"), F.max_by(entry, position).alias("entry"))
+
+
+def with_previous(rows: DataFrame, group: Column, order: str, name: str, stretch: int = 65_536) -> DataFrame:
+    """``rows`` with the ``order`` value (a whole number) of the row before in the same group; null groups are one.
+
+    A group may hold a third of all rows, so it's cut into stretches of ``order``
+    that are sorted apart; the first row of a stretch takes the last value of the stretch before.
+    """
+    g, part = F.struct(group.alias("g")), F.floor(F.col(order) / stretch)
+    rows = rows.withColumn("_group", g).withColumn("_part", part)
+    inside = F.lag(order).over(Window.partitionBy("_group", "_part").orderBy(order))
+    last = rows.groupBy("_group", "_part").agg(F.max(order).alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("_group").orderBy("_part"))).select("_group", "_part", "_before")
+    both = rows.withColumn("_inside", inside).join(before, ["_group", "_part"], "left")
+    return both.withColumn(name, F.coalesce("_inside", "_before")).drop("_group", "_part", "_inside", "_before")

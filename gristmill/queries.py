@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import dates, text
@@ -718,7 +718,8 @@ def keyword_excerpts(spark, sf_dir):
 @query()
 def text_changes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # neighbours in a source's order that open alike: versions of one text
-    w = Window.partitionBy(F.substring("text", 1, 40)).orderBy("doc_id")
-    pairs = d.select("doc_id", "text", F.lag("doc_id").over(w).alias("old_id"), F.lag("text").over(w).alias("old")).where("old_id IS NOT NULL")
+    # neighbours in a source's order that open alike: versions of one text; found by their ids, the texts join later
+    ids = ranking.with_previous(d.select("doc_id", F.substring("text", 1, 40).alias("opening")), F.col("opening"), "doc_id", "old_id")
+    pairs = ids.select("doc_id", "old_id").where("old_id IS NOT NULL").join(d, "doc_id")
+    pairs = pairs.join(d.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")), "old_id")
     return pages.text_changes(pairs, "old", "text").select("doc_id", "old_id", "changed_words", "changed_share")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import first_kind, roman_value
+
 
 def by_opening(title: Column, openings: Sequence[tuple[str, str]], other: str) -> Column:
     """The kind whose opening the title starts with, white space and case aside; the first one listed counts."""
@@ -49,3 +51,21 @@ def content_key(*parts: Column) -> Column:
 def derived_numbers(text: Column, pattern: str) -> Column:
     """The distinct numbers that a pattern's group finds, in ascending order."""
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("long"))))
+
+
+def condition_kind(note: Column, conditional: str, kinds: Sequence[tuple[str, str]], other: str) -> Column:
+    """What a note waits for: the first (kind, pattern) that fits the first group of ``conditional``; null for a plain note."""
+    return F.when(note.rlike(conditional), first_kind(F.regexp_extract(note, conditional, 1), kinds, other))
+
+
+def conditional_points(note: Column, conditional: str, points: str) -> Column:
+    """The points that a condition is about, in order; none if it is about all of them.
+
+    ``points`` has two groups, a first numeral and the last one of a range, and is
+    looked for before the condition alone.
+    """
+    before = F.get(F.split(note, conditional, 2), F.lit(0))
+    ends = F.arrays_zip(*[F.regexp_extract_all(before, F.lit(points), F.lit(g)).alias(f"g{g}") for g in (1, 2)])
+    first, last = (lambda x, g=g: roman_value(x[f"g{g}"]) for g in (1, 2))
+    ranges = F.transform(F.filter(ends, lambda x: first(x).isNotNull()), lambda x: F.sequence(first(x), F.greatest(first(x), last(x))))
+    return F.when(note.rlike(conditional), F.array_sort(F.array_distinct(F.flatten(ranges))))

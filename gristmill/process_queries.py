@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions import json, text, wording
-from gristmill.operators import decisions, folds, keyed, matching, ranking, stages
+from gristmill.functions import json, projection, text, wording
+from gristmill.operators import decisions, excerpting, folds, keyed, matching, ranking, stages
 from gristmill.sources.tables import decoded_address, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -474,3 +474,62 @@ def compared_versions(spark, sf_dir):
     old = li.where("l_partkey % 5 <> 0").groupBy(*keys).agg(amount(F.col("l_quantity")))
     new = li.where("l_partkey % 7 <> 0").groupBy(*keys).agg(amount(F.col("l_quantity") + F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(0)))
     return keyed.compared(old, new, keys, "d").groupBy("state").agg(F.count("*").alias("n"))
+
+
+# -- excerpts, conditions ------------------------------------------------------------------------
+
+#: Heads of 200 characters, 40 around each match, 1,000 in all, the first head filled up.
+_EXCERPTS = r"""WITH d AS (SELECT doc_id, text, length(text) AS n, least(length(text), 200) AS h1, CASE WHEN contains(text, chr(10)) THEN strpos(text, chr(10)) - 1 END AS h2a, string_split_regex(text, '[Hh]and') AS p, len(regexp_extract_all(text, '[Hh]and')) AS k FROM documents WHERE text IS NOT NULL),
+ e AS (SELECT *, CASE WHEN h2a IS NOT NULL THEN least(h2a + 200, n) END AS h2b FROM d),
+ s AS (SELECT * EXCLUDE (p), (list_sum(list_transform(p[1:i], lambda x: length(x))) + 4 * (i - 1))::BIGINT AS st FROM (SELECT doc_id, n, h1, h2a, h2b, p, unnest(range(1, k + 1)) AS i FROM e)),
+ w AS (SELECT *, greatest(st - 40, 0) AS a, least(st + 44, n) AS b FROM s),
+ f AS (SELECT *, greatest(a, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), h1) AS fr FROM w),
+ g AS (SELECT *, sum(greatest(b - fr, 0) - CASE WHEN h2a IS NOT NULL AND fr < b THEN greatest(least(b, h2b) - greatest(fr, h2a), 0) ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) + h1 + CASE WHEN h2a IS NOT NULL THEN greatest(h2b - greatest(h2a, h1), 0) ELSE 0 END AS used FROM f),
+ r AS (SELECT doc_id, 0 AS a, h1 AS b FROM e UNION ALL SELECT doc_id, h2a, h2b FROM e WHERE h2a IS NOT NULL UNION ALL SELECT doc_id, a, b FROM g WHERE used <= 1000),
+ t AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS apart FROM r),
+ v AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM t) GROUP BY doc_id, g),
+ y AS (SELECT doc_id, a, CASE WHEN a = 0 THEN least(b + greatest(1000 - (sum(b - a) OVER (PARTITION BY doc_id))::BIGINT, 0), n) ELSE b END AS b, text FROM v JOIN d USING (doc_id)),
+ z AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)::INT AS apart FROM y),
+ c AS (SELECT doc_id, min(a) AS a, max(b) AS b, any_value(text) AS text FROM (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM z) GROUP BY doc_id, g),
+ q AS (SELECT doc_id, a, substr(text, a + 1, b - a) AS part, regexp_replace(substr(text, a + 1, b - a), '^[ \t\n\r\f]+', '') AS bare FROM c),
+ x AS (SELECT doc_id, a + length(part) - length(bare) AS source, regexp_replace(bare, '[ \t\n\r\f]+$', '') AS piece FROM q)
+"""
+
+
+def _excerpts(spark, sf_dir):
+    return excerpting.budgeted(table(spark, sf_dir, "documents"), "doc_id", "text", "[Hh]and", head=200, window=40, most=1000, second="\n", fill=True)
+
+
+@query(_EXCERPTS + "SELECT doc_id, count(*) AS pieces, sha256(string_agg(piece, chr(10) || '[...]' || chr(10) ORDER BY source, piece)) AS digest FROM x GROUP BY 1")
+def budget_excerpts(spark, sf_dir):
+    own = F.filter("segments", lambda s: s["source"].isNotNull())
+    e = _excerpts(spark, sf_dir)
+    # a text of blanks alone is one piece without a segment
+    return e.select("doc_id", F.greatest(F.size(own), F.lit(1)).cast("long").alias("pieces"), F.sha2("excerpt", 256).alias("digest"))
+
+
+@query(
+    _EXCERPTS
+    + ", o AS (SELECT doc_id, source, length(piece) AS n, coalesce(sum(length(piece) + 7) OVER (PARTITION BY doc_id ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM x)"
+    " SELECT k.doc_id, k.at, o.source + k.at - o.at AS source FROM (SELECT doc_id, unnest(range(0, 1000, 90)) AS at FROM d) k LEFT JOIN o ON k.doc_id = o.doc_id AND k.at >= o.at AND k.at < o.at + o.n"
+)
+def excerpt_sources(spark, sf_dir):
+    asked = _excerpts(spark, sf_dir).select("doc_id", "segments", F.explode(F.sequence(F.lit(0), F.lit(999), F.lit(90))).alias("at"))
+    return asked.select("doc_id", F.col("at").cast("long").alias("at"), projection.source_of(F.col("segments"), F.col("at")).cast("long").alias("source"))
+
+
+_CONDITIONAL = r"(?i)\bheld only if\s+([^.]+)"
+_CONDITION_KINDS = (("amended", "(?i)amendments are"), ("referred", "(?i)referred"))
+_POINTS = r"(?i)\bpoints?\s+([IVX]+)(?:\s*[-–—]\s*([IVX]+))?"
+
+
+@query(
+    "SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'amended' WHEN 2 THEN 'referred' WHEN 3 THEN 'other' END AS kind, CASE WHEN event_id % 4 > 0 THEN CASE WHEN event_id % 5 = 0 THEN '' ELSE array_to_string(range(event_id % 9 + 1, event_id % 9 + 2 + event_id % 3), ',') END END AS points FROM events"
+)
+def sitting_conditions(spark, sf_dir):
+    i, numeral = F.col("event_id"), lambda n: text.roman_numeral(n.cast("int"))
+    named = F.when(i % 5 == 0, "The sitting").when(i % 3 == 0, F.concat(F.lit("Point "), numeral(i % 9 + 1))).otherwise(F.concat(F.lit("Points "), numeral(i % 9 + 1), F.lit(" – "), numeral(i % 9 + 1 + i % 3)))
+    waits = F.when(i % 4 == 0, ". See point IV.").when(i % 4 == 1, " held only if amendments are tabled.").when(i % 4 == 2, " held only if a bill is REFERRED. Point X").otherwise(" held only if a chair is found")
+    note = F.concat(named, waits)
+    points = F.array_join(wording.conditional_points(note, _CONDITIONAL, _POINTS), ",")
+    return table(spark, sf_dir, "events").select("event_id", wording.condition_kind(note, _CONDITIONAL, _CONDITION_KINDS, "other").alias("kind"), points.alias("points"))

@@ -27,6 +27,25 @@ def places(docs: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     return rows.withColumn("end", end).select(key, F.when(hit, F.col("end") - F.col("hit")).cast("int").alias("start"), F.when(hit, F.col("end")).cast("int").alias("end"))
 
 
+def articles(docs: DataFrame, key: str, text: str, heading: str, number: str, quoted: str, most: int) -> DataFrame:
+    """(key, number, article): the text under each heading whose number a document has once, up to ``most`` characters.
+
+    ``heading`` finds headings, ``number`` (its first group) their numbers, ``quoted`` tells
+    those inside a quotation. A quoted article ends at the next heading of any
+    kind, another one at the next heading that isn't quoted.
+    """
+    at = places(docs, key, text, heading).where("start IS NOT NULL")
+    told = at.join(docs.select(key, text), key).withColumn("_head", F.substr(F.col(text), F.col("start") + 1, F.col("end") - F.col("start")))
+    heads = told.select(key, "start", F.length(text).alias("n"), F.lower(F.regexp_extract("_head", number, 1)).alias("number"), F.col("_head").rlike(quoted).alias("quoted"))
+    ahead = Window.partitionBy(key).orderBy("start").rowsBetween(1, Window.unboundedFollowing)
+    any_kind, plain = F.min("start").over(ahead), F.min(F.when(~F.col("quoted"), F.col("start"))).over(ahead)
+    stop = F.coalesce(F.when(F.col("quoted"), any_kind).otherwise(plain), "n")
+    heads = heads.withColumn("stop", stop).withColumn("times", F.count("*").over(Window.partitionBy(key, "number")))
+    held = heads.where((F.col("times") == 1) & (F.col("stop") - F.col("start") <= most)).select(key, "number", "start", "stop")
+    part = F.substr(F.col(text), F.col("start") + 1, F.col("stop") - F.col("start"))
+    return held.join(docs.select(key, text), key).select(key, "number", F.regexp_replace(part, f"{SPACE}$", "").alias("article"))
+
+
 RANGE = "struct<a:int,b:int>"
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions import json, projection, text, wording
+from gristmill.functions import json, projection, sections, text, wording
 from gristmill.operators import decisions, excerpting, folds, keyed, matching, ranking, stages
 from gristmill.sources.tables import decoded_address, table
 
@@ -533,3 +533,76 @@ def sitting_conditions(spark, sf_dir):
     note = F.concat(named, waits)
     points = F.array_join(wording.conditional_points(note, _CONDITIONAL, _POINTS), ",")
     return table(spark, sf_dir, "events").select("event_id", wording.condition_kind(note, _CONDITIONAL, _CONDITION_KINDS, "other").alias("kind"), points.alias("points"))
+
+
+# -- parts of documents ------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT doc_id, sha256(CASE WHEN p > 0 THEN array_to_string(l[p:], chr(10)) ELSE '' END) AS digest FROM (SELECT doc_id, l, list_position(list_transform(l, lambda x: NOT (trim(x, ' ') = '' OR regexp_full_match(x, '[ \t]*[-–]?[ \t]*[0-9]{1,4}[ \t]*[-–]?[ \t]*') OR trim(x, ' ') = 'Title' OR regexp_matches(trim(x, ' '), '^[A-F]'))), true) AS p FROM (SELECT doc_id, string_split('12' || chr(10) || 'Title' || chr(10) || text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"""
+)
+def bare_pages(spark, sf_dir):
+    page = F.concat(F.lit("12\nTitle\n"), "text")
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return d.select("doc_id", F.sha2(sections.without_furniture(page, F.lit("Title"), "^[A-F]"), 256).alias("digest"))
+
+
+_BODY_SQL = r"""WITH a AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[.] [A-Z]') THEN substr(text, length(string_split_regex(text, '[.] [A-Z]')[1]) + 1) END AS rest FROM documents)
+ SELECT doc_id, length(body) AS chars, sha256(body) AS digest FROM (SELECT doc_id, substr(rest, 1, least(CASE WHEN regexp_matches(rest, '[0-9]{3}') THEN length(string_split_regex(rest, '[0-9]{3}')[1]) ELSE length(rest) END, CASE WHEN regexp_matches(rest, '[A-Z][a-z]{9}') THEN length(string_split_regex(rest, '[A-Z][a-z]{9}')[1]) ELSE length(rest) END)) AS body FROM a WHERE rest IS NOT NULL)"""
+
+
+@query(_BODY_SQL)
+def law_bodies(spark, sf_dir):
+    b = table(spark, sf_dir, "documents").select("doc_id", sections.body(F.col("text"), "[.] [A-Z]", ["[0-9]{3}", "[A-Z][a-z]{9}"]).alias("body"))
+    return b.where("body IS NOT NULL").select("doc_id", F.length("body").cast("long").alias("chars"), F.sha2("body", 256).alias("digest"))
+
+
+_LETTER = "Enclosed is the draft. Yours, A B\n"
+
+
+@query(
+    "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text WHEN regexp_matches(text, '[.] [A-Z]') THEN substr(text, length(string_split_regex(text, '[.] [A-Z]')[1]) + 1) WHEN doc_id % 3 = 1 THEN chr(12) || 'next' ELSE '' END) AS digest FROM documents WHERE text IS NOT NULL"
+)
+def letters_removed(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    letter = F.when(F.col("doc_id") % 3 > 0, _LETTER).otherwise("")
+    page = F.when(F.col("doc_id") % 3 == 1, "\fnext").otherwise("")
+    rest = sections.without_letter(F.concat(letter, "text", page), "Enclosed is the draft[.] Yours, [A-Z] [A-Z]\n", "[.] [A-Z]", 60)
+    plain = F.col("doc_id") % 3 == 0
+    return d.select("doc_id", F.sha2(F.when(plain, rest).otherwise(F.when(F.col("text").rlike("[.] [A-Z]"), F.regexp_replace(rest, "\fnext$", "")).otherwise(rest)), 256).alias("digest"))
+
+
+@query(
+    r"""WITH a AS (SELECT doc_id, text AS t0, regexp_replace(text, '[(][^()]{1,40}[)]', '', 'g') AS t1 FROM documents), b AS (SELECT *, regexp_replace(t1, '([0-9]+) *[-–] *([0-9]+)', '\1-\2', 'g') AS t2 FROM a), c AS (SELECT *, regexp_replace(t2, '[ ]+', ' ', 'g') AS t3 FROM b),
+ e AS (SELECT doc_id, 'note' AS rule, unnest(regexp_extract_all(t0, '[(][^()]{1,40}[)]')) AS found, '' AS put FROM a UNION ALL SELECT doc_id, 'range', f, regexp_replace(f, '([0-9]+) *[-–] *([0-9]+)', '\1-\2') FROM (SELECT doc_id, unnest(regexp_extract_all(t1, '([0-9]+) *[-–] *([0-9]+)')) AS f FROM b) UNION ALL SELECT doc_id, 'space', f, ' ' FROM (SELECT doc_id, unnest(regexp_extract_all(t2, '[ ]+')) AS f FROM c))
+ SELECT 'all' AS rule, count(*) AS n, sum(length(t3))::BIGINT AS chars FROM c UNION ALL SELECT rule, count(*), sum(length(found))::BIGINT FROM e WHERE found <> put GROUP BY 1"""
+)
+def recorded_cleaning(spark, sf_dir):
+    rules = [("note", "[(][^()]{1,40}[)]", ""), ("range", "([0-9]+) *[-–] *([0-9]+)", "$1-$2"), ("space", "[ ]+", " ")]
+    out, kept = sections.cleaned(F.col("text"), rules)
+    d = table(spark, sf_dir, "documents").select(out.alias("text"), kept.alias("kept"))
+    told = d.select(F.explode(F.concat(F.array(F.struct(F.lit("all").alias("rule"), F.length("text").alias("n"))), F.transform(F.coalesce("kept", F.array()), lambda k: F.struct(k["rule"].alias("rule"), F.length(k["found"]).alias("n"))))).alias("x"))
+    return told.groupBy("x.rule").agg(F.count("*").alias("n"), F.sum("x.n").alias("chars"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, text, string_split_regex(text, '[(]?[A-Z][a-z]{5,}') AS p, regexp_extract_all(text, '[(]?[A-Z][a-z]{5,}') AS h FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, i, h[i] AS head, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS st FROM (SELECT doc_id, p, h, unnest(range(1, len(h) + 1)) AS i FROM d)),
+ t AS (SELECT doc_id, st, lower(replace(head, '(', '')) AS number, head[1] = '(' AS quoted, count(*) OVER (PARTITION BY doc_id, lower(replace(head, '(', ''))) AS times, min(st) OVER w AS any_next, min(st) FILTER (head[1] <> '(') OVER w AS plain_next FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+ u AS (SELECT doc_id, number, st, coalesce(CASE WHEN quoted THEN any_next ELSE plain_next END, length(text)) AS stop, text FROM t JOIN d USING (doc_id) WHERE times = 1)
+ SELECT doc_id, number, sha256(regexp_replace(substr(text, st + 1, stop - st), '[ \t\n\r\f]+$', '')) AS digest FROM u WHERE stop - st <= 2000"""
+)
+def article_excerpts(spark, sf_dir):
+    a = excerpting.articles(table(spark, sf_dir, "documents"), "doc_id", "text", "[(]?[A-Z][a-z]{5,}", "([A-Za-z]+)", "^[(]", 2000)
+    return a.select("doc_id", "number", F.sha2("article", 256).alias("digest"))
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || ',' || event_id || ',' || event_id % 7 WHEN event_id % 3 = 1 THEN event_id || ',' || event_id % 7 ELSE '' END AS codes FROM events"
+)
+def codes_at_any_depth(spark, sf_dir):
+    i, kind = F.col("event_id"), F.col("event_type")
+    deep = F.concat(F.lit('{"a":[{"code":'), i.cast("string"), F.lit(',"b":{"c":[[{"code":"'), (i % 7).cast("string"), F.lit('"}]]}}],"d":"code"}'))
+    top = F.concat(F.lit('{"code":"'), kind, F.lit('","x":'), deep, F.lit("}"))
+    text_ = F.when(i % 3 == 0, top).when(i % 3 == 1, deep).otherwise('{"broken":')
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(json.descended(text_, "code"), ",").alias("codes"))

@@ -75,6 +75,28 @@ def packed(rows: DataFrame, group: Sequence[str], order: str, amount: str, most:
     return out.select(*group, F.col("_o").alias(order), F.col("_x").alias(amount), "batch")
 
 
+def packed_with_references(rows: DataFrame, group: Sequence[str], order: str, size: str, references: str, most: float) -> DataFrame:
+    """group, order, batch, added: units in order, each with the units it refers to, in batches of at most ``most``.
+
+    ``order`` is a whole number that names a unit in its group; ``references`` lists
+    structs (id, size). What a batch holds already isn't added again. A unit
+    that is too large even alone with its references opens a batch, and ``added`` tells.
+    """
+    unit = F.struct(F.col(order).cast("long").alias("id"), F.col(size).cast("double").alias("size"), F.col(references).alias("references"))
+    dealt = rows.select(*group, F.col(order).cast("long").alias(order), unit.alias("_x")).repartition(*group).sortWithinPartitions(*group, order)
+
+    def step(state: tuple[int, set[int], float], x: dict):
+        batch, held, used = state
+        needed = {r["id"]: r["size"] for r in x["references"] or []} | {x["id"]: x["size"] or 0.0}
+        added = sum(n for k, n in needed.items() if k not in held)
+        if held and used + added > most:
+            batch, held, used, added = batch + 1, set(), 0.0, sum(needed.values())
+        return (batch, held | needed.keys(), used + added), {"batch": batch, "added": added}
+
+    out = _folded(dealt, len(group), lambda: (0, set(), 0.0), step, "_b", "struct<batch:int,added:double>")
+    return out.select(*group, order, "_b.batch", "_b.added")
+
+
 def bundled(rows: DataFrame, group: Sequence[str], at: str, most: float) -> DataFrame:
     """``rows`` with ``bundle``, from 0 in each group: a bundle is closed by the first row more than ``most`` after its first.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import json, projection, sections, text, wording
@@ -606,3 +606,19 @@ def codes_at_any_depth(spark, sf_dir):
     top = F.concat(F.lit('{"code":"'), kind, F.lit('","x":'), deep, F.lit("}"))
     text_ = F.when(i % 3 == 0, top).when(i % 3 == 1, deep).otherwise('{"broken":')
     return table(spark, sf_dir, "events").select("event_id", F.array_join(json.descended(text_, "code"), ",").alias("codes"))
+
+
+@query(
+    "WITH RECURSIVE o AS (SELECT user_id, event_id, row_number() OVER w AS i, list_filter([event_id, CASE event_id % 4 WHEN 0 THEN lag(event_id, 2) OVER w WHEN 1 THEN lead(event_id) OVER w END], lambda x: x IS NOT NULL) AS needed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),"
+    " f AS (SELECT user_id, event_id, i, 0 AS batch, needed AS held, list_sum(list_transform(needed, lambda x: 1 + x % 7))::BIGINT AS used, list_sum(list_transform(needed, lambda x: 1 + x % 7))::BIGINT AS added FROM o WHERE i = 1"
+    " UNION ALL SELECT user_id, event_id, i, batch + over::INT, CASE WHEN over THEN needed ELSE list_concat(held, fresh) END, CASE WHEN over THEN 0 ELSE used END + CASE WHEN over THEN whole ELSE more END, CASE WHEN over THEN whole ELSE more END FROM (SELECT *, used + more > 20 AS over FROM"
+    " (SELECT o.user_id, o.event_id, o.i, o.needed, f.batch, f.held, f.used, list_filter(o.needed, lambda x: NOT list_contains(f.held, x)) AS fresh, coalesce(list_sum(list_transform(fresh, lambda x: 1 + x % 7)), 0)::BIGINT AS more, list_sum(list_transform(o.needed, lambda x: 1 + x % 7))::BIGINT AS whole FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)))"
+    " SELECT user_id, event_id, batch, added FROM f"
+)
+def reference_batches(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    other = F.when(F.col("event_id") % 4 == 0, F.lag("event_id", 2).over(w)).when(F.col("event_id") % 4 == 1, F.lead("event_id").over(w))
+    size = lambda x: 1 + x % 7
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", size(F.col("event_id")).alias("size"), F.array_compact(F.array(other)).alias("ids"))
+    e = e.withColumn("references", F.transform("ids", lambda x: F.struct(x.alias("id"), size(x).cast("double").alias("size"))))
+    return folds.packed_with_references(e, ["user_id"], "event_id", "size", "references", 20).withColumn("added", F.col("added").cast("long"))

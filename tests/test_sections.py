@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gristmill.functions import json, sections, wording
-from gristmill.operators import excerpting
+from gristmill.operators import excerpting, folds
 from gristmill.process_queries import _CONDITION_KINDS, _CONDITIONAL, _POINTS
 
 
@@ -53,3 +53,11 @@ def test_conditions_name_their_points(spark):
     kinds = wording.condition_kind(F.col("t"), _CONDITIONAL, _CONDITION_KINDS, "other")
     assert made(spark, notes, kinds) == ["referred", "amended", None, None, None]
     assert made(spark, notes, wording.conditional_points(F.col("t"), _CONDITIONAL, _POINTS)) == [[2, 3, 4, 6], [], None, None, None]
+
+
+def test_units_travel_with_what_they_refer_to(spark):
+    rows = [("a", 1, 4.0, [(3, 3.0)]), ("a", 2, 3.0, None), ("a", 3, 3.0, [(1, 4.0)]), ("a", 4, 30.0, [(1, 4.0)]), ("a", 5, 1.0, []), (None, 1, None, [])]
+    d = spark.createDataFrame(rows, "g string, i long, n double, r array<struct<id:long,size:double>>")
+    got = {(x.g, x.i): (x.batch, x.added) for x in folds.packed_with_references(d, ["g"], "i", "n", "r", 10).collect()}
+    assert got == {("a", 1): (0, 7), ("a", 2): (0, 3), ("a", 3): (0, 0), ("a", 4): (1, 34), ("a", 5): (2, 1), (None, 1): (0, 0)}
+    assert folds.packed_with_references(d.limit(0), ["g"], "i", "n", "r", 10).count() == 0

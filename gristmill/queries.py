@@ -496,10 +496,13 @@ def decision_changes(spark, sf_dir):
 
 @query("WITH r AS (SELECT r_regionkey AS k, r_name FROM region) SELECT 0 AS depth, r_name AS name, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 1, n_name, count(*) FROM nation GROUP BY ALL UNION ALL SELECT 2, s_name, count(*) FROM supplier GROUP BY ALL")
 def tree_flatten(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.struct(F.col("s_name").alias("name"))).alias("children"))
-    n = table(spark, sf_dir, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_name").alias("name"), "children")).alias("children"))
+    # regions and nations are few and nest in a row; suppliers grow with the data and stay rows
+    leaf = F.array().cast("array<struct<name:string>>").alias("children")
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_name").alias("name"), leaf)).alias("children"))
     r = table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.array(F.struct(F.col("r_name").alias("name"), "children")).alias("tree"))
-    return r.select(F.explode(trees.flattened(F.col("tree"), 3)).alias("s")).groupBy("s.depth", "s.name").agg(F.count("*").alias("n"))
+    upper = r.select(F.explode(trees.flattened(F.col("tree"), 3)).alias("s")).select("s.depth", "s.name")
+    all_ = upper.union(table(spark, sf_dir, "supplier").select(F.lit(2).alias("depth"), F.col("s_name").alias("name")))
+    return all_.groupBy("depth", "name").agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, CASE WHEN max(turn) FILTER (role = 'assistant') > coalesce(max(turn) FILTER (role = 'user'), -1) THEN 'answered' WHEN max(turn) FILTER (role = 'user') IS NOT NULL THEN 'asked' ELSE 'new' END AS state FROM conversations GROUP BY 1")

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gristmill.llm.common import documents
 from gristmill.llm.decontamination import contaminated_pairs
+from gristmill.llm.merkle import FIELDS, leaf_hash, merkle_manifest, siblings, verified
 from gristmill.llm.near_duplicates import near_duplicates
 from gristmill.llm.near_vectors import near_vectors
 from gristmill.llm.packing import pack_documents
@@ -64,6 +66,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and what every second document gives with the line breaks of its text gone."""
+    text = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    now = leaf_hash([text if f == "text" else F.col(f) for f in FIELDS])
+    found = verified(merkle_manifest(documents(spark, sf_dir), keep={"doc_id": F.col("doc_id"), "leaf_now": now}), "leaf_now")
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_files,
         op9_near_duplicates,
         op10_packing,
+        op11_merkle_manifest,
     )
 }
 
@@ -132,5 +143,48 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d JOIN least ON v = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+#: crc32 of a number's digits: a byte is taken in, then eight steps (-1) of the shift register.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}::VARCHAR, ''),
+  lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+
+def _leaf(text: str) -> str:
+    told = ["coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')".format(c) for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(told)})"
+
+
+_OP11 = f"""
+WITH RECURSIVE leaves AS (
+  SELECT dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, doc_id, leaf, now
+  FROM (SELECT doc_id, source, {_leaf('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_CRC.format('doc_id')} & 1 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS now FROM documents)
+), lower_nodes(tree, level, i, h) AS (
+  SELECT tree, 0, i, leaf FROM leaves
+  UNION ALL SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM lower_nodes GROUP BY tree, level, i // 3
+    HAVING any_value((SELECT count(*) FROM lower_nodes x WHERE x.tree = lower_nodes.tree)) > 1
+), subroots AS (
+  SELECT tree, level, h FROM lower_nodes QUALIFY row_number() OVER (PARTITION BY tree ORDER BY level DESC) = 1
+), upper_nodes(level, i, h) AS (
+  SELECT 0, tree, h FROM subroots
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM upper_nodes GROUP BY level, i // 3
+    HAVING any_value((SELECT count(*) FROM upper_nodes)) > 1
+), top AS (SELECT h FROM upper_nodes ORDER BY level DESC LIMIT 1),
+lower_steps AS (
+  SELECT n.tree, n.level, n.i, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < n.i), '') AS a, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > n.i), '') AS b
+  FROM lower_nodes n JOIN subroots r ON r.tree = n.tree AND n.level < r.level JOIN lower_nodes s ON s.tree = n.tree AND s.level = n.level AND s.i // 3 = n.i // 3 GROUP BY n.tree, n.level, n.i
+), upper_steps AS (
+  SELECT n.level, n.i, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < n.i), '') AS a, coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > n.i), '') AS b
+  FROM upper_nodes n JOIN upper_nodes s ON s.level = n.level AND s.i // 3 = n.i // 3 WHERE n.level < (SELECT max(level) FROM upper_nodes) GROUP BY n.level, n.i
+), steps AS (
+  SELECT l.tree, l.i AS leaf_i, s.level, a, b FROM leaves l JOIN lower_steps s ON s.tree = l.tree AND s.i = l.i // (3 ** s.level)::BIGINT
+  UNION ALL SELECT l.tree, l.i, 100 + u.level, a, b FROM leaves l JOIN upper_steps u ON u.i = l.tree // (3 ** u.level)::BIGINT
+), proofs AS (
+  SELECT tree, leaf_i AS i, list([a, b] ORDER BY level) AS p, string_agg(a || b, '' ORDER BY level) AS t FROM steps GROUP BY ALL
+)
+SELECT doc_id, leaf, r.h AS subroot, top.h AS root, sha256(coalesce(t, '')) AS proof_sha256, folded_root, folded_root = top.h AS verified FROM (
+  SELECT l.*, t, CASE WHEN p IS NULL THEN now ELSE list_reduce(list_concat([[now]], p), lambda f, s: [sha256(s[1] || f[1] || s[2])])[1] END AS folded_root
+  FROM leaves l LEFT JOIN proofs USING (tree, i)
+) JOIN subroots r USING (tree), top
+"""
+
 #: The others hold a model, a tokenizer or a greedy choice; their tests compare with brute force.
-ORACLE_SQL = {"op4_repeated_passages": _OP4, "op7_near_vectors": _OP7, "op9_near_duplicates": _OP9}
+ORACLE_SQL = {"op4_repeated_passages": _OP4, "op7_near_vectors": _OP7, "op9_near_duplicates": _OP9, "op11_merkle_manifest": _OP11}

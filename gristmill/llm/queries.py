@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import documents
+from gristmill.llm.common import documents, held_out
 from gristmill.llm.decontamination import contaminated_pairs
+from gristmill.llm.languages import language_ids
 from gristmill.llm.merkle import FIELDS, leaf_hash, merkle_manifest, siblings, verified
 from gristmill.llm.near_duplicates import near_duplicates
 from gristmill.llm.near_vectors import near_vectors
 from gristmill.llm.packing import pack_documents
+from gristmill.llm.prefix_trie import conversation_trie
 from gristmill.llm.private import personal_data
 from gristmill.llm.repeated_passages import without_repeats
 from gristmill.llm.secret_scan import secrets
@@ -74,6 +76,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every letter-bearing text gets a language; ``rejected`` tells what calibration would turn away."""
+    found = language_ids(documents(spark, sf_dir), reject=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_near_duplicates,
         op10_packing,
         op11_merkle_manifest,
+        op12_prefix_trie,
+        op13_language_id,
     )
 }
 
@@ -186,5 +200,32 @@ SELECT doc_id, leaf, r.h AS subroot, top.h AS root, sha256(coalesce(t, '')) AS p
 ) JOIN subroots r USING (tree), top
 """
 
+_OP12 = f"""
+WITH placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS place, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, {_CRC.format('conv_id')} % 9 AS h, conv_id - conv_id % 5 AS source FROM (SELECT DISTINCT conv_id FROM placed)
+), parts AS (
+  SELECT c.conv_id, 0 AS side, place, role, text FROM convs c JOIN placed p ON p.conv_id = c.source AND place <= h
+  UNION ALL SELECT conv_id, 1, place, role, text FROM convs JOIN placed USING (conv_id) WHERE place > h
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY side, place) AS d, sha256(strlen(role)::VARCHAR || ':' || role || text) AS k, strlen(text) AS b FROM parts
+), prefixes AS (
+  SELECT conv_id, d, b, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, d = count(*) OVER (PARTITION BY conv_id) AS ends FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM turns) FROM convs
+), nodes AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n, any_value(b) AS b, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM prefixes GROUP BY path, d
+), children AS (
+  SELECT path[1:64 * (d - 1)] AS path, count(*) AS c FROM nodes WHERE d > 0 GROUP BY 1
+), known AS (
+  SELECT n.*, coalesce(c, 0) AS c FROM nodes n LEFT JOIN children USING (path)
+), sums AS (
+  SELECT path[1:64 * u] AS path, sum((c = 0)::INT) AS leaves, sum((n - 1) * b) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS u FROM known) GROUP BY 1
+)
+SELECT k.conv_id, k.d AS depth, p.conv_id AS parent_conv_id, k.n AS n_convs, k.c AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(k.ids) AS ends_sha256
+FROM known k JOIN sums USING (path) LEFT JOIN nodes p ON k.d > 0 AND p.path = k.path[1:64 * (k.d - 1)]
+"""
+
 #: The others hold a model, a tokenizer or a greedy choice; their tests compare with brute force.
-ORACLE_SQL = {"op4_repeated_passages": _OP4, "op7_near_vectors": _OP7, "op9_near_duplicates": _OP9, "op11_merkle_manifest": _OP11}
+ORACLE_SQL = {"op4_repeated_passages": _OP4, "op7_near_vectors": _OP7, "op9_near_duplicates": _OP9, "op11_merkle_manifest": _OP11, "op12_prefix_trie": _OP12}

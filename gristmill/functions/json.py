@@ -1,13 +1,9 @@
-"""Reading and changing JSON texts, inside the JVM but for :func:`descended`. A null or broken text gives nulls, false or no rows."""
+"""Reading and changing JSON texts, inside the JVM. A null or broken text gives nulls, false or no rows; see ``operators/json_trees`` for any depth."""
 
 from __future__ import annotations
 
-import json as _json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def has_items(json: Column, path: str) -> Column:
@@ -33,29 +29,3 @@ def without_keys(json: Column, *names: str) -> Column:
 def listed(rows: DataFrame, json: str, path: str, kind: str, name: str = "item") -> DataFrame:
     """A row for each value of the list at ``path``, with its place ``pos``."""
     return rows.select("*", F.posexplode(F.from_json(F.get_json_object(json, path), f"array<{kind}>")).alias("pos", name))
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _descended(texts: pd.Series, names: pd.Series) -> pd.Series:
-    out = []
-    for text, name in zip(texts, names, strict=True):
-        found, todo = [], []
-        try:
-            todo.append(_json.loads(text or "null"))
-        except (ValueError, RecursionError):
-            pass
-        while todo:
-            node = todo.pop()
-            if isinstance(node, dict):
-                if name in node:
-                    found.append(node[name] if isinstance(node[name], str) else _json.dumps(node[name], separators=(",", ":")))
-                todo += reversed(node.values())
-            elif isinstance(node, list):
-                todo += reversed(node)
-        out.append(found)
-    return pd.Series(out)
-
-
-def descended(json: Column, name: str) -> Column:
-    """The values of a name at any depth, in the order of the text (an object before what it holds)."""
-    return _descended(json, F.lit(name))

@@ -7,16 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBERED = r"^[ \t]*[-–]?[ \t]*[0-9]{1,4}[ \t]*[-–]?[ \t]*$"
+#: What may stand around a page number, and its digits.
+AROUND, DIGITS = " \t-–", 4
 
 
 def without_furniture(page: Column, head: Column, stamp: str | None = None) -> Column:
     """The page from its first line that isn't blank, a page number, the running head or a stamp (a pattern)."""
 
     def told(line: Column) -> Column:
-        bare = F.trim(line)
-        put = (bare == "") | line.rlike(NUMBERED) | F.coalesce(bare == head, F.lit(False))
-        return ~(put | bare.rlike(stamp) if stamp else put)
+        bare = F.btrim(line, F.lit(AROUND))
+        numbers = (F.translate(bare, "0123456789", "") == "") & (F.length(bare) <= DIGITS)
+        own = ~numbers & ~F.trim(line).eqNullSafe(head)
+        return own & ~F.trim(line).rlike(stamp) if stamp else own
 
     lines = F.split(page, "\n")
     first = F.array_position(F.transform(lines, told), F.lit(True))

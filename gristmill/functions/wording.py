@@ -58,14 +58,15 @@ def condition_kind(note: Column, conditional: str, kinds: Sequence[tuple[str, st
     return F.when(note.rlike(conditional), first_kind(F.regexp_extract(note, conditional, 1), kinds, other))
 
 
-def conditional_points(note: Column, conditional: str, points: str) -> Column:
-    """The points that a condition is about, in order; none if it is about all of them.
+def conditional_items(note: Column, until: str, naming: str) -> Column:
+    """The items that a condition is about, ascending; none if it names none, null for a plain note.
 
-    ``points`` has two groups, a first numeral and the last one of a range, and is
-    looked for before the condition alone.
+    Behind ``naming`` and up to the condition a note lists numerals and ranges
+    ("II, IV to VI and X"); a piece that isn't one is passed over.
     """
-    before = F.get(F.split(note, conditional, 2), F.lit(0))
-    ends = F.arrays_zip(*[F.regexp_extract_all(before, F.lit(points), F.lit(g)).alias(f"g{g}") for g in (1, 2)])
-    first, last = (lambda x, g=g: roman_value(x[f"g{g}"]) for g in (1, 2))
-    ranges = F.transform(F.filter(ends, lambda x: first(x).isNotNull()), lambda x: F.sequence(first(x), F.greatest(first(x), last(x))))
-    return F.when(note.rlike(conditional), F.array_sort(F.array_distinct(F.flatten(ranges))))
+    clause = F.regexp_extract(note, rf"{naming}(.*?){until.replace('(?i)', '')}", 1)
+    pieces = F.split(F.trim(clause), r"\s*(?:,|\band\b)\s*")
+    bounds = F.transform(pieces, lambda p: F.transform(F.split(F.trim(p), r"\s+to\s+"), lambda n: roman_value(n)))
+    fit = F.filter(bounds, lambda b: ~F.exists(b, lambda n: n.isNull()))
+    ranges = F.transform(fit, lambda b: F.sequence(F.array_min(b), F.array_max(b)))
+    return F.when(note.rlike(until), F.array_sort(F.array_distinct(F.flatten(ranges))))

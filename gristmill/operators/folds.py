@@ -24,7 +24,7 @@ def _streamed(rows: DataFrame, group: Sequence[str], order: str, amount: str) ->
     return dealt.select(*group, F.col("_order").cast("long").alias("_o"), "_x")
 
 
-def _folded(rows: DataFrame, n_keys: int, start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, Any]], name: str, kind: str) -> DataFrame:
+def folded(rows: DataFrame, n_keys: int, start: Callable[[], Any], step: Callable[[Any, Any], tuple[Any, Any]], name: str, kind: str) -> DataFrame:
     """Rows in their order with what ``step`` tells of each (None drops it); the state of a group goes on from batch to batch."""
     fields = rows.schema.fields
     schema = StructType([*fields, StructField(name, _parse_datatype_string(kind))])
@@ -47,16 +47,49 @@ def _folded(rows: DataFrame, n_keys: int, start: Callable[[], Any], step: Callab
     return rows.mapInArrow(run, schema)
 
 
+def ended(rows: DataFrame, n_keys: int, start: Callable[[], Any], step: Callable[[Any, Any], Any], end: Callable[[Any], Any], name: str, kind: str) -> DataFrame:
+    """One row a group, of rows that lie group by group and in order: its keys and what ``end`` tells of the last state."""
+    schema = StructType([*rows.schema.fields[:n_keys], StructField(name, _parse_datatype_string(kind))])
+    told = to_arrow_type(schema[name].dataType)
+
+    def made(keys: list[pa.Array], states: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*keys, pa.array([end(s) for s in states], told)], schema.names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last, state = None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:n_keys]), strict=True))
+            at, done = [], []
+            for i, (key, x) in enumerate(zip(keys, batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                if held is None or key != last:
+                    if i and held is not None:
+                        at.append(i - 1)
+                        done.append(state)
+                    elif held is not None:
+                        yield made(held, [state])
+                    held, last, state = (), key, start()
+                state = step(state, x)
+            if at:
+                yield made([c.take(pa.array(at)) for c in batch.columns[:n_keys]], done)
+            held = [c.slice(batch.num_rows - 1, 1) for c in batch.columns[:n_keys]]
+        if held is not None:
+            yield made(held, [state])
+
+    return rows.mapInArrow(run, schema)
+
+
 def admitted(rows: DataFrame, group: Sequence[str], order: str, amount: str, budget: float) -> DataFrame:
     """Items that a budget admits in order: one that doesn't fit is skipped, later ones may still fit."""
 
     def step(spent: float, x: float | None):
         return (spent + x, spent + x) if x is not None and spent + x <= budget else (spent, None)
 
-    taken = _folded(_streamed(rows, group, order, amount), len(group), lambda: 0.0, step, "_spent", "double").withColumn("_at", F.monotonically_increasing_id())
+    taken = folded(_streamed(rows, group, order, amount), len(group), lambda: 0.0, step, "_spent", "double").withColumn("_at", F.monotonically_increasing_id())
     # backwards, a group's first row tells what was spent in all; rows are where they were, so nothing is dealt again
     back = taken.sortWithinPartitions(F.desc("_at")).select(*group, "_o", "_x", "_spent")
-    whole = _folded(back, len(group), lambda: (), lambda s, x: (s or (x,), (s or (x,))[0]), "spent", "double")
+    whole = folded(back, len(group), lambda: (), lambda s, x: (s or (x,), (s or (x,))[0]), "spent", "double")
     return whole.select(*group, "spent", F.col("_o").alias(order), F.col("_x").alias(amount))
 
 
@@ -71,7 +104,7 @@ def packed(rows: DataFrame, group: Sequence[str], order: str, amount: str, most:
             return (batch + 1, x, 1), batch + 1
         return (batch, now, n + 1), batch
 
-    out = _folded(_streamed(rows, group, order, amount), len(group), lambda: (0, 0.0, 0), step, "batch", "int")
+    out = folded(_streamed(rows, group, order, amount), len(group), lambda: (0, 0.0, 0), step, "batch", "int")
     return out.select(*group, F.col("_o").alias(order), F.col("_x").alias(amount), "batch")
 
 
@@ -93,7 +126,7 @@ def packed_with_references(rows: DataFrame, group: Sequence[str], order: str, si
             batch, held, used, added = batch + 1, set(), 0.0, sum(needed.values())
         return (batch, held | needed.keys(), used + added), {"batch": batch, "added": added}
 
-    out = _folded(dealt, len(group), lambda: (0, set(), 0.0), step, "_b", "struct<batch:int,added:double>")
+    out = folded(dealt, len(group), lambda: (0, set(), 0.0), step, "_b", "struct<batch:int,added:double>")
     return out.select(*group, order, "_b.batch", "_b.added")
 
 
@@ -111,7 +144,7 @@ def bundled(rows: DataFrame, group: Sequence[str], at: str, most: float) -> Data
             return (x, 0), 0
         return ((x, n + 1), n + 1) if x - first > most else (state, n)
 
-    return _folded(dealt, len(group), lambda: (None, 0), step, "bundle", "int")
+    return folded(dealt, len(group), lambda: (None, 0), step, "bundle", "int")
 
 
 def barrier_groups(rows: DataFrame, group: Sequence[str], order: str, barrier: Column, most: int) -> DataFrame:

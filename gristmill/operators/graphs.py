@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,18 @@ def _ready(df: DataFrame) -> None:
         context.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='gristmill-')}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, see :func:`kept`."""
+    _ready(spark.range(0))
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder: its lineage ends there."""
+    _ready(df)
+    return df.checkpoint()
+
+
 def chain_roots(edges: DataFrame, left: str, right: str) -> DataFrame:
     """(node, root): the smallest node that each one reaches.
 

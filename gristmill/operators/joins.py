@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.names import free
+
 
 def with_existence(rows: DataFrame, other: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     """``rows`` with a boolean: whether ``other`` has the key."""
@@ -25,9 +27,10 @@ def newest_not_before(rows: DataFrame, candidates: DataFrame, key: str, moment:
 
     That is the key's newest candidate of all, or none: one row a key meets the rows.
     """
-    last = candidates.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct(F.col(made).alias("made"), F.col(value).alias("value"))).alias("_last"))
-    newest = F.when(F.col("_last.made") >= rows[moment], F.col("_last.value"))
-    return rows.join(last, rows[key] == F.col("_key"), "left").select(*[rows[c] for c in rows.columns], newest.alias("newest"))
+    own, found = free("_key", rows), free("_last", rows)
+    last = candidates.groupBy(F.col(key).alias(own)).agg(F.max(F.struct(F.col(made).alias("made"), F.col(value).alias("value"))).alias(found))
+    newest = F.when(F.col(f"{found}.made") >= rows[moment], F.col(f"{found}.value"))
+    return rows.join(last, rows[key] == F.col(own), "left").select(*[rows[c] for c in rows.columns], newest.alias("newest"))
 
 
 def by_fallback_keys(rows: DataFrame, dim: DataFrame, name: str, keys: Sequence[tuple[str, Column, Column]], value: str) -> DataFrame:
@@ -50,10 +53,11 @@ def by_longest_prefix(rows: DataFrame, name: str, table: DataFrame, prefix: str,
     ``lengths`` are the lengths that prefixes have: one equality join for all of
     them, in place of a join on startswith, which would compare all pairs.
     """
-    names = rows.select(F.col(name).alias("_name")).distinct()
-    tries = names.select("_name", F.explode(F.array_distinct(F.array(*[F.substring("_name", 1, n) for n in lengths]))).alias("_try"))
-    best = tries.join(table.select(F.col(prefix).alias("_try")), "_try").groupBy("_name").agg(F.max_by("_try", F.length("_try")).alias(prefix))
-    return rows.join(best, rows[name] == F.col("_name"), "left").drop("_name").join(table, prefix, "left")
+    own = free("_name", rows, table)
+    names = rows.select(F.col(name).alias(own)).distinct()
+    tries = names.select(own, F.explode(F.array_distinct(F.array(*[F.substring(own, 1, n) for n in lengths]))).alias("try"))
+    best = tries.join(table.select(F.col(prefix).alias("try")), "try").groupBy(own).agg(F.max_by("try", F.length("try")).alias(prefix))
+    return rows.join(best, rows[name] == F.col(own), "left").drop(own).join(table, prefix, "left")
 
 
 def sharing_any(left: DataFrame, right: DataFrame, left_key: str, left_set: str, right_key: str, right_set: str) -> DataFrame:
@@ -63,8 +67,9 @@ def sharing_any(left: DataFrame, right: DataFrame, left_key: str, left_set: str,
     return a.join(b, "_x").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
 
 
-#: Words that a key of :func:`containing` has at most.
+#: Words that a key of :func:`containing` has at most; items without one that are looked for at once.
 KEY_WORDS = 4
+SHORT_ITEMS = 200
 
 
 def containing(docs: DataFrame, text: str, items: DataFrame, item: str, item_text: str) -> DataFrame:
@@ -84,8 +89,13 @@ def containing(docs: DataFrame, text: str, items: DataFrame, item: str, item_tex
     held = held.withColumn("_size", F.least(F.size("_words") - 2, F.lit(KEY_WORDS)))
     sizes = sorted(r[0] for r in held.where("_item is not null").select("_size").distinct().collect())
     key = F.xxhash64("_size", F.array_join(F.expr("slice(_words, 2, greatest(_size, 0))"), " "))
-    pairs = held.where("_size < 1").select("_id", "_item").join(texts.select("_row", "_text"), F.contains("_text", "_item"))
-    hits = pairs.select("_id", "_row")
+    hits = held.limit(0).select("_id", F.lit(0).cast("long").alias("_row"))
+    if any(n < 1 for n in sizes):
+        # items without a key are looked for in blocks, one list of them beside each text
+        short = held.where("_size < 1 and _item is not null").select(F.struct("_id", "_item").alias("one"), F.floor(F.monotonically_increasing_id() / SHORT_ITEMS).alias("block"))
+        for block in short.groupBy("block").agg(F.collect_list("one").alias("some")).select("some").toLocalIterator():
+            listed = F.array(*[F.struct(F.lit(x["_id"]).alias("_id"), F.lit(x["_item"]).alias("_item")) for x in block["some"]])
+            hits = hits.union(texts.select("_row", F.explode(F.filter(listed, lambda x: F.contains(F.col("_text"), x["_item"]))).alias("x")).select("x._id", "_row"))
     for k in (n for n in sizes if n > 0):
         some = held.where(F.col("_size") == k).select("_id", "_item", key.alias("_key"))
         run = rf"(?<!\S)(?=(\S+(?:\s+\S+){{{k - 1}}}))"

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.graphs import kept
+from gristmill.operators.names import free
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_if_null: Sequence[str] = (), immutable: Sequence[str] = ()) -> DataFrame:
     """``new`` over ``old`` by key.
@@ -14,17 +17,18 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], keep_if_null: Se
     New values replace old ones, except that a null never replaces a value in
     ``keep_if_null`` and columns in ``immutable`` stay as first seen.
     """
-    n = new.withColumn("_new", F.lit(True)).alias("n")
-    both = old.withColumn("_old", F.lit(True)).alias("o").join(n, list(keys), "full_outer")
+    was, comes = free("_old", old, new), free("_new", old, new)
+    n = new.withColumn(comes, F.lit(True)).alias("n")
+    both = old.withColumn(was, F.lit(True)).alias("o").join(n, list(keys), "full_outer")
     values = [c for c in old.columns if c not in keys]
 
     def value(c: str) -> Column:
         o, x = F.col(f"o.{c}"), F.col(f"n.{c}")
         if c in immutable:
-            return F.when(F.col("_old"), o).otherwise(x).alias(c)
+            return F.when(F.col(was), o).otherwise(x).alias(c)
         if c in keep_if_null:
             return F.coalesce(x, o).alias(c)
-        return F.when(F.col("_new"), x).otherwise(o).alias(c)
+        return F.when(F.col(comes), x).otherwise(o).alias(c)
 
     return both.select(*keys, *[value(c) for c in values])
 
@@ -36,19 +40,20 @@ def insert_if_absent(table: DataFrame, new: DataFrame, keys: Sequence[str], orde
 
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row a key: the first by ``order``. End ``order`` with a unique column to break ties."""
-    names = [F.col(c) for c in rows.columns]
-    ranked = rows.select("*", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("_rank"))
-    return ranked.where("_rank = 1").select(*names)
+    rank = free("_rank", rows)
+    ranked = rows.select("*", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias(rank))
+    return ranked.where(F.col(rank) == 1).drop(rank)
 
 
 def duplicates_by(rows: DataFrame, content: Column, order: str) -> DataFrame:
     """Each row with ``first_id``, the smallest ``order`` of equal content, and ``copies``.
 
-    The counts are added up before the shuffle and joined back, so that a
-    content with very many copies isn't gathered in one task.
+    The counts are added up before the shuffle and joined back. Where the joined
+    rows are shuffled, a content with very many copies is one key: adaptive execution
+    splits it, as the counts are a table of their own.
     """
     held = rows.withColumn("content", content)
-    groups = held.groupBy("content").agg(F.min(order).alias("first_id"), F.count("*").alias("copies"))
+    groups = kept(held.groupBy("content").agg(F.min(order).alias("first_id"), F.count("*").alias("copies")))
     return held.join(groups, "content")
 
 

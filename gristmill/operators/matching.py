@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.names import free
+
 
 def partners(rows: DataFrame, key: str, target: Column) -> DataFrame:
     """``rows`` with ``others``: how many other rows mean the same target.
@@ -14,9 +16,10 @@ def partners(rows: DataFrame, key: str, target: Column) -> DataFrame:
     A row without a target of its own means itself, so the key is coalesced; one
     aggregation by it replaces the self join.
     """
-    meant = rows.withColumn("_target", F.coalesce(target, F.col(key)))
-    sizes = meant.groupBy("_target").agg((F.count("*") - 1).alias("others"))
-    return meant.join(sizes, "_target").drop("_target")
+    means = free("_target", rows)
+    meant = rows.withColumn(means, F.coalesce(target, F.col(key)))
+    sizes = meant.groupBy(means).agg((F.count("*") - 1).alias("others"))
+    return meant.join(sizes, means).drop(means)
 
 
 def first_of_each(left: DataFrame, right: DataFrame, facts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -35,32 +38,36 @@ def whole_groups_of(rows: DataFrame, group: Sequence[str], chosen: Column) -> Da
 
 def revived(rows: DataFrame, group: Sequence[str], status: str, skipped: str, woken: str, by: Column) -> DataFrame:
     """``rows`` where skipped ones take the status ``woken`` if a row of their group meets ``by``."""
-    awake = rows.where(by).select(*group).distinct().withColumn("_awake", F.lit(True))
-    new = F.when((F.col(status) == skipped) & F.col("_awake"), woken).otherwise(F.col(status))
-    return rows.join(awake, list(group), "left").withColumn(status, new).drop("_awake")
+    wakes = free("_awake", rows)
+    awake = rows.where(by).select(*group).distinct().withColumn(wakes, F.lit(True))
+    new = F.when((F.col(status) == skipped) & F.col(wakes), woken).otherwise(F.col(status))
+    return rows.join(awake, list(group), "left").withColumn(status, new).drop(wakes)
 
 
 def discovered(register: DataFrame, known: DataFrame, key: str, name: Column, known_name: Column) -> DataFrame:
     """The register with ``state``: 'known' by its key, 'renumbered' by a name that one known row has alone, or 'new'."""
-    keys = known.select(F.col(key), F.lit(True).alias("_by_key")).distinct()
-    names = known.groupBy(known_name.alias("_name")).agg(F.count("*").alias("_n")).where("_n = 1 AND _name IS NOT NULL")
-    out = register.withColumn("_own", name).join(keys, key, "left").join(names, F.col("_own") == F.col("_name"), "left")
-    state = F.when(F.col("_by_key"), "known").when(F.col("_n") == 1, "renumbered").otherwise("new")
+    by_key, n, own, called = (free(x, register) for x in ("_by_key", "_n", "_own", "_name"))
+    keys = known.select(F.col(key), F.lit(True).alias(by_key)).distinct()
+    names = known.groupBy(known_name.alias(called)).agg(F.count("*").alias(n)).where((F.col(n) == 1) & F.col(called).isNotNull())
+    out = register.withColumn(own, name).join(keys, key, "left").join(names, F.col(own) == F.col(called), "left")
+    state = F.when(F.col(by_key), "known").when(F.col(n) == 1, "renumbered").otherwise("new")
     return out.select(*register.columns, state.alias("state"))
 
 
 def modified_since(listing: DataFrame, stored: DataFrame, key: str, modified: str, since: Column) -> DataFrame:
     """Listed rows that changed at or after ``since`` and are newer than what is stored, with ``state`` new or updated."""
-    before = stored.select(F.col(key), F.col(modified).alias("_stored"))
+    had = free("_stored", listing)
+    before = stored.select(F.col(key), F.col(modified).alias(had))
     fresh = listing.where(F.col(modified) >= since).join(before, key, "left")
-    changed = fresh.where(F.col("_stored").isNull() | (F.col(modified) > F.col("_stored")))
-    return changed.withColumn("state", F.when(F.col("_stored").isNull(), "new").otherwise("updated")).drop("_stored")
+    changed = fresh.where(F.col(had).isNull() | (F.col(modified) > F.col(had)))
+    return changed.withColumn("state", F.when(F.col(had).isNull(), "new").otherwise("updated")).drop(had)
 
 
 def meetings(rows: DataFrame, listings: DataFrame, key: str, meeting: Sequence[str], order: Column) -> DataFrame:
     """``rows`` with the listings of their key; a meeting that is listed more than once counts by its first listing."""
     w = Window.partitionBy(key, *meeting).orderBy(order)
-    once = listings.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    nth = free("_nth", listings)
+    once = listings.withColumn(nth, F.row_number().over(w)).where(F.col(nth) == 1).drop(nth)
     return rows.join(once, key)
 
 
@@ -68,9 +75,10 @@ def moved_from(rows: DataFrame, key: str, day: str, order: str, off: Column, wit
     """Rows that are on, with ``was``: the day of the row just before, if that was called off at most ``within`` days before."""
     w = Window.partitionBy(key).orderBy(day, order)
     before = F.lag(F.struct(F.col(day).alias("day"), off.alias("off"))).over(w)
-    out = rows.withColumn("_before", before).where(~off)
-    near = F.datediff(F.col(day), F.col("_before.day")) <= within
-    return out.withColumn("was", F.when(F.col("_before.off") & near, F.col("_before.day"))).drop("_before")
+    last = free("_before", rows)
+    out = rows.withColumn(last, before).where(~off)
+    near = F.datediff(F.col(day), F.col(f"{last}.day")) <= within
+    return out.withColumn("was", F.when(F.col(f"{last}.off") & near, F.col(f"{last}.day"))).drop(last)
 
 
 def linked_watches(watches: DataFrame, numbered: DataFrame, watch: str, number: str, name: Column, number_name: Column) -> DataFrame:
@@ -82,9 +90,10 @@ def linked_watches(watches: DataFrame, numbered: DataFrame, watch: str, number:
 
 def moved_owners(rows: DataFrame, owner: str, key: Sequence[str], old: object, new: object) -> DataFrame:
     """``rows`` where those of ``old`` go to ``new``, unless ``new`` has a row of the same key already."""
-    taken = rows.where(F.col(owner) == new).select(*key).distinct().withColumn("_taken", F.lit(True))
+    mark = free("_taken", rows)
+    taken = rows.where(F.col(owner) == new).select(*key).distinct().withColumn(mark, F.lit(True))
     out = rows.join(taken, list(key), "left")
-    return out.withColumn(owner, F.when((F.col(owner) == old) & F.col("_taken").isNull(), F.lit(new)).otherwise(F.col(owner))).select(*rows.columns)
+    return out.withColumn(owner, F.when((F.col(owner) == old) & F.col(mark).isNull(), F.lit(new)).otherwise(F.col(owner))).select(*rows.columns)
 
 
 def prunable(payloads: DataFrame, uses: DataFrame, key: str, made: str, before: Column) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
@@ -139,26 +138,3 @@ def markup_parts(docs: DataFrame, key: str, html: str, limit: int = 4096) -> Dat
             yield pd.DataFrame(rows, columns=[key, "part", "body"])
 
     return docs.select(F.col(key).cast("long").alias(key), html).mapInPandas(run, f"{key} long, part int, body string")
-
-
-@F.pandas_udf(T.StructType([T.StructField("changed", T.IntegerType()), T.StructField("total", T.IntegerType())]))
-def _changed_words(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Words in changed places of a two-level difference: sentences first, words within changed ones."""
-    rows = []
-    for a, b in zip(old, new, strict=True):
-        x, y = (re.split(r"(?<=[.!?])\s+", t or "") for t in (a, b))
-        changed = 0
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-            if tag == "equal":
-                continue
-            p, q = " ".join(x[i:j]).split(), " ".join(y[k:m]).split()
-            changed += sum(max(d - c, f - e) for t, c, d, e, f in difflib.SequenceMatcher(None, p, q, autojunk=False).get_opcodes() if t != "equal")
-        rows.append((changed, max(len((a or "").split()), len((b or "").split()))))
-    return pd.DataFrame(rows, columns=["changed", "total"])
-
-
-def text_changes(pairs: DataFrame, old: str, new: str) -> DataFrame:
-    """Pairs of texts with the share of words that changed (1 if both are empty)."""
-    d = pairs.withColumn("_d", _changed_words(F.col(old), F.col(new)))
-    ratio = F.when(F.col("_d.total") > 0, F.least(F.lit(1.0), F.round(F.col("_d.changed") / F.col("_d.total"), 6))).otherwise(1.0)
-    return d.withColumn("changed_words", F.col("_d.changed")).withColumn("changed_share", ratio).drop("_d")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.names import free
+
 
 def top(rows: DataFrame, order: Sequence[Column], n: int, offset: int = 0) -> DataFrame:
     """``n`` rows by ``order`` after ``offset``; end ``order`` with a unique column."""
@@ -37,10 +39,10 @@ def with_previous(rows: DataFrame, group: Column, order: str, name: str, stretch
     A group may hold a third of all rows, so it's cut into stretches of ``order``
     that are sorted apart; the first row of a stretch takes the last value of the stretch before.
     """
-    g, part = F.struct(group.alias("g")), F.floor(F.col(order) / stretch)
-    rows = rows.withColumn("_group", g).withColumn("_part", part)
-    inside = F.lag(order).over(Window.partitionBy("_group", "_part").orderBy(order))
-    last = rows.groupBy("_group", "_part").agg(F.max(order).alias("_last"))
-    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy("_group").orderBy("_part"))).select("_group", "_part", "_before")
-    both = rows.withColumn("_inside", inside).join(before, ["_group", "_part"], "left")
-    return both.withColumn(name, F.coalesce("_inside", "_before")).drop("_group", "_part", "_inside", "_before")
+    own, part, here, earlier = (free(x, rows) for x in ("_group", "_part", "_inside", "_before"))
+    rows = rows.withColumn(own, F.struct(group.alias("g"))).withColumn(part, F.floor(F.col(order) / stretch))
+    inside = F.lag(order).over(Window.partitionBy(own, part).orderBy(order))
+    last = rows.groupBy(own, part).agg(F.max(order).alias("last"))
+    before = last.select(own, part, F.lag("last").over(Window.partitionBy(own).orderBy(part)).alias(earlier))
+    both = rows.withColumn(here, inside).join(before, [own, part], "left")
+    return both.withColumn(name, F.coalesce(here, earlier)).drop(own, part, here, earlier)

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.operators.decisions import first_rule, last_known
+from gristmill.operators.folds import ended
+from gristmill.operators.names import free
 
 
 def in_order(stages: DataFrame, process: Sequence[str], path: str = "path") -> DataFrame:
@@ -34,8 +36,9 @@ def stage_prints(stages: DataFrame, process: Sequence[str], fields: Sequence[Col
 
 def told(stages: DataFrame, process: Sequence[str], path: str = "path") -> DataFrame:
     """Stages without the frames around others: a stage whose next one lies deeper is left out."""
-    w = Window.partitionBy(*process).orderBy(path)
-    return stages.withColumn("_next", F.lead(F.size(path)).over(w)).where(F.col("_next").isNull() | (F.col("_next") <= F.size(path))).drop("_next")
+    w, following = Window.partitionBy(*process).orderBy(path), free("_next", stages)
+    ahead = F.col(following)
+    return stages.withColumn(following, F.lead(F.size(path)).over(w)).where(ahead.isNull() | (ahead <= F.size(path))).drop(following)
 
 
 def evidence(stages: DataFrame, process: Sequence[str], order: str, signs: Sequence[tuple[Column, str]], flag: Column) -> DataFrame:
@@ -44,10 +47,11 @@ def evidence(stages: DataFrame, process: Sequence[str], order: str, signs: Seque
     ``signs`` are (condition, outcome), the first that holds counts for a stage.
     ``flag`` is true, false or null for passed, rejected or not told.
     """
-    shown = stages.groupBy(*process).agg(last_known(first_rule(signs), order).alias("_shown"), F.max(flag).alias("_flag"))
-    by_flag = F.when(F.col("_flag"), "passed").when(~F.col("_flag"), "rejected")
-    source = F.when(F.col("_shown").isNotNull(), "stage").when(F.col("_flag").isNotNull(), "flag").otherwise("none")
-    return shown.select(*process, F.coalesce("_shown", by_flag, F.lit("unknown")).alias("evidence"), source.alias("source"))
+    sign, told = free("_shown", stages), free("_flag", stages)
+    shown = stages.groupBy(*process).agg(last_known(first_rule(signs), order).alias(sign), F.max(flag).alias(told))
+    by_flag = F.when(F.col(told), "passed").when(~F.col(told), "rejected")
+    source = F.when(F.col(sign).isNotNull(), "stage").when(F.col(told).isNotNull(), "flag").otherwise("none")
+    return shown.select(*process, F.coalesce(sign, by_flag, F.lit("unknown")).alias("evidence"), source.alias("source"))
 
 
 def named(rows: DataFrame, names: Sequence[tuple[Column, str]], tags: Sequence[tuple[Column, str]], other: str) -> DataFrame:
@@ -60,21 +64,24 @@ def named(rows: DataFrame, names: Sequence[tuple[Column, str]], tags: Sequence[t
 Moves = Mapping[tuple[str, str], str]
 
 
-def phases(stages: DataFrame, process: Sequence[str], order: str, stage: str, moves: Moves, start: str, most: int = 100_000) -> DataFrame:
-    """process, phase, moved: where the moves lead from ``start`` over a process's stages in order.
+def phases(stages: DataFrame, process: Sequence[str], order: str, stage: str, moves: Moves, start: str) -> DataFrame:
+    """process, phase, moved: where the moves lead from ``start`` over a process's stages in order, ties by name.
 
-    A stage without a move from the phase at hand is passed over. A process of more
-    than ``most`` stages raises an error in place of a huge row.
+    A stage without a move from the phase at hand is passed over. Stages stream by
+    the fold, so a process may have any number of them.
     """
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(stage).alias("stage"))))
-    table = F.map_from_arrays(F.array(*[F.lit(f"{p}\u001f{s}") for p, s in moves]), F.array(*[F.lit(q) for q in moves.values()]))
-    move = lambda a, x: F.coalesce(F.try_element_at(table, F.concat_ws("\u001f", a["phase"], x["stage"])), a["phase"])
-    fold = F.aggregate(
-        "_steps", F.struct(F.lit(start).alias("phase"), F.lit(0).alias("moved")),
-        lambda a, x: F.struct(move(a, x).alias("phase"), (a["moved"] + (move(a, x) != a["phase"]).cast("int")).alias("moved")),
-    )
-    held = stages.groupBy(*process).agg(steps.alias("_steps")).withColumn("_steps", F.when(F.size("_steps") > most, F.raise_error(F.lit("too many stages in a process"))).otherwise(F.col("_steps")))
-    return held.withColumn("_end", fold).select(*process, "_end.phase", "_end.moved")
+    at, name = free("_order", stages), free("_stage", stages)
+    told = stages.select(*process, F.col(order).alias(at), F.col(stage).alias(name))
+    dealt = told.repartition(*process).sortWithinPartitions(*process, at, name).select(*process, name)
+    table = dict(moves)
+
+    def step(state: tuple[str, int], x: str | None) -> tuple[str, int]:
+        to = table.get((state[0], x), state[0])
+        return to, state[1] + (to != state[0])
+
+    end = free("_end", stages)
+    out = ended(dealt, len(process), lambda: (start, 0), step, lambda s: {"phase": s[0], "moved": s[1]}, end, "struct<phase:string,moved:int>")
+    return out.select(*process, f"{end}.phase", f"{end}.moved")
 
 
 def continued(lines: DataFrame, doc: Sequence[str], order: str, opens: Column) -> DataFrame:

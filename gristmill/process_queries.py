@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import json, projection, sections, text, wording
-from gristmill.operators import decisions, excerpting, folds, keyed, matching, ranking, stages
+from gristmill.operators import decisions, excerpting, folds, json_trees, keyed, matching, ranking, stages
 from gristmill.sources.tables import decoded_address, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -265,12 +267,14 @@ def rejected_keys(spark, sf_dir):
 
 
 @query(
-    "WITH l AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), s AS (SELECT doc_id, list_slice(w, 1, 12) AS a, list_slice(w, 13, 30) AS b FROM l)"
-    " SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), ' ') AS once, array_to_string(list_filter(b, lambda x, i: list_position(b, x) = i AND NOT list_contains(a, x)), ' ') AS fresh FROM s"
+    "WITH l AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents), p AS (SELECT doc_id, i <= len(w) // 2 AS early, i, w[i] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM l)), f AS (SELECT doc_id, x, min(i) AS i, bool_or(early) AS early FROM p GROUP BY 1, 2)"
+    " SELECT l.doc_id, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (early), '') AS once, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (NOT early), '') AS fresh FROM l LEFT JOIN f ON f.doc_id = l.doc_id WHERE w IS NOT NULL GROUP BY 1"
 )
 def order_kept(spark, sf_dir):
     w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(w, 1, 12).alias("a"), F.slice(w, 13, 18).alias("b"))
+    half = F.floor(F.size("w") / 2).cast("int")
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", w.alias("w"))
+    d = d.select("doc_id", F.slice("w", F.lit(1), half).alias("a"), F.slice("w", half + 1, F.size("w")).alias("b"))
     return d.select("doc_id", F.array_join(F.array_distinct("a"), " ").alias("once"), F.array_join(F.array_except("b", "a"), " ").alias("fresh"))
 
 
@@ -428,8 +432,10 @@ def open_windows(spark, sf_dir):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linestatus = 'O' AND l_shipdate::DATE IN (DATE '1998-06-16', DATE '1998-06-18', DATE '1998-06-22')")
 def hearings_due(spark, sf_dir):
-    ahead = F.datediff(F.to_date("l_shipdate"), F.lit("1998-06-15").cast("date"))
-    return table(spark, sf_dir, "lineitem").where((F.col("l_linestatus") == "O") & ahead.isin(1, 3, 7)).select("l_orderkey", "l_linenumber", "l_partkey")
+    # bounds on the column itself reach the scan
+    days = (_at(f"1998-06-{15 + n}") for n in (1, 3, 7))
+    due = functools.reduce(operator.or_, [(F.col("l_shipdate") >= d) & (F.col("l_shipdate") < d + F.expr("INTERVAL 1 DAY")) for d in days])
+    return table(spark, sf_dir, "lineitem").where((F.col("l_linestatus") == "O") & due).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 # -- decisions -----------------------------------------------------------------------------------
@@ -518,9 +524,9 @@ def excerpt_sources(spark, sf_dir):
     return asked.select("doc_id", F.col("at").cast("long").alias("at"), projection.source_of(F.col("segments"), F.col("at")).cast("long").alias("source"))
 
 
-_CONDITIONAL = r"(?i)\bheld only if\s+([^.]+)"
+_UNTIL = r"(?i)\bwaits?\s+until\s+([^;]+)"
 _CONDITION_KINDS = (("amended", "(?i)amendments are"), ("referred", "(?i)referred"))
-_POINTS = r"(?i)\bpoints?\s+([IVX]+)(?:\s*[-–—]\s*([IVX]+))?"
+_ITEMS = r"(?i)\bitems?\s"
 
 
 @query(
@@ -528,11 +534,11 @@ _POINTS = r"(?i)\bpoints?\s+([IVX]+)(?:\s*[-–—]\s*([IVX]+))?"
 )
 def sitting_conditions(spark, sf_dir):
     i, numeral = F.col("event_id"), lambda n: text.roman_numeral(n.cast("int"))
-    named = F.when(i % 5 == 0, "The sitting").when(i % 3 == 0, F.concat(F.lit("Point "), numeral(i % 9 + 1))).otherwise(F.concat(F.lit("Points "), numeral(i % 9 + 1), F.lit(" – "), numeral(i % 9 + 1 + i % 3)))
-    waits = F.when(i % 4 == 0, ". See point IV.").when(i % 4 == 1, " held only if amendments are tabled.").when(i % 4 == 2, " held only if a bill is REFERRED. Point X").otherwise(" held only if a chair is found")
+    named = F.when(i % 5 == 0, "The sitting").when(i % 3 == 0, F.concat(F.lit("Item "), numeral(i % 9 + 1))).otherwise(F.concat(F.lit("Items "), numeral(i % 9 + 1), F.lit(" to "), numeral(i % 9 + 1 + i % 3)))
+    waits = F.when(i % 4 == 0, "; see item IV.").when(i % 4 == 1, " wait until amendments are tabled;").when(i % 4 == 2, " waits until a bill is REFERRED; item X").otherwise(" wait until a chair is found")
     note = F.concat(named, waits)
-    points = F.array_join(wording.conditional_points(note, _CONDITIONAL, _POINTS), ",")
-    return table(spark, sf_dir, "events").select("event_id", wording.condition_kind(note, _CONDITIONAL, _CONDITION_KINDS, "other").alias("kind"), points.alias("points"))
+    points = F.array_join(wording.conditional_items(note, _UNTIL, _ITEMS), ",")
+    return table(spark, sf_dir, "events").select("event_id", wording.condition_kind(note, _UNTIL, _CONDITION_KINDS, "other").alias("kind"), points.alias("points"))
 
 
 # -- parts of documents ------------------------------------------------------------------------------
@@ -605,7 +611,10 @@ def codes_at_any_depth(spark, sf_dir):
     deep = F.concat(F.lit('{"a":[{"code":'), i.cast("string"), F.lit(',"b":{"c":[[{"code":"'), (i % 7).cast("string"), F.lit('"}]]}}],"d":"code"}'))
     top = F.concat(F.lit('{"code":"'), kind, F.lit('","x":'), deep, F.lit("}"))
     text_ = F.when(i % 3 == 0, top).when(i % 3 == 1, deep).otherwise('{"broken":')
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(json.descended(text_, "code"), ",").alias("codes"))
+    e = table(spark, sf_dir, "events").select("event_id", text_.alias("body"))
+    found = json_trees.named_values(e, ["event_id"], "body", "code").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("path", "value"))).alias("found"))
+    codes = F.array_join(F.transform("found", lambda x: x["value"]), ",")
+    return e.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce(codes, F.lit("")).alias("codes"))
 
 
 @query(

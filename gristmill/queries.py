@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import dates, text
-from gristmill.operators import decisions, figures, folds, graphs, incremental, joins, keyed, pages, ranking, trees
+from gristmill.operators import decisions, differences, figures, folds, graphs, incremental, joins, keyed, pages, ranking, trees
 from gristmill.plans import prefilter
-from gristmill.sources.tables import decoded_address, table
+from gristmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,17 +156,6 @@ def link_numbers(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(text.reference_numbers(F.col("url")), ",").alias("numbers"))
 
 
-@query("SELECT * FROM (VALUES ('IV', 4), ('XIX', 19), ('xxiv', 24), ('ABC', NULL), ('', NULL)) t(numeral, value)")
-def roman_numerals(spark, sf_dir):
-    return spark.createDataFrame([("IV",), ("XIX",), ("xxiv",), ("ABC",), ("",)], "numeral string").withColumn("value", text.roman_value(F.col("numeral")))
-
-
-@query("SELECT 'user@site.org' AS address")
-def masked_address(spark, sf_dir):
-    hidden = "5a" + "".join(f"{ord(c) ^ 0x5A:02x}" for c in "user@site.org")
-    return spark.createDataFrame([(hidden,)], "e string").select(decoded_address(F.col("e")).alias("address"))
-
-
 @query("SELECT lang, sum(length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS units FROM documents GROUP BY 1")
 def utf16_units(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(text.utf16_length(F.col("text"))).alias("units"))
@@ -373,23 +362,11 @@ def map_merge(spark, sf_dir):
     return figures.merged_maps(e, [F.col("event_type")], "m")
 
 
-@query(
-    "WITH p AS (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS s, min(ts) FILTER (event_type = 'purchase') AS e FROM events WHERE event_id % 7 < 3 GROUP BY 1)"
-    ", r AS (SELECT *, CASE WHEN s IS NULL THEN 'no start' WHEN e IS NULL THEN 'no end' WHEN e < s THEN 'reversed' END AS reason FROM p) SELECT coalesce(reason, 'known') AS state, count(*) AS n, round(avg(CASE WHEN reason IS NULL THEN (epoch_us(e) - epoch_us(s)) / 1e6 END), 3) AS mean FROM r GROUP BY 1"
-)
-def latency_spans(spark, sf_dir):
-    at = lambda kind: F.when(F.col("event_type") == kind, F.col("ts"))
-    p = table(spark, sf_dir, "events").where("event_id % 7 < 3").groupBy("user_id").agg(F.max(at("signup")).alias("s"), F.min(at("purchase")).alias("e"))
-    span, reason = figures.span_or_reason(F.col("s"), F.col("e"), F.lit("2030-01-01").cast("timestamp_ntz"))
-    return figures.coverage(p.select(span.alias("span"), reason.alias("reason")), [], "span", "reason")
-
-
 @query(
     "WITH p AS (SELECT user_id, max(ts) FILTER (event_type = 'signup') AS s, min(ts) FILTER (event_type = 'purchase') AS e FROM events GROUP BY 1)"
     ", r AS (SELECT *, CASE WHEN s IS NULL THEN 'no start' WHEN e IS NULL THEN 'no end' WHEN e < s THEN 'reversed' END AS reason FROM p) SELECT coalesce(reason, 'known') AS state, count(*) AS n, round(avg(CASE WHEN reason IS NULL THEN (epoch_us(e) - epoch_us(s)) / 1e6 END), 3) AS mean FROM r GROUP BY 1"
 )
 def latency_spans_of_all(spark, sf_dir):
-    # latency_spans and its SQL read three sevenths of the events; this reads all
     at = lambda kind: F.when(F.col("event_type") == kind, F.col("ts"))
     p = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(at("signup")).alias("s"), F.min(at("purchase")).alias("e"))
     span, reason = figures.span_or_reason(F.col("s"), F.col("e"), F.lit("2030-01-01").cast("timestamp_ntz"))
@@ -658,12 +635,6 @@ def bundle_facts(spark, sf_dir):
     return pages.facts(table(spark, sf_dir, "documents"), ["source"], "text", {"number": "[0-9]{6,}", "name": "[A-Z][a-z]{7,}"}).groupBy("source", "kind").agg(F.count_distinct("value").alias("n_values"))
 
 
-@query("SELECT * FROM (VALUES ('III quarter 2026', '2026-Q3'), ('II/III quarter 2026 - done', '2026-Q3'), ('iv QUARTER 2025', '2025-Q4'), ('soon', NULL)) t(plan, quarter)")
-def planned_quarters(spark, sf_dir):
-    plans = [("III quarter 2026",), ("II/III quarter 2026 - done",), ("iv QUARTER 2025",), ("soon",)]
-    return spark.createDataFrame(plans, "plan string").withColumn("quarter", text.planned_quarter(F.col("plan")))
-
-
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
@@ -693,17 +664,8 @@ def markup_parts(spark, sf_dir):
     return pages.markup_parts(table(spark, sf_dir, "documents").select("doc_id", html.alias("html")), "doc_id", "html")
 
 
-@query(
-    "SELECT doc_id, count(*) AS parts, max(length(m)) AS longest FROM (SELECT doc_id, text AS m FROM documents WHERE length(text) <= 4096 AND length(text) = strlen(text)) GROUP BY 1"
-)
-def short_messages(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("length(text) <= 4096 AND length(text) = octet_length(text)")
-    return pages.message_parts(d, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("parts"), F.max(F.length("body")).cast("long").alias("longest"))
-
-
 @query()
 def message_part_counts(spark, sf_dir):
-    # short_messages and its SQL leave out texts that are long or not ASCII; this counts all
     d = table(spark, sf_dir, "documents")
     return pages.message_parts(d, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("parts"), F.max(F.length("body")).cast("long").alias("longest"))
 
@@ -721,8 +683,10 @@ def keyword_excerpts(spark, sf_dir):
 @query()
 def text_changes(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # neighbours in a source's order that open alike: versions of one text; found by their ids, the texts join later
-    ids = ranking.with_previous(d.select("doc_id", F.substring("text", 1, 40).alias("opening")), F.col("opening"), "doc_id", "old_id")
+    # neighbours by id under one title, a text's first line: versions of one text; found by their ids, the texts join later
+    ids = ranking.with_previous(d.select("doc_id", F.xxhash64(F.substring_index("text", "\n", 1)).alias("title")), F.col("title"), "doc_id", "old_id")
     pairs = ids.select("doc_id", "old_id").where("old_id IS NOT NULL").join(d, "doc_id")
     pairs = pairs.join(d.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")), "old_id")
-    return pages.text_changes(pairs, "old", "text").select("doc_id", "old_id", "changed_words", "changed_share")
+    told = differences.differences(pairs, ["doc_id", "old_id"], "old", "text")
+    share = F.when(F.col("words") > 0, F.round(F.col("changed") / F.col("words"), 6)).otherwise(1.0)
+    return told.select("doc_id", "old_id", F.col("changed").alias("changed_words"), share.alias("changed_share"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import dates, text
-from gristmill.operators import figures, folds, graphs, joins, keyed, pages, trees
+from gristmill.operators import differences, figures, folds, graphs, joins, keyed, pages, trees
 from gristmill.sources.tables import mapped_headers, read_json_pages, read_register
 
 
@@ -104,8 +104,8 @@ def test_excerpts_merge_windows(spark):
 
 
 def test_text_changes(spark):
-    d = spark.createDataFrame([("One two. Three four.", "One two. Three five."), ("", ""), (None, "x")], "a string, b string")
-    assert [(r.changed_words, r.changed_share) for r in pages.text_changes(d, "a", "b").collect()] == [(1, 0.25), (0, 1.0), (1, 1.0)]
+    d = spark.createDataFrame([(1, "One two. Three four.", "One two. Three five."), (2, "", ""), (3, None, "x")], "k int, a string, b string")
+    assert {r.k: (r.changed, r.words) for r in differences.differences(d, ["k"], "a", "b").collect()} == {1: (1, 4), 2: (0, 0), 3: (1, 1)}
 
 
 def test_items_of_any_length_are_found_in_documents(spark):

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from gristmill.functions import json, sections, wording
-from gristmill.operators import excerpting, folds
-from gristmill.process_queries import _CONDITION_KINDS, _CONDITIONAL, _POINTS
+from gristmill.operators import excerpting, folds, json_trees
+from gristmill.process_queries import _CONDITION_KINDS, _ITEMS, _UNTIL
 
 
 def made(spark, texts, column):
@@ -45,14 +45,15 @@ def test_articles_under_plain_and_quoted_headings(spark):
 
 def test_names_at_any_depth(spark):
     texts = ['{"a":1,"b":[{"a":"x"},[{"a":{"a":null}}]]}', "[]", "{", "", None, '"a"']
-    assert made(spark, texts, json.descended(F.col("t"), "a")) == [["1", "x", '{"a":null}', "null"], [], [], [], [], []]
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert sorted((r.k, r.path, r.value) for r in json_trees.named_values(d, ["k"], "t", "a").collect()) == [(0, [], "1"), (0, [1, 0], "x"), (0, [1, 1, 0], '{"a":null}')]
 
 
 def test_conditions_name_their_points(spark):
-    notes = ["Points II-IV, point vi held only if referred back.", "Held only if amendments are tabled. Point X", "Point I. Under rule 152.", None, "Points IIII held only if"]
-    kinds = wording.condition_kind(F.col("t"), _CONDITIONAL, _CONDITION_KINDS, "other")
-    assert made(spark, notes, kinds) == ["referred", "amended", None, None, None]
-    assert made(spark, notes, wording.conditional_points(F.col("t"), _CONDITIONAL, _POINTS)) == [[2, 3, 4, 6], [], None, None, None]
+    notes = ["Items II to IV, vi and X wait until referred back;", "Waits until amendments are tabled; item X", "Item I. Under rule 152.", None, "Items IIII, V wait until a day; item II"]
+    kinds = wording.condition_kind(F.col("t"), _UNTIL, _CONDITION_KINDS, "other")
+    assert made(spark, notes, kinds) == ["referred", "amended", None, None, "other"]
+    assert made(spark, notes, wording.conditional_items(F.col("t"), _UNTIL, _ITEMS)) == [[2, 3, 4, 6, 10], [], None, None, [5]]
 
 
 def test_units_travel_with_what_they_refer_to(spark):

@@ -307,11 +307,11 @@ def paged_orders(spark, sf_dir):
 
 
 @query(
-    "WITH e AS (SELECT DISTINCT user_id, epoch_ms(ts) AS at, event_type AS now FROM events), l AS (SELECT *, lag(now) OVER w AS before, lag(at) OVER w AS last FROM e WINDOW w AS (PARTITION BY user_id ORDER BY at, now))"
-    " SELECT user_id, at, before, now FROM l WHERE before <> now AND at - last <= 172800000"
+    "WITH e AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS millis, event_type AS kind FROM events), l AS (SELECT *, lag(kind) OVER w AS was, lag(millis) OVER w AS last FROM e WINDOW w AS (PARTITION BY user_id ORDER BY millis, kind))"
+    " SELECT user_id, millis, was, kind FROM l WHERE was <> kind AND millis - last <= 172800000"
 )
 def state_changes(spark, sf_dir):
     """The batch answer that the change stream gives too: a user is forgotten after two silent days."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     found = changes.changes_of(e, "user_id", "ts", "event_type", 2 * 86_400)
-    return found.select(F.col("key").cast("long").alias("user_id"), F.unix_millis("at").alias("at"), "before", "now")
+    return found.select(F.col("key").cast("long").alias("user_id"), F.unix_millis("at").alias("millis"), F.col("before").alias("was"), F.col("now").alias("kind"))

@@ -76,7 +76,9 @@ class _Reader(DataSourceReader):
                 chosen.append(Page(page["page"]))
         return chosen
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | None) -> Iterator[tuple]:
+        if partition is None:  # no page was chosen
+            return
         files, path = _located(f"{self.path}/pages/page={partition.number}")
         names = [f.name for f in self.schema.fields]
         dates = {f.name for f in self.schema.fields if f.dataType.typeName() == "date"}

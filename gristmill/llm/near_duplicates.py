@@ -381,15 +381,16 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     """
     rows, classes, linked = _grouped(docs.select("doc_id", "text"), width, percent, "doc_id", "text")
     least = classes.join(linked, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
-    again = rows.where("digest is not null").groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_i"), F.col("text_key").alias("_t"))
-    kept = least.select(F.col("least.id").alias("_id"), F.col("least.text_key").alias("_text"))
-    kept = stored(kept.join(again, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_t")), "left").select("_id", "_text", F.isnotnull("_t").alias("_several")), "near-kept")
+    again = rows.where("digest is not null").groupBy("id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("again_id"), F.col("text_key").alias("again_key"))
+    kept = least.select(F.col("least.id").alias("kept_id"), F.col("least.text_key").alias("kept_key"))
+    kept = stored(kept.join(again, F.col("kept_id").eqNullSafe(F.col("again_id")) & (F.col("kept_key") == F.col("again_key")), "left").select("kept_id", "kept_key", F.isnotnull("again_key").alias("several")), "near-kept")
     # a table of its own, so that its size is known and a small one is sent around
-    several = stored(kept.where("_several").select("_id", "_text"), "near-several")
-    blank = rows.where("digest is null").select(F.col("id").alias("_id"), F.col("text_key").alias("_text")).distinct()
-    single = kept.where("not _several").select("_id", "_text").union(blank)
-    keyed = docs.withColumn("_key", text_key("text"))
-    here = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text"))
+    several = stored(kept.where("several").select("kept_id", "kept_key"), "near-several")
+    blank = rows.where("digest is null").select(F.col("id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
+    single = kept.where("not several").select("kept_id", "kept_key").union(blank)
+    # the rows travel in one column, so none of their names meets one of these
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_key("text").alias("own_key"))
+    here = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key"))
     alone = keyed.join(single, here, "left_semi")
-    first = keyed.join(several, here, "left_semi").dropDuplicates(["doc_id", "_key"])
-    return alone.union(first).select(*docs.columns)
+    first = keyed.join(several, here, "left_semi").dropDuplicates(["own_id", "own_key"])
+    return alone.union(first).select("row.*")

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 from math import log2
 
 from pyspark.sql import DataFrame
@@ -99,8 +101,10 @@ def secret_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], list[tupl
     """Spans of the rules by kind; all spans (kind, start, end) by start, then kind."""
     base = rule_spans(text)
     spans = [(k, a, b) for k in KINDS for a, b in base[k]]
-    held = list(spans)
-    spans += [("entropy", a, b) for a, b in entropy_spans(text) if all(b <= x or a >= y for _, x, y in held)]
+    # the furthest end of all rule spans up to each start tells whether one reaches into a span
+    held = sorted((a, b) for _, a, b in spans)
+    starts, ends = [a for a, _ in held], [0, *accumulate((b for _, b in held), max)]
+    spans += [("entropy", a, b) for a, b in entropy_spans(text) if ends[bisect_left(starts, b)] <= a]
     order = {k: i for i, k in enumerate((*KINDS, "entropy"))}
     return base, sorted(spans, key=lambda s: (s[1], order[s[0]]))
 

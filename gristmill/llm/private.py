@@ -3,7 +3,8 @@
 The rules find e-mail addresses, IP addresses, card and phone numbers in their
 plain forms. A bidirectional LSTM with CRF transitions over characters, trained
 in numpy from labelled spans, adds forms the rules don't describe (a phone
-number without its plus sign, a card with dots, a spelt-out address).
+number without its plus sign, a card with dots, an address with a spaced or
+bracketed at sign).
 
 The model reads overlapping windows. A span of any kind holds a digit or an at
 sign, so a window with neither is only run where a span of its neighbour goes on
@@ -124,7 +125,7 @@ def _sigmoid(x):
 class CharTagger:
     """Bidirectional LSTM over symbols, linear scores of tags, CRF transitions."""
 
-    def __init__(self, hidden: int = 16, seed: int = 7):
+    def __init__(self, hidden: int = 20, seed: int = 7):
         r, t = np.random.default_rng(seed), len(TAGS)
         self.h = hidden
         self.p = {}
@@ -208,7 +209,7 @@ class CharTagger:
             sn, cn = z @ p[f"u{d}"].T, cn * fo
         return {f"u{d}": du / b, f"x{d}": dx / b, f"c{d}": dx.sum(0) / b}
 
-    def train(self, cases: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 160, batch: int = 48, rate: float = 0.02, seed: int = 3) -> CharTagger:
+    def train(self, cases: list[tuple[str, list[tuple[str, int, int]]]], steps: int = 420, batch: int = 64, rate: float = 0.02, seed: int = 3) -> CharTagger:
         """Adam over random batches of labelled texts; each text is one window."""
         xs = np.stack([_window(text) for text, _ in cases])
         ys = np.stack([_tags(spans) for _, spans in cases])
@@ -256,7 +257,7 @@ def _tags(spans: list[tuple[str, int, int]]) -> np.ndarray:
     return y
 
 
-def labelled_spans(n: int = 1200, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_spans(n: int = 4000, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """Labelled windows to learn from: each kind in plain and in loose forms, and numbers that are none."""
     r = random.Random(seed)
     pick, num = r.choice, lambda k: "".join(r.choice("0123456789") for _ in range(k))

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.operators import alignment, differences, inspection, json_trees, machines, markup, merging, pages, splits, stages, versions
+from gristmill.functions import letters, wording
+from gristmill.operators import alignment, decisions, differences, inspection, json_trees, keyed, machines, markup, merging, pages, records, selection, sittings, splits, stages, versions
 from gristmill.operators.graphs import shared_folder
 from gristmill.sources import paged
 from gristmill.sources.tables import table
@@ -235,7 +236,7 @@ def merged_sources(spark, sf_dir):
     """Suppliers continue customers and orders continue either: names from customers, nations from suppliers, priorities from orders."""
     c, s, o = (table(spark, sf_dir, t) for t in ("customer", "supplier", "orders"))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    records = (
+    rows = (
         c.select(merging.node("customer", F.col("c_custkey")).alias("node"), F.lit("customer").alias("source"), F.col("c_name").alias("name"), F.col("c_nationkey").cast("long").alias("nation"), none("string", "priority"))
         .union(s.select(merging.node("supplier", F.col("s_suppkey")), F.lit("supplier"), "s_name", F.col("s_nationkey").cast("long"), none("string", "priority")))
         .union(o.select(merging.node("order", F.col("o_orderkey")), F.lit("order"), none("string", "name"), none("long", "nation"), "o_orderpriority"))
@@ -245,7 +246,7 @@ def merged_sources(spark, sf_dir):
     through = F.when((F.col("o_custkey") % 3 == 0) & F.col("s_suppkey").isNotNull(), merging.node("supplier", F.col("o_custkey"))).otherwise(merging.node("customer", F.col("o_custkey")))
     links = links.union(o.join(s.select("s_suppkey"), F.col("o_custkey") == F.col("s_suppkey"), "left").select(merging.node("order", F.col("o_orderkey")), through))
     rank = {"name": ("customer", "supplier"), "nation": ("supplier", "customer"), "priority": ("order",)}
-    found = merging.survived(merging.identified(records, links), ["name", "nation", "priority"], rank)
+    found = merging.survived(merging.identified(rows, links), ["name", "nation", "priority"], rank)
     return found.select("identity", "records", "name", "nation", "priority", F.array_join("conflicts", ",").alias("conflicts"))
 
 
@@ -315,3 +316,221 @@ def state_changes(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     found = changes.changes_of(e, "user_id", "ts", "event_type", 2 * 86_400)
     return found.select(F.col("key").cast("long").alias("user_id"), F.unix_millis("at").alias("millis"), F.col("before").alias("was"), F.col("now").alias("kind"))
+
+
+# -- records in JSON --------------------------------------------------------------------------------
+
+
+_VOTE = "CASE WHEN value > 75 THEN 'YES' WHEN value > 50 THEN 'NO' WHEN value > 30 THEN 'ABSTAIN' WHEN value > 20 THEN 'ABSENT' ELSE 'OTHER' END"
+
+
+@query(
+    f"SELECT event_id // 40 AS voting, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS club, count(*) FILTER (v = 'YES') AS yes, count(*) FILTER (v = 'NO') AS no, count(*) FILTER (v = 'ABSTAIN') AS abstain, count(*) FILTER (v NOT IN ('YES', 'NO', 'ABSTAIN')) AS absent, 'https://votes/' || event_id // 40 || '.pdf' AS pdf FROM (SELECT *, {_VOTE} AS v FROM events) GROUP BY ALL"
+)
+def votes_by_club(spark, sf_dir):
+    """Votings as JSON records with their votes and links, read by a fixed schema and counted by club; a blank club is one."""
+    e = table(spark, sf_dir, "events").withColumn("voting", F.floor(F.col("event_id") / 40).cast("long"))
+    vote = F.struct(F.col("user_id").alias("MP"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("club"), F.expr(_VOTE).alias("vote"))
+    link = lambda rel, end: F.struct(F.lit(rel).alias("rel"), F.concat(F.lit("https://votes/"), F.col("voting").cast("string"), F.lit(end)).alias("href"))
+    texts = e.groupBy("voting").agg(F.to_json(F.struct("voting", F.collect_list(vote).alias("votes"), F.array(link("html", ".html"), link("pdf", ".pdf")).alias("links"))).alias("body"))
+    return records.club_votes(texts, ["voting"], "body").select("voting", "club", "yes", "no", "abstain", "absent", "pdf")
+
+
+@query(
+    "SELECT o_custkey, o_orderkey::VARCHAR AS number, 'a' || o_orderkey || '.pdf' AS attachment, 'https://api/prints/' || o_orderkey || '/a' || o_orderkey || '.pdf' AS url, CASE WHEN n > 1 THEN 1 ELSE 0 END AS depth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) WHERE o_orderkey % 3 <> 0"
+)
+def print_attachments(spark, sf_dir):
+    """A customer's orders as a print and its additional ones, each with its attachments."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("n"))
+    k = F.col("o_orderkey").cast("string")
+    own = F.concat(F.lit('"number":"'), k, F.lit('","title":" t ","attachments":'), F.when(F.col("o_orderkey") % 3 == 0, "null").otherwise(F.concat(F.lit('["a'), k, F.lit('.pdf"]'))))
+    first = F.min_by(F.struct(own.alias("x")), "n")["x"]
+    others = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") > 1, F.struct("n", own.alias("x"))))), lambda x: F.concat(F.lit("{"), x["x"], F.lit("}"))), ",")
+    texts = o.groupBy("o_custkey").agg(F.concat(F.lit('{"prints":[{'), first, F.lit(',"additionalPrints":['), others, F.lit("]}]}")).alias("body"))
+    return records.attachments(texts, ["o_custkey"], "body", "https://api/prints").select("o_custkey", "number", "attachment", "url", "depth")
+
+
+@query("SELECT n_nationkey AS term, DATE '2000-01-01' + n_nationkey AS start, CASE WHEN n_nationkey % 4 > 0 THEN DATE '2000-01-01' + n_nationkey + 30 END AS stop, n_nationkey % 4 = 0 AS current FROM nation")
+def term_listing(spark, sf_dir):
+    k = F.col("n_nationkey")
+    day = lambda n: F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), n), "yyyy-MM-dd")
+    body = F.to_json(F.collect_list(F.struct(k.alias("num"), day(k).alias("from"), F.when(k % 4 > 0, day(k + 30)).otherwise("soon").alias("to"), F.when(k % 4 == 0, True).alias("current"))))
+    texts = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(body.alias("body"))
+    return records.listed(texts, "body", {"term": ("num", "int"), "start": ("from", "date"), "stop": ("to", "date"), "current": ("current", "boolean")}).withColumn("current", F.coalesce("current", F.lit(False)))
+
+
+@query("SELECT o_custkey AS number, unnest([o_orderdate::DATE, o_orderdate::DATE + 1]) AS day, o_orderstatus AS status FROM orders")
+def sitting_days(spark, sf_dir):
+    """Sittings as JSON with a list of days, a row a day; what isn't a day is no row."""
+    d = F.to_date("o_orderdate")
+    body = F.to_json(F.collect_list(F.struct(F.col("o_custkey").alias("number"), F.col("o_orderstatus").alias("status"), F.array(d.cast("string"), F.lit("n/a"), F.date_add(d, 1).cast("string")).alias("dates"))))
+    texts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(body.alias("body"))
+    rows = records.listed(texts, "body", {"number": ("number", "bigint"), "status": ("status", "string"), "dates": ("dates", "array<string>")})
+    days = rows.select("number", F.explode("dates").alias("day"), "status").withColumn("day", F.col("day").try_cast("date"))
+    return days.where("day is not null").select("number", "day", "status")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7")
+def lookup_by_key(spark, sf_dir):
+    return keyed.looked_up(table(spark, sf_dir, "orders"), {"o_orderkey": 7}).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 11 AND o_orderstatus = 'O'")
+def lookup_by_other_key(spark, sf_dir):
+    return keyed.looked_up(table(spark, sf_dir, "orders"), {"o_custkey": 11, "o_orderstatus": "O"}).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT DISTINCT o_orderkey, o_orderdate::DATE AS day FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey = 5")
+def lookup_through_child(spark, sf_dir):
+    """The orders of one part's lines: found by the child, each once."""
+    lines = keyed.looked_up(table(spark, sf_dir, "lineitem"), {"l_partkey": 5}).select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_semi").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+
+
+# -- sittings -------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH b AS (SELECT c_custkey, unnest([c_custkey, c_custkey + 500]) AS number FROM customer), s AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderstatus AS room, unnest([o_custkey, o_orderkey % 700]) AS number FROM orders)"
+    ", m AS (SELECT DISTINCT c_custkey, o_orderkey, day, room FROM b JOIN s USING (number)), r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, day, room ORDER BY CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 1 END, o_orderkey) AS n FROM m) SELECT c_custkey, o_orderkey, day, room FROM r WHERE n = 1"
+)
+def matched_sittings(spark, sf_dir):
+    k = F.col("c_custkey")
+    bills = table(spark, sf_dir, "customer").select("c_custkey", F.array(k, k + 500).alias("numbers"))
+    o = table(spark, sf_dir, "orders")
+    s = o.select("o_orderkey", F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("room"), F.array(F.col("o_custkey"), F.col("o_orderkey") % 700).alias("named"))
+    told = bills.select("c_custkey", F.explode("numbers").alias("number")).join(s.where("o_orderkey % 5 = 0").select("o_orderkey", F.explode("named").alias("number")), "number").select("c_custkey", "o_orderkey")
+    return sittings.matched(bills, "c_custkey", "numbers", s, "o_orderkey", "named", ["day", "room"], told).select("c_custkey", "o_orderkey", "day", "room")
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_type, ts::DATE AS day, event_id FROM events), t AS (SELECT user_id, event_type, max(struct_pack(d := day, r := event_id)) FILTER (event_id % 3 = 0) AS last, max(struct_pack(d := day, r := event_id)) FILTER (event_id % 3 = 0) AS x FROM e GROUP BY 1, 2)"
+    " SELECT e.user_id, e.event_type, e.event_id, (SELECT arg_max(o.event_id, struct_pack(d := o.day, r := o.event_id)) FROM e o WHERE o.user_id = e.user_id AND o.event_type = e.event_type AND o.event_id % 3 = 0 AND o.event_id <> e.event_id) AS moved_from FROM e WHERE e.event_id % 2 = 1"
+)
+def moved_sittings(spark, sf_dir):
+    """Listed events and the latest one of the same user and kind that was told under another number."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.to_date("ts").alias("day"))
+    found = sittings.moved(e.where("event_id % 2 = 1").drop("day"), e.where("event_id % 3 = 0"), ["user_id", "event_type"], "event_id", "day")
+    return found.select("user_id", "event_type", "event_id", "moved_from")
+
+
+@query(
+    "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN true WHEN event_id % 3 = 0 THEN list_contains([1 + event_id % 5, 2], 1 + event_id % 2) ELSE list_contains([1 + event_id % 5, 2], CASE WHEN event_id % 2 = 0 THEN 4 ELSE 7 END) END AS covered FROM events"
+)
+def covered_items(spark, sf_dir):
+    """An agenda of two items, numbered by their places or by numerals of their own, and a condition on some points."""
+    i = F.col("event_id")
+    head = F.when(i % 3 == 0, F.array(F.lit(""), F.lit(""))).otherwise(F.array(F.lit("IV. "), F.lit("VII. ")))
+    items = F.transform(head, lambda h, n: F.concat(h, F.lit("Report on print "), F.when(n == i % 2, i.cast("string")).otherwise("none"), F.lit(".")))
+    points = F.when(i % 4 == 0, F.array().cast("array<int>")).otherwise(F.array((1 + i % 5).cast("int"), F.lit(2)))
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", sittings.covers(items, F.array(i.cast("string")), points, r"print (\d+)", r"^([IVXLC]+)\.").alias("covered"))
+
+
+# -- letters, roles, bundles -----------------------------------------------------------------------------
+
+_MONTHS = {m: n for n, m in enumerate("january february march april may june july august september october november december".split(), 1)}
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d FROM orders) SELECT k, 'REF-' || k || '-24' AS sender, CASE WHEN k % 3 > 0 THEN d END AS written, CASE WHEN k % 2 = 0 THEN (k % 40)::INT END AS days, CASE WHEN k % 5 = 0 THEN d + 10 WHEN k % 5 = 1 THEN d + 400 END AS until, CASE WHEN k % 7 > 0 THEN 'to' || k || '@office.gov' END AS address"
+    ", CASE WHEN k % 5 = 0 THEN d + 10 WHEN k % 2 = 0 THEN (CASE WHEN k % 3 > 0 THEN d ELSE d + 1 END) + (k % 40)::INT END AS deadline, 'Ann ' || k || ';Bob Lee' AS names FROM o"
+)
+def parsed_letters(spark, sf_dir):
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    key = k.cast("string")
+    written = F.when(k % 3 == 1, F.concat(F.lit("Dated "), F.date_format(d, "d MMMM yyyy"))).when(k % 3 == 2, F.concat(F.lit("Dated "), F.date_format(d, "dd.MM.yyyy"))).otherwise("Dated 31.02.2024")
+    days = F.when(k % 2 == 0, F.concat(F.lit(" Comments within "), (k % 40).cast("string"), F.lit("\n days."))).otherwise("")
+    until = F.when(k % 5 == 0, F.concat(F.lit(" No later than "), F.date_format(F.date_add(d, 10), "d  MMMM yyyy"), F.lit("."))).when(k % 5 == 1, F.concat(F.lit(" No later than "), F.date_format(F.date_add(d, 400), "dd.MM.yyyy"), F.lit("."))).otherwise("")
+    address = F.when(k % 7 > 0, F.concat(F.lit(" Send them to: to"), key, F.lit("@office.gov, please."))).otherwise(" Switchboard info@office.gov.")
+    text = F.concat(F.lit("Ref – 1 "), F.lit("REF – "), key, F.lit("–24\n"), written, F.lit("\n"), days, until, address, F.lit("\nSigned: Ann  "), key, F.lit("\nSigned: Bob Lee\nSigned: \nEnclosure follows\nSigned: Nobody"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_add(d, 1).alias("published"), text.alias("text"))
+    t = F.col("text")
+    told = letters.consultation(t, _MONTHS, r"Dated (\S+(?: \S+ \d{4})?)", r"within (\d+) days", r"No later than ([^.]+(?:\.\d+\.\d+)?)", r"to: (\S+@[\w.]*\w)")
+    o = o.withColumn("told", told)
+    names = F.array_join(letters.signatories(t, r"Signed:[ \t]*([^\n]*)", ["Enclosure"], 3000), ";")
+    return o.select(F.col("o_orderkey").alias("k"), letters.sender_number(t, r"REF\s*[-–]\s*\d+\s*[-–]\s*\d+", 3000).alias("sender"), "told.*", letters.deadline(F.col("told"), F.col("published"), 120).alias("deadline"), names.alias("names"))
+
+
+#: What a file of a folder is by its name; a tag in brackets beats all.
+_ROLES = (("bill", r"\[draft\]"), ("reasons", r"\[reasons\]"), ("", "annex|appendix"), ("reasons", "reason"), ("impact", "impact"), ("", "table|list"))
+
+
+@query(
+    "SELECT role, count(*) AS n FROM (SELECT CASE l_partkey % 8 WHEN 0 THEN 'bill' WHEN 1 THEN 'reasons' WHEN 2 THEN '' WHEN 3 THEN 'reasons' WHEN 4 THEN 'impact' WHEN 5 THEN '' WHEN 6 THEN 'bill' ELSE 'bill' END AS role FROM lineitem) GROUP BY 1"
+)
+def text_roles(spark, sf_dir):
+    names = ("Annex [DRAFT].pdf", "list [reasons].doc", "Appendix to impact.pdf", "Reasoning.docx", "Impact sheet.pdf", "Table of notes.pdf", "Draft bill.pdf", "scan001.pdf")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("l_partkey") % 8 + 1).cast("int"))
+    rules = [(F.lower(name).rlike(p), r) for r, p in _ROLES]
+    return table(spark, sf_dir, "lineitem").select(decisions.first_rule(rules, "bill").alias("role")).groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey AS o, l_linenumber AS n, CASE WHEN l_returnflag = 'R' THEN 'annex' WHEN l_linestatus = 'F' OR l_quantity > 25 THEN 'bill' ELSE '' END AS role, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS r, l_tax AS d, l_discount > 0.08 AS lost FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1)),
+ b AS (SELECT o, min(r) FILTER (role = 'bill') AS least, count(*) AS parts FROM p GROUP BY 1),
+ c AS (SELECT p.o, any_value(parts) AS parts, min(n) FILTER (role = 'bill' AND r = least) AS best, arg_min(lost, n) FILTER (role = 'bill' AND r = least) AS best_lost, count(DISTINCT d) FILTER (role = 'bill' AND r = least) AS texts, string_agg(n::VARCHAR, ',' ORDER BY n) FILTER (role = 'annex') AS annexes, count(*) FILTER (role = 'annex') AS k, coalesce(bool_or(lost) FILTER (role = 'annex'), false) AS annex_lost FROM p JOIN b USING (o) GROUP BY 1),
+ s AS (SELECT *, CASE WHEN best IS NULL THEN 'none' WHEN texts > 1 THEN 'conflict' WHEN best_lost OR annex_lost THEN 'waiting' ELSE 'chosen' END AS state FROM c)
+ SELECT o AS l_orderkey, state, CASE WHEN state IN ('waiting', 'chosen') THEN best END AS chosen, CASE WHEN state IN ('waiting', 'chosen') THEN coalesce(annexes, '') ELSE '' END AS annexes, CASE WHEN state IN ('waiting', 'chosen') THEN parts - 1 - k ELSE parts END AS rejected FROM s"""
+)
+def selected_parts(spark, sf_dir):
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    # lines of one number would be ties: the first of each stays
+    li = keyed.first_per_key(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity")])
+    roles = [(flag == "R", "annex"), ((status == "F") | (F.col("l_quantity") > 25), "bill")]
+    found = selection.selected(li, ["l_orderkey"], "l_linenumber", roles, "bill", "annex", [F.when(status == "F", 0).otherwise(1)], F.col("l_tax").cast("string"), F.col("l_discount") > 0.08)
+    return found.select("l_orderkey", "state", "chosen", F.array_join("annexes", ",").alias("annexes"), F.col("rejected").cast("long").alias("rejected"))
+
+
+@query(
+    "SELECT doc_id, n >= 200 AND n * 1.0 / pages >= 40 AS carries, CASE WHEN doc_id % 2 = 0 AND pages > 1 THEN 1 ELSE 0 END AS first, pages - CASE WHEN doc_id % 2 = 0 AND pages > 1 THEN 1 ELSE 0 END AS count FROM (SELECT doc_id, length(trim(text, ' ')) AS n, len(string_split(text, chr(10))) AS pages FROM documents WHERE text IS NOT NULL)"
+)
+def carried_texts(spark, sf_dir):
+    pages_ = F.size(F.split("text", "\n"))
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    window = selection.page_window(pages_, F.col("doc_id") % 2 == 0)
+    d = d.select("doc_id", selection.carries_text(F.col("text"), pages_, 200, 40.0).alias("carries"), window.alias("w"))
+    return d.select("doc_id", "carries", F.col("w.first").alias("first"), F.col("w.count").cast("long").alias("count"))
+
+
+@query(
+    "WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS p FROM orders), n(k) AS (SELECT k FROM o WHERE d >= DATE '1998-01-01' UNION SELECT o.p FROM n JOIN o ON o.k = n.k WHERE o.p IS NOT NULL AND o.k % 4 <> 0) SELECT k FROM o WHERE d < DATE '1998-01-01' AND k NOT IN (SELECT k FROM n)"
+)
+def prunable_through_others(spark, sf_dir):
+    """An order needs the one before it, but for every fourth: old orders that nothing kept needs, directly or through others."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("d"), F.lag("o_orderkey").over(w).alias("p"))
+    return selection.prunable(o, "k", F.col("d") < F.lit("1998-01-01").cast("date"), o.where("k % 4 <> 0"), "k", "p").select("k")
+
+
+# -- news, reasons, keys ------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH s AS (SELECT user_id, ts::DATE AS day, bool_or(event_type = 'purchase' AND value > 60 OR event_type = 'error' AND value > 80) AS stage, bool_or(event_type = 'signup') AS closed, bool_or(event_type = 'click' AND value > 95) AS act, bool_or(event_type = 'view' AND value > 97) AS filed FROM events GROUP BY 1, 2) SELECT day, count(*) FILTER (stage OR filed OR closed AND NOT act) AS news, count(*) FILTER (NOT (stage OR filed OR closed AND NOT act)) AS silent FROM s GROUP BY 1"
+)
+def daily_news(spark, sf_dir):
+    """Changes of a user's day that are worth a post: a substantive stage, a filed document, or an end that no act says already."""
+    t, v = F.col("event_type"), F.col("value")
+    found = decisions.news(
+        table(spark, sf_dir, "events"), ["user_id", F.to_date("ts").alias("day")], substantive=((t == "purchase") & (v > 60)) | ((t == "error") & (v > 80)), always=(t == "view") & (v > 97), unless_said=t == "signup", said=(t == "click") & (v > 95)
+    )
+    return found.groupBy("day").agg(F.count_if("news").alias("news"), F.count_if(~F.col("news")).alias("silent"))
+
+
+@query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(text) < 100 THEN 'triage' WHEN quality = 1 THEN 'score ' || length(text) % 10 ELSE 'not relevant' END AS reason FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
+def verdict_reasons(spark, sf_dir):
+    size = F.length("text")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return d.groupBy(decisions.verdict(size < 100, F.col("quality") == 1, size % 10).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "SELECT o_orderkey, sha256('=' || o_orderstatus || chr(31) || '=' || o_custkey || chr(31) || CASE WHEN o_orderstatus = 'F' THEN '=closed' ELSE '-' END || chr(31) || CASE WHEN parts IS NULL THEN '-' ELSE '=' || parts END) AS change_key FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT l_partkey::VARCHAR, ',' ORDER BY l_partkey::VARCHAR) AS parts FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) ON l_orderkey = o_orderkey"
+)
+def change_keys(spark, sf_dir):
+    """A key for each state of an order: its status, owner, end and the parts filed to it, in whatever order they came."""
+    parts = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("parts"))
+    o = table(spark, sf_dir, "orders").join(parts, "o_orderkey", "left")
+    key = wording.change_key([F.col("o_orderstatus"), F.col("o_custkey")], F.col("o_orderstatus") == "F", F.col("parts"))
+    return o.select("o_orderkey", key.alias("change_key"))

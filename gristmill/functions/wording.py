@@ -70,3 +70,9 @@ def conditional_items(note: Column, until: str, naming: str) -> Column:
     fit = F.filter(bounds, lambda b: ~F.exists(b, lambda n: n.isNull()))
     ranges = F.transform(fit, lambda b: F.sequence(F.array_min(b), F.array_max(b)))
     return F.when(note.rlike(until), F.array_sort(F.array_distinct(F.flatten(ranges))))
+
+
+def change_key(parts: Sequence[Column], closed: Column, filed: Column) -> Column:
+    """A key for a state: its parts, whether it has ended, and what was filed, whatever the order and however often."""
+    listed = F.when(F.size(filed) > 0, F.array_join(F.array_sort(F.array_distinct(filed)), ","))
+    return content_key(*parts, F.when(closed, "closed"), listed)

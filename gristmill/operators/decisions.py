@@ -73,3 +73,19 @@ def waits_because(urgency: Column, reasons: Column, sent_at_once: Sequence[str],
 def overdue(deadline: Column, today: Column, exact: Column, grace_days: int = 7) -> Column:
     """Whether a deadline has run out, with grace unless it is exact; no deadline is never overdue."""
     return F.coalesce(F.datediff(today, deadline) > F.when(exact, 0).otherwise(grace_days), F.lit(False))
+
+
+def news(changes: DataFrame, keys: Sequence[str | Column], substantive: Column, always: Column, unless_said: Column, said: Column) -> DataFrame:
+    """keys, news: whether what changed deserves telling now.
+
+    A substantive row does, and one that always counts; a row of ``unless_said`` does unless another
+    one of the same key says it all. Nulls are no news.
+    """
+    held = lambda c: F.coalesce(F.max(c), F.lit(False))
+    found = changes.groupBy(*keys).agg((held(substantive) | held(always) | (held(unless_said) & ~held(said))).alias("news"))
+    return found
+
+
+def verdict(triaged: Column, relevant: Column, score: Column) -> Column:
+    """Why a record wasn't told: turned away at first sight, not relevant, or its score."""
+    return F.when(triaged, "triage").when(relevant, F.concat(F.lit("score "), score.cast("string"))).otherwise("not relevant")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,3 +74,10 @@ def compared(old: DataFrame, new: DataFrame, keys: Sequence[str], value: str) ->
     both = o.join(n, list(keys), "full_outer")
     kept = F.when(F.col("_was").eqNullSafe(F.col("_is")), "unchanged").otherwise("changed")
     return both.select(*keys, F.when(F.col("_is_has").isNull(), "gone").when(F.col("_was_has").isNull(), "new").otherwise(kept).alias("state"))
+
+
+def looked_up(rows: DataFrame, key: Mapping[str, object]) -> DataFrame:
+    """The rows of one key; equality on columns, so it is pushed to the scan. A null looks up nulls."""
+    for c, v in key.items():
+        rows = rows.where(F.col(c).isNull() if v is None else F.col(c) == F.lit(v))
+    return rows

@@ -57,16 +57,36 @@ def contains_folded(text: Column, needle: str) -> Column:
     return F.instr(F.lower(text), needle.lower()) > 0
 
 
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+#: Named entities, fixed values; numeric ones follow a rule.
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»",
+    "bdquo": "„", "rdquo": "”", "ldquo": "“", "sect": "§", "amp": "&",
+}
+NUMERIC = r"&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+
+
+def decoded(text: Column) -> Column:
+    """``text`` with its entities as characters; an unknown name stays, a number that is no character becomes a mark."""
+    told = F.regexp_extract_all(text, F.lit(NUMERIC), F.lit(0))
+    hexed = lambda e: F.lower(F.substring(e, 3, 1)) == "x"
+    point = lambda e: F.when(hexed(e), F.conv(F.substr(e, F.lit(4), F.length(e) - 4), 16, 10)).otherwise(F.substr(e, F.lit(3), F.length(e) - 3)).cast("int")
+    valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
+    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+    put = F.transform(told, lambda e: F.when(valid(point(e)), char(point(e))).otherwise("\ufffd"))
+    parts = F.split(text, NUMERIC, -1)
+    whole = F.array_join(F.flatten(F.transform(parts, lambda p, i: F.array(p, F.coalesce(F.get(put, i), F.lit(""))))), "")
+    out = F.when(F.size(told) > 0, whole).otherwise(text)
+    for name, value in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    return out
 
 
 def html_text(html: Column) -> Column:
-    """Text of markup: scripts, styles and comments go, block ends become new lines, basic entities are decoded."""
+    """Text of markup: scripts, styles and comments go, block ends become new lines, entities are decoded."""
     out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->", " ")
     out = F.regexp_replace(out, r"(?i)<(br|/p|/div|/li|/h[1-6]|/tr)\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
+    out = decoded(out)
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"))
 
 

@@ -15,25 +15,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.text import decoded
+
 TAG = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-z][^>]*>"
-#: Named entities that are told apart from plain text; numeric ones follow a rule.
-ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "bdquo": "„", "rdquo": "”", "ldquo": "“", "sect": "§", "amp": "&"}
 
 
 def plain(text: Column) -> Column:
     """``text`` without entities, white space as one space; an unknown name stays as it is."""
-    numeric = r"&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
-    told = F.regexp_extract_all(text, F.lit(numeric), F.lit(0))
-    point = lambda e: F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(F.substr(e, F.lit(4), F.length(e) - 4), 16, 10)).otherwise(F.substr(e, F.lit(3), F.length(e) - 3)).cast("int")
-    valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
-    char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
-    put = F.transform(told, lambda e: F.when(valid(point(e)), char(point(e))).otherwise("�"))
-    parts = F.split(text, numeric, -1)
-    out = F.array_join(F.flatten(F.transform(parts, lambda p, i: F.array(p, F.coalesce(F.get(put, i), F.lit(""))))), "")
-    out = F.when(F.size(told) > 0, out).otherwise(text)
-    for name, value in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
-    return F.trim(F.regexp_replace(F.replace(out, F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.replace(decoded(text), F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
 
 
 def tags(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:

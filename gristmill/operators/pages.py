@@ -7,11 +7,11 @@ from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gristmill.functions.text import first_kind
+from gristmill.operators.excerpting import places
 from gristmill.operators.figures import majority_value
 
 
@@ -39,33 +39,25 @@ def page_kinds(pages: DataFrame, rules: Sequence[tuple[str, str]], head_chars: i
 
 def trimmed(pages: DataFrame, key: str, keep: Column, opens: Column) -> DataFrame:
     """Pages of kept sections: ``opens`` pages decide (``keep`` or not), the pages after them follow."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     state = F.last(F.when(opens, keep), ignorenulls=True).over(w)
     return pages.withColumn("kept", F.coalesce(state, F.lit(True)))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def _windows(texts: pd.Series, patterns: pd.Series, widths: pd.Series) -> pd.Series:
-    """Character windows around matches, merged where they touch."""
-    out = []
-    for text, pattern, width in zip(texts, patterns, widths, strict=True):
-        merged: list[dict[str, int]] = []
-        for m in re.finditer(pattern, text or "", re.IGNORECASE):
-            a, b = max(0, m.start() - width), min(len(text), m.end() + width)
-            if merged and a <= merged[-1]["end"]:
-                merged[-1]["end"] = max(merged[-1]["end"], b)
-            else:
-                merged.append({"start": a, "end": b})
-        out.append(merged)
-    return pd.Series(out)
-
-
 def excerpts(docs: DataFrame, key: str, text: str, pattern: str, width: int = 80) -> DataFrame:
-    """One row an excerpt: where it lies, and its text."""
-    found = docs.select(key, text, F.posexplode(_windows(F.col(text), F.lit(pattern), F.lit(width))).alias("n", "w"))
-    return found.select(key, "n", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.substring(F.col(text), F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("excerpt"))
+    """key, n, start, end, excerpt: windows of ``width`` characters around matches, whatever their case, merged where they touch.
+
+    Matches must not be empty; null texts have none.
+    """
+    at = places(docs, key, text, f"(?iu){pattern}").where("start is not null")
+    met = at.join(docs.select(key, F.length(text).alias("size")), key)
+    wide = met.select(key, F.greatest(F.col("start") - width, F.lit(0)).alias("a"), F.least(F.col("end") + width, F.col("size")).alias("b"))
+    before = Window.partitionBy(key).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(key).orderBy("a", "b")
+    apart = wide.withColumn("new", F.when(F.col("a") <= F.max("b").over(before), 0).otherwise(1))
+    merged = apart.withColumn("n", F.sum("new").over(line) - 1).groupBy(key, "n").agg(F.min("a").alias("start"), F.max("b").alias("end"))
+    cut = F.substring(F.col(text), F.col("start") + 1, F.col("end") - F.col("start"))
+    return merged.join(docs.select(key, text), key).select(key, F.col("n").cast("int").alias("n"), "start", "end", cut.alias("excerpt"))
 
 
 def _part_ends(text: str, limit: int) -> Iterator[int]:

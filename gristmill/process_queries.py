@@ -352,21 +352,20 @@ def customer_addresses(spark, sf_dir):
 
 # -- stages ----------------------------------------------------------------------------------
 
-#: Regions, their nations, and their suppliers as the stages of one process a region.
+#: A process a customer: its orders, and what became of each, are its stages.
 _STAGES = (
-    "SELECT r_regionkey AS process, r_name AS name, [0]::BIGINT[] AS path FROM region UNION ALL SELECT n_regionkey, n_name, [0, n_nationkey]::BIGINT[] FROM nation"
-    " UNION ALL SELECT n_regionkey, s_name, [0, n_nationkey, s_suppkey]::BIGINT[] FROM supplier JOIN nation ON s_nationkey = n_nationkey"
+    "SELECT c_custkey AS process, c_name AS name, [0]::BIGINT[] AS path FROM customer UNION ALL SELECT o_custkey, o_orderpriority, [0, o_orderkey]::BIGINT[] FROM orders"
+    " UNION ALL SELECT o_custkey, o_orderstatus, [0, o_orderkey, 0]::BIGINT[] FROM orders WHERE o_orderstatus <> 'P'"
 )
 
 
 def _stages(spark, sf_dir):
-    r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    c, o = (table(spark, sf_dir, t) for t in ("customer", "orders"))
     path = lambda *c: F.array(*[F.col(x).cast("long") if isinstance(x, str) else F.lit(x).cast("long") for x in c]).alias("path")
-    deep = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
     return (
-        r.select(F.col("r_regionkey").alias("process"), F.col("r_name").alias("name"), path(0))
-        .union(n.select("n_regionkey", "n_name", path(0, "n_nationkey")))
-        .union(deep.select("n_regionkey", "s_name", path(0, "n_nationkey", "s_suppkey")))
+        c.select(F.col("c_custkey").alias("process"), F.col("c_name").alias("name"), path(0))
+        .union(o.select("o_custkey", "o_orderpriority", path(0, "o_orderkey")))
+        .union(o.where("o_orderstatus <> 'P'").select("o_custkey", "o_orderstatus", path(0, "o_orderkey", 0)))
     )
 
 
@@ -427,7 +426,8 @@ def next_phases(spark, sf_dir):
 def open_windows(spark, sf_dir):
     day, today = F.to_date("o_orderdate"), F.lit("2000-06-15").cast("date")
     ends = F.when(F.col("o_orderpriority") != "5-LOW", F.date_add(day, 30))
-    return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") != "F") & (day <= today) & (ends.isNull() | (ends >= today))).select("o_orderkey")
+    begun = F.col("o_orderdate") < _at("2000-06-16")
+    return table(spark, sf_dir, "orders").where((F.col("o_orderstatus") != "F") & begun & (day <= today) & (ends.isNull() | (ends >= today))).select("o_orderkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linestatus = 'O' AND l_shipdate::DATE IN (DATE '1998-06-16', DATE '1998-06-18', DATE '1998-06-22')")

@@ -33,11 +33,25 @@ def read_register(spark: SparkSession, path: str, prefixes: Mapping[str, str], k
 
     Of rows published at the same time the first in the file stays.
     """
+    rows = _register(spark, path, prefixes, key, published, date_format).where("reason is null")
+    return first_per_key(rows, [key], [F.desc(published), F.asc("position")]).drop("position", "reason")
+
+
+def register_rejects(spark: SparkSession, path: str, prefixes: Mapping[str, str], key: str, published: str, date_format: str = "yyyy-MM-dd HH:mm") -> DataFrame:
+    """The rows that :func:`read_register` passes over, and why: 'no key' or 'no date'; their dates read as null."""
+    return _register(spark, path, prefixes, key, published, date_format).where("reason is not null").drop("position")
+
+
+def _register(spark: SparkSession, path: str, prefixes: Mapping[str, str], key: str, published: str, date_format: str) -> DataFrame:
+    """The register's fields, ``position`` in the file, and ``reason``, why a row doesn't count (null if it does)."""
     raw = spark.read.csv(path, sep=";", header=True, multiLine=True, quote='"', escape='"')
     names = mapped_headers(raw.columns, prefixes, [key, published])
-    rows = raw.select(*[F.trim(F.col(f"`{h}`")).alias(f) for h, f in names.items()], F.monotonically_increasing_id().alias("_position"))
-    rows = rows.withColumn(published, F.try_to_timestamp(published, F.lit(date_format))).where(F.col(published).isNotNull() & (F.coalesce(F.col(key), F.lit("")) != ""))
-    return first_per_key(rows, [key], [F.desc(published), F.asc("_position")]).drop("_position")
+    if {"position", "reason"} & set(names.values()):
+        raise ValueError("position and reason are no fields of a register")
+    rows = raw.select(*[F.trim(F.col(f"`{h}`")).alias(f) for h, f in names.items()], F.monotonically_increasing_id().alias("position"))
+    rows = rows.withColumn(published, F.try_to_timestamp(published, F.lit(date_format)))
+    reason = F.when(F.coalesce(F.col(key), F.lit("")) == "", "no key").when(F.col(published).isNull(), "no date")
+    return rows.withColumn("reason", reason)
 
 
 def read_json_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:

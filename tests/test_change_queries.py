@@ -2,17 +2,21 @@
 
 import pytest
 
-from gristmill import change_queries, process_queries, queries
+from gristmill import change_queries, process_queries, queries, stream_queries
 from tests.test_queries import SF, duck, rows  # noqa: F401
 
 
-@pytest.mark.parametrize("name", sorted(change_queries.ORACLE_SQL))
+SQL = change_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):  # noqa: F811
-    got, want = change_queries.QUERIES[name](spark, SF), duck.sql(change_queries.ORACLE_SQL[name])
+    got, want = (change_queries.QUERIES | stream_queries.QUERIES)[name](spark, SF), duck.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
     found = rows(got.columns, got.collect())
     assert found == rows(want.columns, want.fetchall()) and found
 
 
 def test_names_are_not_taken_twice():
-    assert not set(change_queries.QUERIES) & (set(queries.QUERIES) | set(process_queries.QUERIES))
+    every = [*queries.QUERIES, *process_queries.QUERIES, *change_queries.QUERIES, *stream_queries.QUERIES]
+    assert len(every) == len(set(every))

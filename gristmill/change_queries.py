@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import letters, wording
-from gristmill.operators import alignment, decisions, differences, inspection, json_trees, keyed, machines, markup, merging, pages, records, selection, sittings, splits, stages, versions
+from gristmill.functions import dates, json, letters, text, wording
+from gristmill.operators import alignment, decisions, differences, figures, inspection, json_trees, keyed, machines, markup, merging, pages, records, selection, sittings, splits, stages, versions
 from gristmill.operators.graphs import shared_folder
 from gristmill.sources import paged
 from gristmill.sources.tables import table
@@ -534,3 +534,54 @@ def change_keys(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(parts, "o_orderkey", "left")
     key = wording.change_key([F.col("o_orderstatus"), F.col("o_custkey")], F.col("o_orderstatus") == "F", F.col("parts"))
     return o.select("o_orderkey", key.alias("change_key"))
+
+
+# -- single expressions -------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT event_id, '{"a":' || event_id || CASE WHEN event_id % 3 = 0 THEN ',"c":{"x":[1,"t"]}' WHEN event_id % 3 = 1 THEN ',"c":' || event_id % 10 ELSE '' END || ',"e":null}' AS rest FROM events"""
+)
+def json_pruned(spark, sf_dir):
+    """A payload without a member and a member's member; types stay."""
+    i = F.col("event_id")
+    inner = F.when(i % 3 == 0, ',"c":{"x":[1,"t"],"text":"long"}').when(i % 3 == 1, F.concat(F.lit(',"c":'), (i % 10).cast("string"))).otherwise("")
+    body = F.concat(F.lit('{"text":"long","e":null'), inner, F.lit(',"a":'), i.cast("string"), F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", json.without_paths(body, "text", "c.text", "none.at.all").alias("rest"))
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN date_trunc('week', o_orderdate)::DATE END AS start, CASE WHEN o_orderkey % 9 > 0 THEN date_trunc('week', o_orderdate)::DATE + 6 END AS stop FROM orders"
+)
+def week_days(spark, sf_dir):
+    label = F.when(F.col("o_orderkey") % 9 > 0, dates.iso_week(F.to_date("o_orderdate"))).when(F.col("o_orderkey") % 2 == 0, "2023-W53").otherwise("2024-W00")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", dates.week_bounds(label).alias("w"))
+    return o.select("o_orderkey", F.col("w.start").alias("start"), F.col("w.end").alias("stop"))
+
+
+@query(
+    "WITH e AS (SELECT strftime(ts, '%Y-%m') AS month, event_type, (props->>'$.k')::BIGINT AS k FROM events), r AS (SELECT month, count(*) AS runs FROM e GROUP BY 1) SELECT month, event_type AS entry, sum(k)::BIGINT AS amount, any_value(runs) AS runs FROM e JOIN r USING (month) GROUP BY 1, 2"
+)
+def month_usage(spark, sf_dir):
+    """A month's runs beside what its runs used, maps of counters added up."""
+    month = F.date_format("ts", "yyyy-MM").alias("month")
+    e = table(spark, sf_dir, "events").select(month, F.create_map(F.col("event_type"), F.get_json_object("props", "$.k").cast("long")).alias("used"))
+    return figures.merged_maps(e, [F.col("month")], "used").join(e.groupBy("month").agg(F.count("*").alias("runs")), "month")
+
+
+@query(
+    r"""WITH t AS (SELECT doc_id, text || ' (print ' || doc_id || ') end' AS t FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, t, substr(t, strpos(t, '(print ' || doc_id || ')') + 1, 60) AS tail, CASE WHEN length(t) <= 120 THEN t ELSE regexp_replace(substr(t, 1, 120), '\s+\S*\z', '') || '...' END AS head FROM t)
+ SELECT doc_id, CASE WHEN length(t) > 120 AND NOT contains(head, '(print ' || doc_id) THEN regexp_replace(substr(t, 1, 116 - length(tail)), '\s+\S*\z', '') || '... ' || tail ELSE head END AS clip FROM k"""
+)
+def clipped_references(spark, sf_dir):
+    key = F.col("doc_id").cast("string")
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat("text", F.lit(" (print "), key, F.lit(") end")).alias("t"))
+    return d.select("doc_id", text.clipped_keeping(F.col("t"), 120, "print ", F.array(key)).alias("clip"))
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE contains(lower(coalesce(text, '')), 'handed') OR len(list_filter(string_split(source || ',' || lang, ','), lambda x: contains(lower(x), 'fr'))) > 0 GROUP BY 1")
+def folded_lists(spark, sf_dir):
+    """Texts or any tag of theirs that hold a word, whatever its case."""
+    tags = F.array(F.col("source"), F.upper("lang"), F.lit(None).cast("string"))
+    d = table(spark, sf_dir, "documents")
+    return d.where(text.any_contains_folded(F.col("text"), F.array(F.lit("none")), "HANDED") | text.any_contains_folded(F.lit(None).cast("string"), tags, "Fr")).groupBy("source").agg(F.count("*").alias("n"))

@@ -15,6 +15,14 @@ def week_start(day: Column) -> Column:
     return F.to_date(F.date_trunc("week", day))
 
 
+def week_bounds(label: Column) -> Column:
+    """Struct (start, end): Monday and Sunday of a ``2027-W53`` label; null for what is none, also for a week its year doesn't have."""
+    year, week = (F.nullif(F.regexp_extract(label, r"^(\d{4})-W(\d{2})$", g), F.lit("")).cast("int") for g in (1, 2))
+    # the fourth of January lies in the first week
+    start = F.date_add(week_start(F.make_date(year, F.lit(1), F.lit(4))), (week - 1) * 7)
+    return F.when((week >= 1) & (iso_week(start) == label), F.struct(start.alias("start"), F.date_add(start, 6).alias("end")))
+
+
 def first_week_end_of_month(day: Column) -> Column:
     """Whether the Sunday of the day's week is one of the first seven days of its month."""
     return F.dayofmonth(F.date_add(week_start(day), 6)) <= 7

@@ -29,3 +29,28 @@ def without_keys(json: Column, *names: str) -> Column:
 def listed(rows: DataFrame, json: str, path: str, kind: str, name: str = "item") -> DataFrame:
     """A row for each value of the list at ``path``, with its place ``pos``."""
     return rows.select("*", F.posexplode(F.from_json(F.get_json_object(json, path), f"array<{kind}>")).alias("pos", name))
+
+
+def without_paths(json: Column, *paths: str) -> Column:
+    """A JSON object's text without some members; a path names a member of a member with a dot ("a.b").
+
+    Types stay, names come in order. A path that leads nowhere removes nothing; a text that
+    is no object stays as it is, a broken one is null.
+    """
+
+    def rest(value: Column, some: list[list[str]]) -> Column:
+        members = F.try_variant_get(value, "$", "map<string,variant>")
+        here = [p[0] for p in some if len(p) == 1]
+        left = F.map_filter(members, lambda k, _: ~k.isin(*here)) if here else members
+        below: dict[str, list[list[str]]] = {}
+        for p in some:
+            if len(p) > 1:
+                below.setdefault(p[0], []).append(p[1:])
+        for name, inner in below.items():
+            left = F.transform_values(left, within(name, inner))
+        return F.coalesce(F.to_json(left), F.to_json(value))
+
+    def within(name: str, inner: list[list[str]]):
+        return lambda k, v: F.when((k == name) & F.schema_of_variant(v).startswith("OBJECT"), F.try_parse_json(rest(v, inner))).otherwise(v)
+
+    return rest(F.try_parse_json(json), [p.split(".") for p in paths])

@@ -138,6 +138,25 @@ def clipped(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.regexp_replace(head, r"\s+\S*\z", ""), F.lit("...")))
 
 
+def clipped_keeping(text: Column, limit: int, naming: str, keeping: Column) -> Column:
+    """As :func:`clipped`, but a reference that the text was shown for stays: where the head has lost all of them, the first goes behind it.
+
+    ``naming`` is what stands before a reference and ``keeping`` the references; what is kept begins there
+    and has at most half of ``limit``.
+    """
+    named = F.concat(F.lit(f"(?s){naming}(?:"), F.array_join(keeping, "|"), F.lit(r")\b"))
+    tail = F.left(F.regexp_substr(text, F.concat(named, F.lit(".*"))), F.lit(limit // 2))
+    head = clipped(text, limit)
+    short = F.regexp_replace(F.substr(text, F.lit(1), F.lit(limit - 4) - F.length(tail)), r"\s+\S*\z", "")
+    lost = (F.length(text) > limit) & (F.size(keeping) > 0) & tail.isNotNull() & F.regexp_substr(head, named).isNull()
+    return F.when(lost, F.concat(short, F.lit("... "), tail)).otherwise(head)
+
+
+def any_contains_folded(texts: Column, lists: Column, needle: str) -> Column:
+    """Whether a text or any item of a list holds the needle, whatever its case; nulls hold nothing."""
+    return F.coalesce(contains_folded(texts, needle), F.lit(False)) | F.coalesce(F.exists(lists, lambda x: F.coalesce(contains_folded(x, needle), F.lit(False))), F.lit(False))
+
+
 def typographic(text: Column) -> Column:
     """The text with plain quotes, dashes and spaces: equal for versions that were typeset differently."""
     plain = F.translate(text, "„“”‘’‐‑‒–—­", "\"\"\"''-----")

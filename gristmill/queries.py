@@ -677,7 +677,14 @@ def message_parts(spark, sf_dir):
     return pages.message_parts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT doc_id, length(text) AS size, string_split_regex(text, '(?i)hand') AS p FROM documents WHERE text IS NOT NULL),
+ s AS (SELECT doc_id, size, (list_sum(list_transform(p[1:i], lambda x: length(x))) + 4 * (i - 1))::INT AS st FROM (SELECT *, unnest(range(1, len(p))) AS i FROM d)),
+ w AS (SELECT doc_id, greatest(st - 80, 0)::INT AS a, least(st + 84, size)::INT AS b FROM s),
+ f AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM w),
+ g AS (SELECT doc_id, n, min(a) AS start, max(b) AS stop FROM (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY a, b) - 1)::INT AS n FROM f) GROUP BY 1, 2)
+ SELECT doc_id, n, start, stop AS "end", substr(text, start + 1, stop - start) AS excerpt FROM g JOIN documents USING (doc_id)"""
+)
 def keyword_excerpts(spark, sf_dir):
     return pages.excerpts(table(spark, sf_dir, "documents"), "doc_id", "text", "hand")
 

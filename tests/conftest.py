@@ -1,3 +1,4 @@
+import os
 import tempfile
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import SparkSession
 def spark():
     where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[4]"))
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.local.dir", where)
         .config("spark.checkpoint.dir", f"file://{where}/shared")

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gristmill.change_queries import _MONTHS
-from gristmill.functions import letters, wording
+from gristmill.functions import dates, json, letters, text, wording
 from gristmill.operators import decisions, folds, keyed, records, selection, sittings, stages
 
 
@@ -106,3 +106,30 @@ def test_helper_names_clash_with_nothing(spark):
     new = spark.createDataFrame([(2, "n", 9)], "k int, _rank string, _new int")
     assert sorted(map(tuple, keyed.upsert(d.where("_new > 1"), new, ["k"]).collect())) == [(1, "y", 2), (2, "n", 9)]
     assert keyed.looked_up(d.withColumn("n", F.lit(None).cast("int")), {"k": 1, "n": None}).count() == 2
+
+
+def test_members_leave_a_json_text(spark):
+    texts = ['{"b":{"c":1,"d":{"c":2}},"a":"x"}', '{"b":[1]}', "[1,2]", "{", None, '{"b":null,"a":1.5}']
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.x for r in d.select(json.without_paths(F.col("t"), "a", "b.c", "b.d.c").alias("x")).collect()]
+    assert got == ['{"b":{"d":{}}}', '{"b":[1]}', "[1,2]", None, None, '{"b":null}']
+
+
+def test_bounds_of_weeks(spark):
+    labels = ["2020-W53", "2021-W53", "2024-W01", "2024-W00", "x", None, "2026-W99"]
+    got = [r.w for r in spark.createDataFrame([(x,) for x in labels], "t string").select(dates.week_bounds(F.col("t")).alias("w")).collect()]
+    assert [(w.start, w.end) if w else None for w in got] == [(dt.date(2020, 12, 28), dt.date(2021, 1, 3)), None, (dt.date(2024, 1, 1), dt.date(2024, 1, 7)), None, None, None, None]
+
+
+def test_clips_keep_what_they_were_shown_for(spark):
+    long = "one two three four five six seven eight nine ten print 12 end print 7 of all"
+    rows = [(long, ["12"]), (long, ["7"]), (long, ["99"]), (long, []), ("print 7 first " + long, ["7"]), ("short", ["7"]), (None, ["7"])]
+    d = spark.createDataFrame(rows, "t string, k array<string>")
+    got = [r.c for r in d.select(text.clipped_keeping(F.col("t"), 40, "print ", F.col("k")).alias("c")).collect()]
+    assert got[0].endswith("... print 12 end print 7") and got[1].endswith("... print 7 of all") and all(c is None or len(c) <= 43 for c in got)
+    assert got[2] == got[3] and got[4].startswith("print 7 first") and got[4].endswith("...") and got[5:] == ["short", None]
+
+
+def test_folded_lists_with_nulls(spark):
+    d = spark.createDataFrame([("Abc", None), (None, ["x", None, "zAB"]), (None, None), ("x", [])], "t string, l array<string>")
+    assert [r.h for r in d.select(text.any_contains_folded(F.col("t"), F.col("l"), "aB").alias("h")).collect()] == [True, True, False, False]

@@ -36,6 +36,7 @@ WORD = re.compile(r"[^\W_]+")
 MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_CHARS = 8_000_000
+FOUND = "doc_id long, item long, item_words long, covered_words long, tiles long, coverage double, contaminated boolean"
 PAIRS = "doc_id long, item_id long, item_words long, covered_words long, tiles long, coverage double, contaminated boolean"
 
 
@@ -107,7 +108,7 @@ def greedy_tiles(item: list[int], doc: list[int], least: int = MIN_MATCH) -> lis
 class Block:
     """A bounded block of benchmark items with the hashes of its seeds."""
 
-    def __init__(self, items: list[tuple[int | None, str]], least: int = MIN_MATCH):
+    def __init__(self, items: list[tuple[int, str]], least: int = MIN_MATCH):
         self.least, self.ids, self.number, self.items = least, [], {}, []
         for item_id, text in items:
             seq = [self.number.setdefault(w, len(self.number) + 1) for w in words(text or "")]
@@ -122,8 +123,8 @@ class Block:
         self.seeds = dict(seeds)
         self.sorted = {n: np.array(sorted(h for m, h in seeds if m == n), np.uint64) for n in {m for m, _ in seeds}}
 
-    def matches(self, text: str, coverage: float) -> list[tuple[int | None, int, int, int]]:
-        """(item id, its words, words under tiles, tiles) of each item covered to ``coverage``."""
+    def matches(self, text: str, coverage: float) -> list[tuple[int, int, int, int]]:
+        """(item, its words, words under tiles, tiles) of each item covered to ``coverage``."""
         if not self.items:
             return []
         found = words(text)
@@ -156,18 +157,18 @@ class Block:
         return out
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", most: int = BLOCK_CHARS) -> Iterator[Block]:
-    """The benchmark in blocks of about ``most`` characters at most, dealt by a hash of the text."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+def blocks(benchmark: DataFrame, text_col: str = "text", most: int = BLOCK_CHARS) -> Iterator[Block]:
+    """The benchmark's different texts in blocks of about ``most`` characters at most, dealt by their hash, which names them."""
+    rows = benchmark.select(F.col(text_col).cast("string").alias("text")).where("text is not null").distinct().withColumn("item", F.xxhash64("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-2 * chars // most)) if chars > most else 1
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text")
-        yield Block([(r.item_id, r.text) for r in part.collect()])
+        part = rows.where(F.pmod("item", F.lit(n)) == k).orderBy("item", "text")
+        yield Block([(r["item"], r["text"]) for r in part.collect()])
 
 
-def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(document, item) pairs whose coverage reaches the threshold."""
+def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(document, item) pairs whose coverage reaches the threshold; items of one text are looked for once."""
     out = None
     for block in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -180,9 +181,10 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
 
             return work
 
-        found = per_text(docs, id_col, text_col, PAIRS, make)
+        found = per_text(docs, id_col, text_col, FOUND, make)
         out = found if out is None else out.union(found)
-    return out
+    items = benchmark.select(F.xxhash64(F.col(text_col).cast("string")).alias("item"), F.col(item_col).cast("long").alias("item_id")).where(F.col(text_col).isNotNull())
+    return out.join(items, "item").select(*[c.split()[0] for c in PAIRS.split(", ")])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text_col: str = "text") -> DataFrame:

@@ -9,7 +9,9 @@ part cut from the shortest piece there is. So every window is full but the last
 of a task, which is padded to the largest size. Full windows have a power of
 two of ids and need no padding. Sequences are dealt, largest first, into step
 groups of ``step_ids`` ids; what doesn't fill a group waits for the task's next
-sequences. So all step groups have the same size but the last one of each task.
+sequences. What is left of all tasks, less than a group of each, is dealt out
+together: windows are powers of two, so in falling order a running sum of ids cuts
+them into whole groups. All step groups have the same size but the last one of all.
 
 Null texts are empty (the end id alone). Rows with null or repeated doc_ids are
 packed as documents of their own, other columns are left out, and an empty
@@ -28,13 +30,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.common import stored
 from gristmill.llm.encoding import Encoder
+from gristmill.llm.scans import running
 
 WINDOWS = (256, 512, 1024, 2048)
 END_ID = 1
 STEP_IDS = 32_768
 #: Ids that a task holds before it packs them.
 BUFFER_IDS = 2_000_000
+#: Where the numbers of step groups over several tasks begin.
+LEFT = 1 << 62
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,"
     " window int, step_group long"
@@ -78,8 +84,8 @@ class Packer:
                 return gap, row, start
         return None
 
-    def flush(self, last: bool) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
-        """(window, step, pieces) of the full sequences that fill step groups; with ``last`` of all that there are."""
+    def flush(self, last: bool) -> Iterator[tuple[int, int | None, list[tuple[int, int, int]]]]:
+        """(window, step, pieces) of the full sequences that fill step groups; with ``last`` of all there are, those beyond with step None."""
         for tier in self.tiers:
             tier.sort()
         short: list[tuple[int, int, int]] = []
@@ -95,17 +101,20 @@ class Packer:
                     short += pieces
                 else:
                     self.sequences.append((window, pieces))
-        self.sequences.sort(key=lambda s: -s[0])
         if short and not last:
             for row, start, length in short:
                 self.tiers[self._tier(length)].append((length, row, start))
         elif short:
             self.sequences += [(self.windows[-1], p) for p in _filled(short, self.windows[-1])]
+        # largest first, so that no sequence reaches over the end of a group
+        self.sequences.sort(key=lambda s: -s[0])
         groups, used = sum(w for w, _ in self.sequences) // self.step_ids, 0
         waiting = []
         for window, pieces in self.sequences:
-            if last or used // self.step_ids < groups:
+            if used // self.step_ids < groups:
                 yield window, used // self.step_ids, pieces
+            elif last:
+                yield window, None, pieces
             else:
                 waiting.append((window, pieces))
             used += window
@@ -148,10 +157,11 @@ def pack_documents(
             nonlocal sequence, step
             rows, top = [], step - 1
             for window, group, pieces in packer.flush(last):
-                offset, top = 0, step + group
+                offset, own = 0, None if group is None else step + group
+                top = top if own is None else own
                 for row, start, length in pieces:
                     doc_id, ids = held[row]
-                    rows.append((doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, offset, window, top))
+                    rows.append((doc_id, start, length, zlib.crc32(memoryview(ids)[4 * start : 4 * (start + length)]), len(ids) // 4, sequence, offset, window, own))
                     offset += length
                 sequence += 1
             step = top + 1
@@ -174,4 +184,9 @@ def pack_documents(
         yield out(True)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    packed = stored(rows.mapInArrow(run, SCHEMA), "packed-pieces")
+    # a task leaves less than a group, so these are few rows a task
+    left = packed.where("step_group is null").groupBy("sequence_id").agg(F.first("window").cast("long").alias("ids")).withColumn("all", F.lit(0))
+    placed = running(left, "all", [F.col("ids").desc(), F.col("sequence_id")], sums=["ids"], name="packed-left")
+    groups = placed.select("sequence_id", (F.floor((F.col("running_ids") - F.col("ids")) / step_ids) + LEFT).cast("long").alias("own"))
+    return packed.join(groups, "sequence_id", "left").select(*names[:-1], F.coalesce("step_group", "own").alias("step_group"))

@@ -62,6 +62,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """Encode ``docs`` and write the ids to ``files`` ORC files (as many as shuffle partitions, if None) under ``path``."""
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = _bounds(docs, id_col, files)
+    # the type alone goes to the tasks that write, which need no tokenizer
+    kind = Encoder.of(tokenizer).id_type
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer)
@@ -69,11 +71,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             ids, keys, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
             shard = shards(bounds, ids.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), keys.to_numpy(zero_copy_only=False))
             for a, b in slices(texts, 500_000):
-                packed = [np.append(np.frombuffer(encoder.ids(t or ""), "<u4"), end_id).astype(encoder.id_type).tobytes() for t in texts[a:b]]
+                packed = [np.append(np.frombuffer(encoder.ids(t or ""), "<u4"), end_id).astype(kind).tobytes() for t in texts[a:b]]
                 yield pa.RecordBatch.from_arrays([pa.array(shard[a:b]), ids.slice(a, b - a), keys.slice(a, b - a), pa.array(packed, pa.binary())], ["shard", "doc_id", "key", "packed"])
 
     def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, start = Encoder.of(tokenizer).id_type, 0
+        start = 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 shard, doc_id, packed = batch.slice(at, ROWS).columns
@@ -84,6 +86,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 start += int(bounds[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.col(text_col).cast("string").alias("text"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:
+        # a scan of a few splits would leave the others idle while it encodes
+        rows = rows.repartition(cores)
     (
         rows.mapInArrow(encode, ENCODED)
         .repartitionById(files, "shard")

@@ -119,6 +119,13 @@ def test_tables_align_by_a_cursor_that_moves_on(spark):
     assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
 
 
+def test_tables_align_without_a_shuffle_of_words(spark):
+    d = spark.createDataFrame([(1, "Line 1\tpart 7\tflag A\t12", "X. LINE 1  12, Part 7 flag a. y")], "doc int, a string, b string")
+    found = alignment.aligned(d, ["doc"], "a", "b")
+    assert [(r.line, r.start, r.end, r.found) for r in found.collect()] == [(0, 3, 28, "LINE 1  12, Part 7 flag a")]
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+
+
 def test_machines_go_through_chunks(spark, monkeypatch):
     r = random.Random(1)
     rows = [(k, i, [r.randrange(5) for _ in range(5)]) for k, n in (("a", 40), ("b", 1), (None, 17)) for i in range(n)]

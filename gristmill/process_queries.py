@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import json, projection, sections, text, wording
+from gristmill.functions.once import once
 from gristmill.operators import decisions, excerpting, folds, json_trees, keyed, matching, ranking, stages
-from gristmill.sources.tables import decoded_address, table
+from gristmill.sources.tables import decoded_address, masked, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -346,7 +347,9 @@ def order_quarters(spark, sf_dir):
 @query("SELECT c_custkey, lower(replace(c_name, '#', '.')) || '@site.org' AS address FROM customer")
 def customer_addresses(spark, sf_dir):
     address = F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@site.org"))
-    hidden = F.concat(F.lit("5a"), F.array_join(F.transform(F.filter(F.split(address, ""), lambda c: c != ""), lambda c: F.lower(F.lpad(F.hex(F.ascii(c).bitwiseXOR(0x5A)), 2, "0"))), ""))
+    # a byte a character, as far as Latin-1 goes
+    plain = once(address, lambda a: F.hex(F.encode(F.when(a.rlike(r"^[\x00-\xff]*$"), a), "ISO-8859-1")))
+    hidden = F.concat(F.lit("5a"), F.lower(masked(plain, F.lit("5a"))))
     return table(spark, sf_dir, "customer").select("c_custkey", decoded_address(hidden).alias("address"))
 
 

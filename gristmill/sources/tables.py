@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions.once import once
 from gristmill.operators.keyed import first_per_key
 
 
@@ -60,7 +61,23 @@ def read_json_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def decoded_address(encoded):
-    """An address hidden as hexadecimal bytes, the first of which masks the others."""
-    byte = lambda i: F.conv(F.substring(encoded, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    places = F.sequence(F.lit(1), (F.length(encoded) / 2).cast("int") - 1)
-    return F.when(F.length(encoded) >= 4, F.array_join(F.transform(places, lambda i: F.char(byte(i).bitwiseXOR(byte(F.lit(0))))), ""))
+    """An address hidden as hexadecimal bytes, the first of which masks the others; null where that is too short or not hexadecimal."""
+
+    def shown(x):
+        size = F.floor(F.length(x) / 2).cast("int") - 1
+        plain = F.decode(F.unhex(masked(F.substr(x, F.lit(3), size * 2), F.substring(x, 1, 2))), "ISO-8859-1")
+        return F.when((F.length(x) >= 4) & x.rlike("^[0-9A-Fa-f]+$"), plain)
+
+    return once(encoded, shown)
+
+
+def masked(digits, mask):
+    """Hexadecimal ``digits`` of whole bytes, each byte masked with ``mask`` (two digits); seven bytes are a number at once."""
+    number = lambda x: F.conv(x, 16, 10).cast("long")
+
+    def told(x):
+        n = F.ceil(F.length(x["digits"]) / 14).cast("int")
+        parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.lpad(F.hex(number(F.rpad(F.substr(x["digits"], i * 14 - 13, F.lit(14)), 14, "0")).bitwiseXOR(x["mask"])), 14, "0"))
+        return F.when(n > 0, F.substr(F.array_join(parts, ""), F.lit(1), F.length(x["digits"]))).when(n == 0, "")
+
+    return once(F.struct(digits.alias("digits"), number(F.repeat(mask, 7)).alias("mask")), told)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,15 +79,13 @@ def _part_ends(text: str, limit: int) -> Iterator[int]:
 def message_parts(docs: DataFrame, key: str, text: str, limit: int = 4096) -> DataFrame:
     """Texts cut at spaces into parts of at most ``limit`` (2 or more) UTF-16 units; joined, the parts give the text."""
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, t in zip(frame[key], frame[text], strict=True):
-                ends = list(_part_ends(t or "", limit))
-                rows += [(k, n, (t or "")[a:b]) for n, (a, b) in enumerate(zip([0, *ends], ends, strict=False))]
-            yield pd.DataFrame(rows, columns=[key, "part", "body"])
+    def parts(t: str) -> Iterator[str]:
+        at = 0
+        for end in _part_ends(t, limit):
+            yield t[at:end]
+            at = end
 
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInPandas(run, f"{key} long, part int, body string")
+    return _in_parts(docs, key, text, parts)
 
 
 def facts(docs: DataFrame, keys: Sequence[str], text: str, patterns: Mapping[str, str]) -> DataFrame:
@@ -96,37 +94,92 @@ def facts(docs: DataFrame, keys: Sequence[str], text: str, patterns: Mapping[str
     return docs.select(*keys, F.explode(found).alias("f")).select(*keys, "f.kind", F.explode("f.values").alias("value"))
 
 
+def _units(s: str) -> int:
+    """UTF-16 units."""
+    return len(s) if s.isascii() else len(s.encode("utf-16-le", "surrogatepass")) // 2
+
+
+_RUN, _PIECE, _TAG = re.compile(r"<[^>]*>|&#?\w+;|[^<&]+|[<&]"), re.compile(r"\s+|\S+"), re.compile(r"<(/?)([A-Za-z][\w-]*)")
+
+
 def _markup_parts(html: str, limit: int) -> Iterator[str]:
     """Parts of at most ``limit`` UTF-16 units; tags open at a cut are closed there and opened again."""
-    units = lambda s: len(s.encode("utf-16-le", "surrogatepass")) // 2
     opened: list[tuple[str, str]] = []
-    part, fresh = "", True
+    # the part in pieces, its units, and those of the tags that would close it
+    part, size, closing, fresh = [], 0, 0, True
     close = lambda: "".join(f"</{n}>" for n, _ in reversed(opened))
-    for piece in re.findall(r"<[^>]*>|&#?\w+;|\s+|[^\s<&]+|[<&]", html):
-        tag = re.match(r"<(/?)([A-Za-z][\w-]*)", piece)
+
+
+    def pieces() -> Iterator[str]:
+        """Tags, entities, words and blanks; what fits of a run of words is one piece."""
+        for match in _RUN.finditer(html):
+            run, at = match[0], 0
+            if run[0] in "<&":
+                yield run
+                continue
+            while at < len(run):
+                fits = limit - size - closing
+                if len(run) - at <= fits and _units(run[at:]) <= fits:
+                    yield run[at:]
+                    break
+                k = at + fits if fits > 0 and run[at : at + fits].isascii() else at
+                while k > at and run[k - 1].isspace() == run[k].isspace():
+                    k -= 1
+                k = k if k > at else _PIECE.match(run, at).end()
+                yield run[at:k]
+                at = k
+
+    for piece in pieces():
+        tag = _TAG.match(piece) if piece[0] == "<" else None
         # one long word may have to be cut; tags and entities never are
-        for bit in [piece] if tag or piece[0] == "&" else [piece[i : i + limit // 4] for i in range(0, len(piece), limit // 4)]:
-            room = units(f"</{tag[2]}>") if tag and not tag[1] else 0
-            if not fresh and not (tag and tag[1]) and units(part) + units(bit) + units(close()) + room > limit:
-                yield part + close()
-                part, fresh = "".join(t for _, t in opened), True
-            part += bit
+        for bit in [piece] if tag or piece[0] == "&" or size + len(piece) + closing <= limit and size + _units(piece) + closing <= limit else [piece[i : i + limit // 4] for i in range(0, len(piece), limit // 4)]:
+            room = _units(f"</{tag[2]}>") if tag and not tag[1] else 0
+            own = _units(bit)
+            if not fresh and not (tag and tag[1]) and size + own + closing + room > limit:
+                yield "".join(part) + close()
+                part, fresh = [t for _, t in opened], True
+                size = sum(map(_units, part))
+            part.append(bit)
+            size += own
             fresh = fresh and bool(tag)
         if tag and tag[1]:
             if opened and opened[-1][0] == tag[2].lower():
-                opened.pop()
+                closing -= _units(f"</{opened.pop()[0]}>")
         elif tag and not piece.endswith("/>"):
             opened.append((tag[2].lower(), piece))
-    if not fresh or not part == "".join(t for _, t in opened):
-        yield part + close()
+            closing += _units(f"</{opened[-1][0]}>")
+    if not fresh or "".join(part) != "".join(t for _, t in opened):
+        yield "".join(part) + close()
 
 
-def markup_parts(docs: DataFrame, key: str, html: str, limit: int = 4096) -> DataFrame:
-    """Simple message markup (paired tags) cut into parts that each stand alone; empty texts have no part."""
+#: Characters of text that a task turns into parts at once.
+MOST_HELD = 4_000_000
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, n, p) for k, t in zip(frame[key], frame[html], strict=True) for n, p in enumerate(_markup_parts(t or "", limit))]
-            yield pd.DataFrame(rows, columns=[key, "part", "body"])
 
-    return docs.select(F.col(key).cast("long").alias(key), html).mapInPandas(run, f"{key} long, part int, body string")
+def _in_parts(docs: DataFrame, key: str, text: str, parts: Callable[[str], Iterable[str]]) -> DataFrame:
+    """key, part, body: what ``parts`` makes of each text, in batches of about ``MOST_HELD`` characters."""
+    names = [key, "part", "body"]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string()), strict=True)], names)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            for k, t in zip(*batch.columns, strict=True):
+                k = k.as_py()
+                for n, body in enumerate(parts(t.as_py() or "")):
+                    rows.append((k, n, body))
+                    held += len(body)
+                    if held >= MOST_HELD:
+                        yield made(rows)
+                        rows, held = [], 0
+        if rows:
+            yield made(rows)
+
+    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, part int, body string")
+
+
+def markup_parts(docs: DataFrame, key: str, html: str, limit: int = 4096) -> DataFrame:
+    """Simple message markup (paired tags) cut into parts that each stand alone; empty texts have no part."""
+    return _in_parts(docs, key, html, lambda t: _markup_parts(t, limit))

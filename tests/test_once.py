@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from gristmill.operators import pages
 from gristmill.sources.tables import decoded_address
 
 
@@ -9,3 +10,17 @@ def test_hidden_addresses_work_their_text_out_once(spark):
     want = ["a@b", "a", None, None, None, "a", "Z\0é", None]
     d = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
     assert [r.a for r in d.select("i", decoded_address(F.col("x")).alias("a")).orderBy("i").collect()] == want
+
+
+def test_markup_is_measured_by_runs_and_not_by_words(monkeypatch):
+    calls, measure = [], pages._units
+    monkeypatch.setattr(pages, "_units", lambda s: calls.append(len(s)) or measure(s))
+    html = "".join(f"<b>{'some words here ' * 50}</b>\n" for _ in range(100))
+    assert "".join(pages._markup_parts(html, 4096)).replace("</b><b>", "").count("words") == 5000
+    assert len(calls) < 2000 and sum(calls) < 3 * len(html)
+
+
+def test_parts_of_a_text_beyond_one_batch_join(spark):
+    d = spark.createDataFrame([(1, "word " * 1_000_000), (2, None), (3, "a b")], "doc_id long, text string").coalesce(1)
+    rows = pages.message_parts(d, "doc_id", "text").collect()
+    assert "".join(r.body for r in rows if r.doc_id == 1) == "word " * 1_000_000 and [(r.part, r.body) for r in rows if r.doc_id > 1] == [(0, ""), (0, "a b")]

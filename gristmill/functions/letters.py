@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gristmill.functions.once import once
+
 
 def _first(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
@@ -20,11 +22,15 @@ def day(text: Column, months: Mapping[str, int]) -> Column:
     """A day written as '3 May 2024' or '03.05.2024'; null where that is no day."""
     names = F.create_map(*[x for name, n in months.items() for x in (F.lit(name.lower()), F.lit(n))])
     written, numeric = r"(\d{1,2})\s+(\p{L}+)\s+(\d{4})", r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
-    part = lambda p, g: F.regexp_extract(text, p, g)
-    month = F.coalesce(F.try_element_at(names, F.lower(part(written, 2))).cast("string"), F.nullif(part(numeric, 2), F.lit("")))
-    number = lambda g: F.when(text.rlike(written), part(written, g)).otherwise(part(numeric, g))
-    told = F.concat(F.lpad(number(3), 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(number(1), 2, "0"))
-    return F.when(text.rlike(written) | text.rlike(numeric), told.try_cast("date"))
+
+    def told(t: Column) -> Column:
+        part = lambda p, g: F.regexp_extract(t, p, g)
+        month = F.coalesce(F.try_element_at(names, F.lower(part(written, 2))).cast("string"), F.nullif(part(numeric, 2), F.lit("")))
+        number = lambda g: F.when(t.rlike(written), part(written, g)).otherwise(part(numeric, g))
+        whole = F.concat(F.lpad(number(3), 4, "0"), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), F.lpad(number(1), 2, "0"))
+        return F.when(t.rlike(written) | t.rlike(numeric), whole.try_cast("date"))
+
+    return once(text, told)
 
 
 def sender_number(text: Column, pattern: str, within: int) -> Column:
@@ -42,10 +48,10 @@ def signatories(text: Column, signature: str, ends: Sequence[str], within: int)
 
 def consultation(text: Column, months: Mapping[str, int], dated: str, days: str, until: str, address: str) -> Column:
     """Struct (written, days, until, address): each pattern's first group, read as a day, a count, a day and a text."""
-    t = flat(text)
-    return F.struct(
+    told = lambda t: F.struct(
         day(_first(t, dated), months).alias("written"), _first(t, days).try_cast("int").alias("days"), day(_first(t, until), months).alias("until"), _first(t, address).alias("address")
     )
+    return once(flat(text), told)
 
 
 def deadline(told: Column, published: Column, most_days: int) -> Column:

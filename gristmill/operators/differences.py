@@ -16,11 +16,11 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.operators.folds import ended
 from gristmill.operators.graphs import kept
 
 WORD = r"[\p{L}\p{N}]+"
@@ -77,10 +77,16 @@ def common_words(a: list[str], b: list[str]) -> int:
     return start + end + len(a) - row.bit_count()
 
 
-def _chosen(frame: pd.DataFrame) -> pd.DataFrame:
-    runs = list(frame.sort_values("i")[["i", "j", "n"]].itertuples(index=False, name=None))
-    chain = heaviest_chain(runs)
-    return pd.DataFrame([(frame["pair"].iloc[0], g, *r) for g, r in enumerate(chain, 1)], columns=["pair", "gap", "i", "j", "n"])
+def _chains(runs: DataFrame) -> DataFrame:
+    """pair, gap, i, j, n: the heaviest chain of each pair's runs, numbered from 1."""
+    dealt = runs.repartition("pair").sortWithinPartitions("pair", "i").select("pair", F.struct("i", "j", "n").alias("x"))
+
+    def step(held: list, x: dict) -> list:
+        held.append((x["i"], x["j"], x["n"]))
+        return held
+
+    told = ended(dealt, 1, list, step, lambda held: [{"gap": g, "i": i, "j": j, "n": n} for g, (i, j, n) in enumerate(heaviest_chain(held), 1)], "chain", "array<struct<gap:bigint,i:bigint,j:bigint,n:bigint>>")
+    return told.select("pair", F.inline("chain"))
 
 
 def gaps(pairs: DataFrame, keys: Sequence[str], old: str, new: str) -> DataFrame:
@@ -100,7 +106,7 @@ def gaps(pairs: DataFrame, keys: Sequence[str], old: str, new: str) -> DataFrame
     marked = anchors.select("pair", "i", "j", F.when(on, 0).otherwise(1).alias("first"))
     numbered = marked.select("pair", "i", "j", F.sum("first").over(order).alias("run"))
     runs = numbered.groupBy("pair", "run").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").alias("n"))
-    chain = kept(runs.groupBy("pair").applyInPandas(_chosen, "pair string, gap long, i long, j long, n long"))
+    chain = kept(_chains(runs))
     starts = chain.select("pair", F.lit(False).alias("new"), F.col("i").alias("at"), "gap", "n").union(chain.select("pair", F.lit(True), "j", "gap", "n"))
     rows = units.select("pair", "new", F.col("at").cast("long").alias("at"), "words", F.lit(None).cast("long").alias("gap"), F.lit(None).cast("long").alias("end"))
     marks = starts.select("pair", "new", "at", F.lit(None).cast("array<string>").alias("words"), "gap", (F.col("at") + F.col("n")).alias("end"))

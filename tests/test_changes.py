@@ -119,6 +119,16 @@ def test_tables_align_by_a_cursor_that_moves_on(spark):
     assert {i: sorted(v) for i, v in got.items()} == {i: v for i, v in want.items() if v}
 
 
+def test_chains_of_many_pairs_are_folded_as_rows(spark):
+    r = random.Random(4)
+    runs = {f"p{k}": [(i, j, r.randint(1, 3)) for i, j in zip(range(8), r.sample(range(8), 8), strict=True)][: k % 9] for k in range(60)}
+    d = spark.createDataFrame([(p, *x) for p, xs in runs.items() for x in xs], "pair string, i int, j int, n long")
+    got = {}
+    for x in differences._chains(d).orderBy("pair", "gap").collect():
+        got.setdefault(x.pair, []).append((x.gap, x.i, x.j, x.n))
+    assert got == {p: [(g, *x) for g, x in enumerate(differences.heaviest_chain(xs), 1)] for p, xs in runs.items() if xs}
+
+
 def test_tables_align_without_a_shuffle_of_words(spark):
     d = spark.createDataFrame([(1, "Line 1\tpart 7\tflag A\t12", "X. LINE 1  12, Part 7 flag a. y")], "doc int, a string, b string")
     found = alignment.aligned(d, ["doc"], "a", "b")

@@ -106,3 +106,62 @@ def test_a_killed_batch_gives_each_message_once(spark, tmp_path):
     # the same batch once more, by hand
     outbox.put(spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], schema), 1, ["id", "body"], out)
     assert sent() == {(1, "a"): 1, (2, None): 1, (2, "b"): 1, (3, "c"): 1}
+
+
+def test_a_batch_of_a_key_has_one_timer_and_few_calls():
+    class Held:
+        def __init__(self):
+            self.items = []
+
+        def get(self):
+            calls.append("get")
+            return iter(self.items) if self.many else self.items[0]
+
+        def exists(self):
+            calls.append("exists")
+            return bool(self.items)
+
+        def appendValue(self, x):
+            calls.append("append")
+            self.items.append(x)
+
+        def update(self, x):
+            calls.append("update")
+            self.items = [x]
+
+        def clear(self):
+            calls.append("clear")
+            self.items = []
+
+    class Handle:
+        def state(self, many):
+            held = Held()
+            held.many = many
+            return held
+
+        def getValueState(self, *_):
+            return self.state(False)
+
+        def getListState(self, *_):
+            return self.state(True)
+
+        def registerTimer(self, at):
+            timers.append(at)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    calls, timers = [], []
+    job = changes._Changes(10)
+    job.init(Handle())
+    rows = [(None, None, 1000 * i, "ab"[i // 3 % 2]) for i in range(1, 25_000)]
+    assert list(job.handleInputRows(("k",), iter(rows + rows), Now(0))) == [] and timers == [1000] and len(calls) == 3
+    told = [r.millis for r in job.handleExpiredTimer(("k",), Now(9_500), None)]
+    # what still waits has a timer again
+    assert told == [3000, 6000, 9000] and 10_000 in timers and len(timers) == 3
+    told = [r.millis for r in job.handleExpiredTimer(("k",), Now(10**9), None)]
+    assert told == [1000 * i for i in range(12, 25_000, 3)] and len(calls) < 20

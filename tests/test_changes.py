@@ -235,3 +235,16 @@ def test_numbers_along_a_hot_key(spark):
 @pytest.mark.parametrize("entity,char", [("&#8220;", "“"), ("&#x1F600;", "😀"), ("&sect;", "§"), ("&#xD800;", "�")])
 def test_entities(spark, entity, char):
     assert spark.createDataFrame([(f"a{entity}b",)], "t string").select(markup.plain(F.col("t"))).first()[0] == f"a{char}b"
+
+
+def test_cells_need_no_shuffle_and_follow_the_page(spark):
+    lines = "".join(f"<tr><td><a name=x><a href=/{i}>{i}</a><td><table><tr><td>in {i}</table>" for i in range(30_000))
+    d = spark.createDataFrame([(1, f"<table>{lines}</table>"), (2, None), (3, "<table><tr><td>é<th>𠀋</table>")], "owner int, html string")
+    c = markup.cells(d, ["owner"], "html")
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort", "Window"))
+    got = c.collect()
+    outer = [(r.row, r.cell, r.text, r.href) for r in got if r.owner == 1 and r.parent is None]
+    assert outer[:2] == [(1, 1, "0", "/0"), (1, 2, "", None)] and len(outer) == 60_000
+    assert sum(r.owner == 1 and r.parent == 0 for r in got) == 0 and sum(r.owner == 1 and r.parent is not None for r in got) == 30_000
+    assert [(r.row, r.cell, r.start, r.text) for r in got if r.owner == 3] == [(1, 1, 11, "é"), (1, 2, 16, "𠀋")]

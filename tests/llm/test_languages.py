@@ -123,3 +123,33 @@ def test_held_out_rows_teach_nothing_and_odd_rows_have_results(spark):
     assert languages.language_ids(odd.limit(0), fitted).count() == 0
     nothing = languages.language_ids(odd, languages.fit_languages(odd.where("false")), reject=False).collect()
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
+
+
+def test_grams_beyond_the_limit_are_joined(spark):
+    r = random.Random(3)
+    rows = [(x, " ".join("".join(r.choice(a) for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 40)))) for x, a in (("en", "abcde E,"), ("fr", "aéèbç.d"), ("zh", "漢字abc")) for _ in range(20)]
+    plain, size = brute_models(rows)
+    texts = [*[t for _, t in rows], "zebra!", "", None, "É  é--漢字 xyz", "a" * 50, "xyz " * 9, "3 4"]
+    d = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    asked = spark.createDataFrame([(None if i == 4 else i // 2, i, t) for i, t in enumerate(texts)], "doc_id long, i int, text string")
+    for cells in (0, 30, 1000):
+        models = languages.fit_models(d, cells)
+        assert models.tables and models.symbols == size and len(models.known) == cells // 3
+        got = languages.text_bits(asked.repartition(2).select("doc_id", "i", "text"), models).collect()
+        assert sorted(x.i for x in got) == list(range(len(texts)))
+        for x in got:
+            assert x.doc_id == (None if x.i == 4 else x.i // 2) and x.n == len(symbols(texts[x.i])) - 3 and x.letter == any(c.isalpha() for c in texts[x.i] or "")
+            for lang, bits in zip(models.langs, x.bits):
+                assert bits == pytest.approx(brute_entropy(plain[lang], size, texts[x.i]), rel=1e-4, abs=1e-6)
+
+
+def test_the_limit_changes_no_result(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 3 = 0")
+    whole = {r.doc_id: r for r in languages.language_ids(docs).collect()}
+    fitted = languages.fit_languages(docs, most_cells=400)
+    assert fitted.models.tables
+    got = languages.language_ids(docs, fitted).collect()
+    assert len(got) == len(whole)
+    for r in got:
+        w = whole[r.doc_id]
+        assert (r.lang_pred, r.rejected) == (w.lang_pred, w.rejected) and r.score == pytest.approx(w.score, rel=1e-5)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import dates, json, letters, text, wording
-from gristmill.operators import alignment, decisions, differences, figures, inspection, json_trees, keyed, machines, markup, merging, pages, records, selection, sittings, splits, stages, versions
+from gristmill.operators import alignment, decisions, differences, figures, inspection, json_trees, keyed, machines, markup, merging, pages, records, selection, sittings, splits, versions
 from gristmill.operators.graphs import shared_folder
 from gristmill.sources import paged
 from gristmill.sources.tables import table
@@ -43,7 +43,9 @@ def _processes(spark, sf_dir):
     i = F.col("event_id")
     whole = F.concat(F.lit('{"number":"'), i.cast("string"), F.lit('","stages":['), nested, F.lit(',{"stageName":"last","sittingNum":"x"}]}'))
     text = F.when(i % 11 == 0, '{"stages":[').when(i % 13 == 0, "").when(i % 17 == 0, F.lit(None)).when(i % 19 == 0, '{"stages":{"a":1}}').otherwise(whole)
-    return table(spark, sf_dir, "events").select("event_id", text.alias("process"))
+    # a text is many times its row, so the rows are dealt out before, evenly and to as many tasks as the session sets
+    dealt = table(spark, sf_dir, "events").select("event_id", "event_type").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    return dealt.select("event_id", text.alias("process"))
 
 
 @query(
@@ -54,8 +56,7 @@ def _processes(spark, sf_dir):
 )
 def json_stages(spark, sf_dir):
     fields = {"name": ("$.stageName", "string"), "sitting": ("$.sittingNum", "int")}
-    rows = json_trees.tree_rows(_processes(spark, sf_dir), ["event_id"], "process", "$.stages", "$.children", fields)
-    return stages.in_order(rows, ["event_id"]).select("event_id", "place", "depth", "name", "sitting")
+    return json_trees.tree_places(_processes(spark, sf_dir), ["event_id"], "process", "$.stages", "$.children", fields)
 
 
 @query(

@@ -28,6 +28,46 @@ def test_trees_of_any_depth(spark):
     assert len(got) == 82
 
 
+def test_trees_are_walked_once_and_in_order(spark, monkeypatch):
+    def no_pass(*_):
+        raise AssertionError("a pass for a level")
+
+    monkeypatch.setattr(json_trees, "kept", no_pass)
+    monkeypatch.setattr(json_trees, "TOGETHER", 7)
+    r, made = random.Random(3), []
+
+    def tree(depth):
+        return {"n": {"v": r.choice([None, "é", 5, "7", 1.5, True, 12345678901, [1]])}, "c": [tree(depth - 1) for _ in range(r.randint(0, 3))] if depth else r.choice([None, {}, 4])}
+
+    def walk(k, nodes, path):
+        for i, x in enumerate(nodes):
+            made.append((k, [*path, i], x["n"]["v"]))
+            walk(k, x["c"] if isinstance(x["c"], list) else [], [*path, i])
+
+    trees = [[tree(4) for _ in range(r.randint(0, 3))] for _ in range(30)]
+    for k, t in enumerate(trees):
+        walk(k, t, [])
+    d = spark.createDataFrame([(k, str(k), json.dumps([0, {"a": t}])) for k, t in enumerate(trees)], "k int, k2 string, t string")
+    fields = {"s": ("$.n.v", "string"), "i": ("$.n['v']", "int"), "l": ("$.n.v", "array<int>")}
+    whole = {5: 5, "7": 7, 1.5: 1, True: 1}
+    said = lambda v: v if v is None or isinstance(v, str) else json.dumps(v)
+    want = [(k, str(k), path, said(v), None if isinstance(v, list) else whole.get(v), v if isinstance(v, list) else None) for k, path, v in made]
+    assert sorted(map(tuple, json_trees.tree_rows(d, ["k", "k2"], "t", "$[1].a", "$.c", fields).collect())) == want
+    got = sorted(map(tuple, json_trees.tree_places(d, ["k"], "t", "$[1].a", "$.c", fields).collect()), key=lambda x: x[:2])
+    first = {k: n for n, (k, *_) in reversed(list(enumerate(want)))}
+    assert got == [(w[0], n - first[w[0]], len(w[2]) - 1, *w[3:]) for n, w in enumerate(want)]
+
+
+def test_odd_texts_of_trees(spark):
+    inside = lambda x: '{"s":[' + x + "]}"
+    texts = [inside('{"n":"one","n":"two"}'), inside('{"n":"\\ud800x"}'), inside('{"n":NaN}'), inside('{"n":1},'), inside('{"n":"a\tb"}'), inside('{"n":1.0},null,[2],"x"'), inside("[" * 1200 + "]" * 1200), '{"s":null}']
+    d = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = sorted(map(tuple, json_trees.tree_places(d, ["k"], "t", "$.s", "$.c", {"n": ("$.n", "string")}).collect()))
+    assert got == [(0, 0, 0, "one"), (1, 0, 0, "?x"), (5, 0, 0, "1.0"), (5, 1, 0, None), (5, 2, 0, None), (5, 3, 0, None), (6, 0, 0, None)]
+    with pytest.raises(ValueError, match="not a path"):
+        json_trees.tree_rows(d, ["k"], "t", "s", "$.c", {})
+
+
 def test_named_values_at_any_depth(spark):
     texts = ['{"a":1,"b":[{"a":"x"},[{"a":{"a":null}}]]}', "", "no", None, '{"it\'s":2,"A":3}', '{"a":[1,{"a":2}]}']
     d = spark.createDataFrame(list(enumerate(texts)), "k int, t string")

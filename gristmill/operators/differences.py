@@ -1,14 +1,15 @@
 """Where two texts differ: sentences first, words only between what both share.
 
-A sentence that stands once in either text is an anchor. Runs of anchors that are
-neighbours in both texts are told by window functions, and the heaviest chain of
-runs that keeps the order of both (one small fold over a pair's runs) splits the
-pair into gaps. Words are compared within a gap only, by the length of their
-longest common subsequence, so memory follows a gap and not a text. Words are
-letters and digits in lower case: spacing, case and punctuation are no changes.
-
-Null texts are empty. ``keys`` have to tell pairs apart; repeated keys are an error
-of the caller and give sums. A pair without words in either text has no changes.
+A sentence that stands once in either text is an anchor. Anchors that are neighbours
+in both texts are runs, and the heaviest chain of runs that keeps the order of both
+splits the pair into gaps. Words are compared within a gap only, by the length of
+their longest common subsequence. Words are letters and digits in lower case: spacing,
+case and punctuation are no changes.
+
+Spark tells the words of each text; a pair's two texts are one row and are compared
+where they lie, so nothing of them is shuffled or stored, and memory follows a pair.
+
+Null texts are empty. A pair without words in either text has no changes.
 """
 
 from __future__ import annotations
@@ -19,18 +20,21 @@ from collections.abc import Iterable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gristmill.operators.folds import ended
-from gristmill.operators.graphs import kept
+from gristmill.operators.names import free
+from gristmill.operators.places import stretches
 
 WORD = r"[\p{L}\p{N}]+"
 SENTENCE_END = r"(?<=[.;:!?])\s+"
+FIGURES = ("words", "hunks", "removed", "added", "changed")
 
 
-def _sentences(text: Column) -> Column:
-    """The sentences of a text that have words, each as its words."""
-    told = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)))
-    return F.filter(told, lambda w: F.size(w) > 0)
+def _lines(text: Column) -> Column:
+    """The sentences of a text that have words, a line each: its words with a space between."""
+    told = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.array_join(F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)), " "))
+    return F.array_join(F.filter(told, lambda s: s != ""), "\n")
 
 
 def heaviest_chain(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -78,7 +82,7 @@ def common_words(a: list[str], b: list[str]) -> int:
 
 
 def _chains(runs: DataFrame) -> DataFrame:
-    """pair, gap, i, j, n: the heaviest chain of each pair's runs, numbered from 1."""
+    """pair, gap, i, j, n: the heaviest chain of each pair's runs where they lie as rows, numbered from 1."""
     dealt = runs.repartition("pair").sortWithinPartitions("pair", "i").select("pair", F.struct("i", "j", "n").alias("x"))
 
     def step(held: list, x: dict) -> list:
@@ -89,49 +93,57 @@ def _chains(runs: DataFrame) -> DataFrame:
     return told.select("pair", F.inline("chain"))
 
 
-def gaps(pairs: DataFrame, keys: Sequence[str], old: str, new: str) -> DataFrame:
-    """pair, gap, old_words, new_words: what differs between shared runs of sentences, in order; gap 0 is before the first run.
-
-    ``pair`` is a digest of the keys.
-    """
-    told = kept(pairs.select(pair_key(keys), _sentences(F.col(old)).alias("x"), _sentences(F.col(new)).alias("y")))
-    side = lambda c, is_new: told.select("pair", F.lit(is_new).alias("new"), F.posexplode(c).alias("at", "words"))
-    units = side("x", False).union(side("y", True)).withColumn("own", F.xxhash64("words"))
-    here = lambda c, value: F.when(F.col("new") == c, value)
-    anchors = units.groupBy("pair", "own").agg(
-        F.count(here(False, 1)).alias("a"), F.count(here(True, 1)).alias("b"), F.min(here(False, F.col("at"))).alias("i"), F.min(here(True, F.col("at"))).alias("j")
-    ).where("a = 1 and b = 1")
-    order = Window.partitionBy("pair").orderBy("i")
-    on = (F.col("i") == F.lag("i").over(order) + 1) & (F.col("j") == F.lag("j").over(order) + 1)
-    marked = anchors.select("pair", "i", "j", F.when(on, 0).otherwise(1).alias("first"))
-    numbered = marked.select("pair", "i", "j", F.sum("first").over(order).alias("run"))
-    runs = numbered.groupBy("pair", "run").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").alias("n"))
-    chain = kept(_chains(runs))
-    starts = chain.select("pair", F.lit(False).alias("new"), F.col("i").alias("at"), "gap", "n").union(chain.select("pair", F.lit(True), "j", "gap", "n"))
-    rows = units.select("pair", "new", F.col("at").cast("long").alias("at"), "words", F.lit(None).cast("long").alias("gap"), F.lit(None).cast("long").alias("end"))
-    marks = starts.select("pair", "new", "at", F.lit(None).cast("array<string>").alias("words"), "gap", (F.col("at") + F.col("n")).alias("end"))
-    w = Window.partitionBy("pair", "new").orderBy("at", F.col("gap").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.union(marks).select("pair", "new", "at", "words", F.last("gap", ignorenulls=True).over(w).alias("gap"), F.last("end", ignorenulls=True).over(w).alias("end"))
-    between = filled.where("words is not null and (end is null or at >= end)").select("pair", F.coalesce("gap", F.lit(0)).alias("gap"), "new", "at", "words")
-    listed = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(here(c, F.struct("at", "words")))), lambda x: x["words"]))
-    return between.groupBy("pair", "gap").agg(listed(False).alias("old_words"), listed(True).alias("new_words"))
-
-
-def pair_key(keys: Sequence[str]) -> Column:
-    return F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256).alias("pair")
-
-
-def compared_words(found: DataFrame) -> DataFrame:
-    """pair, gap, removed, added: words of either side that aren't in the longest common subsequence of a gap."""
+def _single(lines: list[str]) -> dict[str, int]:
+    """Lines that stand once, with their places, in order."""
+    seen: dict[str, int] = {}
+    for i, line in enumerate(lines):
+        seen[line] = -1 if line in seen else i
+    return {line: i for line, i in seen.items() if i >= 0}
+
+
+def _gaps(a: list[str], b: list[str]) -> Iterator[tuple[list[str], list[str]]]:
+    """Lines of either side before, between and behind the shared runs."""
+    there, runs = _single(b), []
+    for line, i in _single(a).items():
+        j = there.get(line)
+        if j is None:
+            continue
+        if runs and (i, j) == (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]):
+            runs[-1] = (*runs[-1][:2], runs[-1][2] + 1)
+        else:
+            runs.append((i, j, 1))
+    x = y = 0
+    for i, j, n in [*heaviest_chain(runs), (len(a), len(b), 0)]:
+        yield a[x:i], b[y:j]
+        x, y = i + n, j + n
+
+
+def compared(old: str, new: str) -> tuple[int, int, int, int, int]:
+    """``FIGURES`` of two texts, told as lines of words."""
+    a, b = (t.split("\n") if t else [] for t in (old, new))
+    words = max(len(a) + old.count(" "), len(b) + new.count(" "))
+    hunks = removed = added = changed = 0
+    if old != new:
+        for gap in _gaps(a, b):
+            x, y = (" ".join(side).split(" ") if side else [] for side in gap)
+            same = common_words(x, y) if x and y else 0
+            less, more = len(x) - same, len(y) - same
+            hunks, removed, added, changed = hunks + (less + more > 0), removed + less, added + more, changed + max(less, more)
+    return words, hunks, removed, added, changed
+
+
+def _compared(told: DataFrame) -> DataFrame:
+    """``told`` with ``FIGURES`` in place of its last two columns, the lines of either text; null where these are null."""
+    schema = StructType([*told.schema.fields[:-2], *[StructField(f, LongType()) for f in FIGURES]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs, numbers, a, b = (c.to_pylist() for c in batch.columns)
-            same = [common_words(x, y) if x and y else 0 for x, y in zip(a, b, strict=True)]
-            removed, added = ([len(x) - n for x, n in zip(side, same, strict=True)] for side in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.string()), pa.array(numbers, pa.int64()), pa.array(removed, pa.int64()), pa.array(added, pa.int64())], names=["pair", "gap", "removed", "added"])
+            *own, old, new = batch.columns
+            out = [compared(x.as_py(), y.as_py()) if x.is_valid and y.is_valid else (None,) * len(FIGURES) for x, y in zip(old, new, strict=True)]
+            figures = list(zip(*out, strict=True)) if out else [()] * len(FIGURES)
+            yield pa.RecordBatch.from_arrays([*own, *[pa.array(f, pa.int64()) for f in figures]], schema.names)
 
-    return found.select("pair", "gap", "old_words", "new_words").mapInArrow(run, "pair string, gap long, removed long, added long")
+    return told.mapInArrow(run, schema)
 
 
 def differences(pairs: DataFrame, keys: Sequence[str], old: str, new: str) -> DataFrame:
@@ -140,12 +152,24 @@ def differences(pairs: DataFrame, keys: Sequence[str], old: str, new: str) -> Da
     ``words`` is the longer text's count. A hunk is a gap that isn't the same on both
     sides; it changes as many words as the larger of what it removes and adds.
     """
-    size = lambda c: F.aggregate(_sentences(F.col(c)), F.lit(0), lambda n, w: n + F.size(w))
-    base = pairs.select(*keys, pair_key(keys), F.greatest(size(old), size(new)).cast("long").alias("words"))
-    own = compared_words(gaps(pairs, keys, old, new)).where("removed + added > 0")
-    sums = own.groupBy("pair").agg(F.count("*").alias("hunks"), F.sum("removed").alias("removed"), F.sum("added").alias("added"), F.sum(F.greatest("removed", "added")).alias("changed"))
-    told = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("hunks", "removed", "added", "changed")]
-    return base.join(sums, "pair", "left").select(*keys, "words", *told)
+    return _compared(pairs.select(*keys, _lines(F.col(old)).alias("old"), _lines(F.col(new)).alias("new")))
+
+
+def successive(rows: DataFrame, group: str, order: str, text: str, name: str) -> DataFrame:
+    """order, ``name``, words, hunks, removed, added, changed: each text against the one before it in its group.
+
+    ``name`` is the ``order`` value (a whole number) of the text before; the first text
+    of a group has none and is left out, as are rows without ``order``. ``group`` is
+    not null. Texts are dealt once, by stretches of a group.
+    """
+    part, carried, many, old, new = (free(x, rows) for x in ("_stretch", "_carried", "_many", "_old", "_new"))
+    dealt = stretches(rows.where(F.col(order).isNotNull()).select(group, order, text), group, order, part, carried)
+    line = Window.partitionBy(group, part).orderBy(order)
+    # a text that is alone isn't taken apart
+    met = dealt.withColumn(many, F.count("*").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).where(F.col(many) > 1).select(group, part, carried, order, _lines(F.col(text)).alias(text))
+    before = lambda c: F.lag(c).over(line)
+    pairs = met.select(order, before(order).alias(name), carried, before(text).alias(old), F.col(text).alias(new))
+    return _compared(pairs.where(F.col(name).isNotNull() & ~F.col(carried)).select(order, name, old, new))
 
 
 def bands(pairs: DataFrame, keys: Sequence[str], old: str, new: str, most_ratio: float, least_letters: int) -> DataFrame:
@@ -159,8 +183,9 @@ def bands(pairs: DataFrame, keys: Sequence[str], old: str, new: str, most_ratio:
     letters = lambda c: F.length(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[^\p{L}\p{N}]", ""))
     same = F.coalesce(F.col(old) == F.col(new), F.lit(False))
     first = F.when(F.least(letters(old), letters(new)) < least_letters, "nothing").when(same, "equal")
-    judged = kept(pairs.select(*keys, old, new, first.alias("band")))
-    open_ = differences(judged.where("band is null"), keys, old, new)
+    judged = pairs.select(*keys, old, new, first.alias("band"))
+    lines = lambda c: F.when(F.col("band").isNull(), _lines(F.col(c)))
+    open_ = _compared(judged.select(*keys, "band", lines(old).alias("old"), lines(new).alias("new")))
     ratio = F.col("changed") / F.col("words")
-    told = open_.select(*keys, F.when(F.col("hunks") == 0, "noise").when(ratio <= most_ratio, "review").otherwise("large").alias("band"), "changed", "words")
-    return judged.where("band is not null").select(*keys, "band", F.lit(None).cast("long").alias("changed"), F.lit(None).cast("long").alias("words")).union(told)
+    own = F.when(F.col("hunks") == 0, "noise").when(ratio <= most_ratio, "review").otherwise("large")
+    return open_.select(*keys, F.coalesce("band", own).alias("band"), "changed", "words")

@@ -691,11 +691,8 @@ def keyword_excerpts(spark, sf_dir):
 
 @query()
 def text_changes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # neighbours by id under one title, a text's first line: versions of one text; found by their ids, the texts join later
-    ids = ranking.with_previous(d.select("doc_id", F.xxhash64(F.substring_index("text", "\n", 1)).alias("title")), F.col("title"), "doc_id", "old_id")
-    pairs = ids.select("doc_id", "old_id").where("old_id IS NOT NULL").join(d, "doc_id")
-    pairs = pairs.join(d.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")), "old_id")
-    told = differences.differences(pairs, ["doc_id", "old_id"], "old", "text")
+    # neighbours by id under one title, a text's first line: versions of one text
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.substring_index("text", "\n", 1)).alias("title"))
+    told = differences.successive(d, "title", "doc_id", "text", "old_id")
     share = F.when(F.col("words") > 0, F.round(F.col("changed") / F.col("words"), 6)).otherwise(1.0)
     return told.select("doc_id", "old_id", F.col("changed").alias("changed_words"), share.alias("changed_share"))

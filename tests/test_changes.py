@@ -124,6 +124,46 @@ def test_differences_between_texts(spark):
     assert bands[100] == bands[101] == "nothing" and bands[102] == "noise" and bands[103] == "large"
 
 
+def test_texts_are_compared_where_they_lie(spark):
+    d = spark.createDataFrame([(1, "One two. Three four. Five.", "One two. Three six. Five, seven."), (2, "a b", "a b"), (3, None, "x")], "gap int, x string, y string")
+    for found in (differences.differences(d, ["gap"], "x", "y"), differences.bands(d, ["gap"], "x", "y", 0.5, 2)):
+        assert "Exchange" not in found._jdf.queryExecution().toString()
+    assert [tuple(r) for r in differences.differences(d, ["gap"], "x", "y").orderBy("gap").collect()] == [(1, 6, 1, 1, 2, 2), (2, 2, 0, 0, 0, 0), (3, 1, 1, 0, 1, 1)]
+    assert [tuple(r) for r in differences.bands(d, ["gap"], "x", "y", 0.5, 2).orderBy("gap").collect()] == [(1, "review", 2, 6), (2, "equal", None, None), (3, "nothing", None, None)]
+
+
+def test_stretches_hold_all_neighbours(spark):
+    r = random.Random(6)
+    keys = {"a": r.sample(range(-500, 500), 90), "b": [5], "c": [-(2**63), -(2**63) + 1, 0, 7, 2**63 - 2, 2**63 - 1], "d": [2**62 + i for i in range(40)], "e": [*range(30), 10**12]}
+    d = spark.createDataFrame([(k, i) for k, ids in keys.items() for i in ids], "_to string, _last long")
+    want = {(k, *x) for k, ids in keys.items() for x in itertools.pairwise([None, *sorted(ids)])}
+    for most in (1, 2, 7, 1_000):
+        got, pairs, sizes = {}, set(), {}
+        for x in places.stretches(d, "_to", "_last", "n", "again", most).collect():
+            got.setdefault((x._to, x.n), []).append((x._last, x.again))
+        for (k, n), rows in got.items():
+            rows.sort()
+            assert [again for _, again in rows] == [n > 0, *[False] * (len(rows) - 1)]
+            pairs |= {(k, a, b) for a, b in itertools.pairwise([x for x, _ in rows])} | ({(k, None, rows[0][0])} if not n else set())
+            sizes[k] = max(sizes.get(k, 0), len(rows))
+        assert pairs == want and (sizes["a"] < 45 or most > 7)
+
+
+def test_each_text_meets_the_one_before_it(spark):
+    r = random.Random(7)
+    rows = [(g, g * 10_000 + i * 3, " ".join(r.choice("abc") + r.choice(["", "."]) for _ in range(r.randint(0, 9)))) for g, n in ((0, 2_600), (1, 3), (2, 1), (3, 2)) for i in range(n)]
+    rows += [(3, 39_000, None), (3, None, "x")]
+    d = spark.createDataFrame(rows, "_old int, _new long, t string")
+    found = differences.successive(d, "_old", "_new", "t", "before")
+    got = {(x._new, x.before): tuple(x)[2:] for x in found.collect()}
+    told = lambda t: "\n".join(s for s in (" ".join(re.findall(r"\w+", s)) for s in re.split(r"(?<=\.) ", t or "")) if s)
+    texts = {i: t for _, i, t in rows if i is not None}
+    ids = [sorted(i for g, i, _ in rows if g == k and i is not None) for k in range(4)]
+    assert got == {(b, a): differences.compared(told(texts[a]), told(texts[b])) for x in ids for a, b in itertools.pairwise(x)}
+    # texts are dealt once, not joined
+    assert "SortMergeJoin" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
 def brute_alignment(old, new):
     words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", new)]
     end, out = 0, []

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from gristmill.operators.graphs import kept
 from gristmill.operators.names import free
 
+#: A key is cut into so many stretches at most.
+MOST_STRETCHES = 256
+
 
 def numbered(rows: DataFrame, key: str, order: Sequence[Column], name: str = "place") -> DataFrame:
     """``rows`` with their place in ``order`` within ``key``, from 0; ``order`` has to tell rows of a key apart.
@@ -33,22 +36,25 @@ def numbered(rows: DataFrame, key: str, order: Sequence[Column], name: str = "pl
 def stretches(rows: DataFrame, key: str, order: str, name: str, carried: str, most: int = 1_000) -> DataFrame:
     """``rows`` with the number of their stretch of ``key``, so that neighbours in ``order`` (a whole number) meet in one.
 
-    Keys of more than ``most`` rows are cut by even ranges of ``order`` into stretches
-    of about that many (more where values lie close together). The last row of a stretch also opens the key's next one, where
-    ``carried`` is true. What is cut is broadcast, one row for ``most`` rows at most;
-    ``key`` and ``order`` are not null.
+    Keys of more than ``most`` rows are cut at quantiles of ``order`` into stretches of
+    about that many, ``MOST_STRETCHES`` at most; a quantile may be off without harm. The
+    last row of a stretch also opens the key's next one, where ``carried`` is true. What
+    is cut is broadcast, one row for ``most`` rows at most; ``key`` and ``order`` are not null.
     """
-    least, width, last, other, to, dealt = (free(x, rows) for x in ("_least", "_width", "_last", "_other", "_to", "_dealt"))
+    cuts, size, last, other, to, dealt = (free(x, rows) for x in ("_cuts", "_size", "_last", "_other", "_to", "_dealt"))
     own = kept(rows.select(key, order))
-    n, low, high = F.count("*"), F.min(order).cast("double"), F.max(order).cast("double")
-    # in double precision: rounding keeps the order, and far ends don't overflow
-    cut = own.groupBy(key).agg(low.alias(least), F.greatest((high - low + 1) / F.ceil(n / most), F.lit(1.0)).alias(width), n.alias(to)).where(F.col(to) > most).drop(to)
-    part = F.floor((F.col(order).cast("double") - F.col(least)) / F.col(width))
+    large = own.groupBy(key).agg(F.count("*").alias(size)).where(F.col(size) > most)
+    found = F.percentile_approx(order, [i / MOST_STRETCHES for i in range(1, MOST_STRETCHES)], 10 * MOST_STRETCHES)
+    n = F.least(F.ceil(F.col(size) / most), F.lit(MOST_STRETCHES))
+    even = own.join(F.broadcast(large), key).groupBy(key, size).agg(found.alias(cuts))
+    # quantiles aren't the same each time they are worked out, so they are kept
+    cut = kept(even.select(key, F.filter(cuts, lambda _, i: (i + 1) * n % MOST_STRETCHES < n).alias(cuts)))
+    part = F.size(F.filter(cuts, lambda c: c < F.col(order))).cast("long")
     ends = own.join(F.broadcast(cut), key).groupBy(key, part.alias(name)).agg(F.max(order).alias(last))
     following = F.lead(name).over(Window.partitionBy(key).orderBy(name))
     ends = ends.select(F.col(key).alias(other), last, following.alias(to)).where(F.col(to).isNotNull())
     here = lambda c, again: F.struct(c.alias("n"), F.lit(again).alias("again"))
-    first = here(F.coalesce(part, F.lit(0).cast("long")), False)
+    first = here(F.when(F.col(cuts).isNull(), 0).otherwise(part).cast("long"), False)
     both = F.when(F.col(to).isNull(), F.array(first)).otherwise(F.array(first, here(F.col(to), True)))
     met = rows.join(F.broadcast(cut), key, "left").join(F.broadcast(ends), (F.col(key) == F.col(other)) & (F.col(order) == F.col(last)), "left")
     return met.select(*rows.columns, F.explode(both).alias(dealt)).select(*rows.columns, F.col(f"{dealt}.n").alias(name), F.col(f"{dealt}.again").alias(carried))
